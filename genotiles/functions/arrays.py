@@ -24,10 +24,11 @@ def plain_bases(seq: Column) -> Column:
 def one_hot(seq: Column) -> Column:
     """4 x L one-hot array by built-in expressions; anything but A, C, G, T is a zero column."""
     letters = F.split(plain_bases(seq), "")
-    channels = [
-        F.transform(letters, lambda c, b=base: (c == F.lit(b)).cast("tinyint")) for base in BASES
-    ]
-    return F.array(*channels)
+
+    def channel(base: str) -> Column:
+        return F.transform(letters, lambda letter: (letter == F.lit(base)).cast("tinyint"))
+
+    return F.array(*[channel(base) for base in BASES])
 
 
 def one_hot_numpy(seq: str, length: int | None = None) -> np.ndarray:

@@ -20,9 +20,11 @@ from genotiles.functions.signal import transform_value
 def track_vectors(tracks: DataFrame) -> DataFrame:
     """One row: scale and clip values as arrays in track order."""
     ordered = F.array_sort(F.collect_list(F.struct("track_index", "scale_factor", "clip_soft", "clip_hard")))
-    return tracks.agg(ordered.alias("__t")).select(
-        *[F.transform("__t", lambda t, c=c: t[c].cast("double")).alias(c) for c in ("scale_factor", "clip_soft", "clip_hard")]
-    )
+
+    def vector(column: str) -> Column:
+        return F.transform("__t", lambda t: t[column].cast("double")).alias(column)
+
+    return tracks.agg(ordered.alias("__t")).select(*[vector(c) for c in ("scale_factor", "clip_soft", "clip_hard")])
 
 
 def transform_labels(labels: Column, scale: Column, soft: Column, hard: Column, **steps: bool) -> Column:

@@ -18,7 +18,7 @@ from genotiles.functions.stats import (
     pearson_guard_std,
     pearson_guard_terms,
 )
-from genotiles.operators.ordering import ordered_counts, quantiles, quantiles_from_counts, top_k
+from genotiles.operators.ordering import ordered_counts, quantiles, quantiles_of, top_k
 
 AMPLITUDE_QUANTILE = 0.99
 FOLD_CHANGE_QUANTILE = 0.80
@@ -59,8 +59,12 @@ def spearman(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "tar
     by = list(by)
     finite = _finite(pairs, x, y).select(*by, x, y)
     joint = finite.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__n"))
-    centred = F.col("below") + (F.col("n") - F.col("total")) / F.lit(2.0)
-    ranks = lambda column, out: ordered_counts(finite, by, column).select(*by, column, centred.alias(out))
+    centred = F.col("n_below") + (F.col("n_equal") - F.col("n_total")) / F.lit(2.0)
+    both = ordered_counts(finite.unpivot(by, [x, y], "__column", "__value"), [*by, "__column"], "__value")
+
+    def ranks(column: str, out: str) -> DataFrame:
+        return both.where(F.col("__column") == column).select(*by, F.col("__value").alias(column), centred.alias(out))
+
     placed = joint.join(ranks(x, "__rx"), [*by, x]).join(ranks(y, "__ry"), [*by, y])
     weighted = lambda a, b: F.sum(F.col("__n") * F.col(a) * F.col(b))
     spread = finite.groupBy(*by).agg(
@@ -81,13 +85,11 @@ def amplitude_calibration(
     """Ratio of high quantiles of ``|pred|`` and ``|target|`` per group."""
     by = list(by)
     sizes = _finite(pairs).select(*by, F.abs("pred").alias("__p"), F.abs("target").alias("__t"))
-    counts = ordered_counts(sizes, by, "__p")
-    high_pred = quantiles_from_counts(counts, by, "__p", {"high_pred": quantile})
-    high_target = quantiles(sizes, by, "__t", {"high_target": quantile})
+    high = quantiles_of(sizes, by, {"high_pred": ("__p", quantile), "high_target": ("__t", quantile)})
     n = sizes.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     defined = (F.col("__n") >= 2) & (F.col("high_target") > MIN_STD)
     value = F.when(defined, ratio(F.col("high_pred"), F.col("high_target")))
-    found = n.join(high_pred, by).join(high_target, by).select(*by, value.alias("amplitude_calibration"))
+    found = n.join(high, by).select(*by, value.alias("amplitude_calibration"))
     return _all_groups(pairs, by, found)
 
 

@@ -73,7 +73,7 @@ def _bounds_below(bounds: Column, value: Column, buckets: int) -> Column:
 
 
 def ordered_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """One row per (group, value): ``n`` rows, ``below`` rows with a smaller value, group ``total``.
+    """One row per (group, value): ``n_equal`` rows, ``n_below`` rows with a smaller value, ``n_total`` of the group.
 
     Equal values are counted before the shuffle, so ties cost nothing. The bucket bounds come from
     a quantile sketch and are checkpointed (one small row per group): both uses of them then see
@@ -86,24 +86,24 @@ def ordered_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame
             F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(8 * buckets)).alias("__bounds")
         )
     )
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_equal"))
     counts = counts.join(bounds, list(group)).select(
-        *group, value, "n",
+        *group, value, "n_equal",
         _bounds_below(F.col("__bounds"), F.col(value).cast("double"), buckets).alias("__bucket"),
     )
     keys = [*group, "__bucket"]
     # At most `buckets` rows per group.
     whole = Window.partitionBy(*group)
     before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy(*keys).agg(F.sum("n").alias("__size")).select(
+    offsets = counts.groupBy(*keys).agg(F.sum("n_equal").alias("__size")).select(
         *keys,
         F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
-        F.sum("__size").over(whole).alias("total"),
+        F.sum("__size").over(whole).alias("n_total"),
     )
     inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("__inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    ranked = counts.withColumn("__inside", F.coalesce(F.sum("n_equal").over(inside), F.lit(0)))
     return ranked.join(offsets, keys).select(
-        *group, value, "n", (F.col("__offset") + F.col("__inside")).alias("below"), "total"
+        *group, value, "n_equal", (F.col("__offset") + F.col("__inside")).alias("n_below"), "n_total"
     )
 
 
@@ -111,8 +111,8 @@ def quantiles_from_counts(
     counts: DataFrame, group: Sequence[str], value: str, wanted: dict[str, float]
 ) -> DataFrame:
     """Exact quantiles with linear interpolation from :func:`ordered_counts`, one column per name."""
-    covers = lambda at: (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
-    place = {name: F.lit(q) * (F.col("total") - 1) for name, q in wanted.items()}
+    covers = lambda at: (F.col("n_below") <= at) & (at < F.col("n_below") + F.col("n_equal"))
+    place = {name: F.lit(q) * (F.col("n_total") - 1) for name, q in wanted.items()}
     needed = reduce(
         lambda a, b: a | b,
         [covers(F.floor(p)) | covers(F.ceil(p)) for p in place.values()],
@@ -140,6 +140,21 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, wanted: dict[str,
     return quantiles_from_counts(ordered_counts(df, group, value), group, value, wanted)
 
 
+def quantiles_of(
+    df: DataFrame, group: Sequence[str], wanted: dict[str, tuple[str, float]]
+) -> DataFrame:
+    """Exact quantiles of several columns in one pass: ``{name: (column, quantile)}``, one row per group."""
+    columns = sorted({column for column, _ in wanted.values()})
+    asked = {f"__q{i}": q for i, q in enumerate(sorted({q for _, q in wanted.values()}))}
+    name_of = {q: name for name, q in asked.items()}
+    long = df.unpivot(list(group), columns, "__column", "__value")
+    found = quantiles(long, [*group, "__column"], "__value", asked)
+    return found.groupBy(*group).agg(*[
+        F.max(F.when(F.col("__column") == column, F.col(name_of[q]))).alias(name)
+        for name, (column, q) in wanted.items()
+    ])
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """First ``k`` rows of each group, with their 1-based ``rank``.
 

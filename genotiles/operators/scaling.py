@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genotiles.operators.ordering import quantiles
+from genotiles.operators.ordering import quantiles, quantiles_of
+from genotiles.session import cut_lineage
 
 # Clip thresholds in reads per million, and the guards of the TMM estimate.
 SOFT_READS_PER_MILLION = 7.0
@@ -81,27 +82,29 @@ def tmm_factors(
     """
     if weights not in ("variance", "inverse"):
         raise ValueError("weights must be 'variance' or 'inverse'")
-    counts = pseudo_counts(region_means, libraries, region_length_kb)
-    chosen = reference_track(counts).scalar()
+    # Read several times below: written once as narrow rows instead of being computed again.
+    counts = cut_lineage(pseudo_counts(region_means, libraries, region_length_kb))
+    chosen = cut_lineage(reference_track(counts)).scalar()
     reference = counts.where((F.col("track_index") == chosen) & (F.col("n") >= min_count)).select(
         "index", F.col("n").alias("n_ref"), F.col("lib").alias("lib_ref")
     )
     share, share_ref = F.log2(F.col("n") / F.col("lib")), F.log2(F.col("n_ref") / F.col("lib_ref"))
-    pairs = (
+    pairs = cut_lineage(
         counts.where((F.col("track_index") != chosen) & (F.col("n") >= min_count) & (F.col("lib") > 0))
         .join(reference, "index")
         .withColumn("m", share - share_ref)
         .withColumn("a", 0.5 * (share + share_ref))
     )
-    m_cut = quantiles(pairs, ["track_index"], "m", {"m_lo": trim_m, "m_hi": 1.0 - trim_m})
-    a_cut = quantiles(pairs, ["track_index"], "a", {"a_lo": trim_a, "a_hi": 1.0 - trim_a})
+    cuts = quantiles_of(pairs, ["track_index"], {
+        "m_lo": ("m", trim_m), "m_hi": ("m", 1.0 - trim_m), "a_lo": ("a", trim_a), "a_hi": ("a", 1.0 - trim_a),
+    })
     spread = lambda n, lib: (F.col(lib) - F.col(n)) / (F.col(lib) * F.col(n))
     weight = F.greatest(spread("n", "lib") + spread("n_ref", "lib_ref"), F.lit(MIN_WEIGHT))
     if weights == "inverse":
         weight = 1.0 / weight
     kept = F.col("m").between(F.col("m_lo"), F.col("m_hi")) & F.col("a").between(F.col("a_lo"), F.col("a_hi"))
     per_track = (
-        pairs.join(m_cut, "track_index").join(a_cut, "track_index")
+        pairs.join(cuts, "track_index")
         .withColumn("w", F.when(kept, weight))
         .groupBy("track_index")
         .agg(
@@ -113,6 +116,7 @@ def tmm_factors(
     raw = libraries.select("track_index").join(per_track, "track_index", "left").select(
         "track_index", F.when(enough, F.col("log_ratio")).otherwise(0.0).alias("log_factor")
     )
+    raw = cut_lineage(raw)
     # Dividing by the geometric mean is subtracting the mean of the logs.
     level = raw.agg(F.avg("log_factor")).scalar()
     return raw.select("track_index", F.pow(F.lit(2.0), F.col("log_factor") - level).alias("tmm_factor"))

@@ -73,7 +73,11 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions and targets: one example per part, one track per return flag, one bin per line."""
-    lines = table(spark, sf_dir, "lineitem")
+    return pairs_of(table(spark, sf_dir, "lineitem"))
+
+
+def pairs_of(lines: DataFrame) -> DataFrame:
+    """The same from a batch or a stream of lines."""
     return lines.select(
         F.col("l_partkey").alias("index"), F.col("l_returnflag").alias("track"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("bin"),
@@ -135,8 +139,13 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested examples: an embedding of 64 values read as 4 tracks x 16 bins."""
+    return tensors_of(table(spark, sf_dir, "embeddings"))
+
+
+def tensors_of(embeddings: DataFrame) -> DataFrame:
+    """The same from a batch or a stream of embeddings."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda t: F.slice("embedding", t * 16 + 1, 16))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("index"), rows.alias("labels"))
+    return embeddings.select(F.col("vec_id").alias("index"), rows.alias("labels"))
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

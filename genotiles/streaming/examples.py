@@ -11,11 +11,15 @@ from genotiles.session import new_shared_path
 
 
 def stream_parquet(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
-    """Read a parquet folder or file as a stream; the schema is that of the files."""
+    """Read a parquet folder or file as a stream; the schema is that of the files.
+
+    The path is given as a pattern, because a stream takes a single file only that way.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    plain = path.rstrip("/")
+    return reader.parquet(f"{plain[:-1]}[{plain[-1]}]")
 
 
 def transform_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
