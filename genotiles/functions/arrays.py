@@ -43,12 +43,16 @@ def one_hot_numpy(seq: str, length: int | None = None) -> np.ndarray:
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.ByteType())))
 def one_hot_arrow(seq: pa.Array) -> pa.Array:
     """4 x L one-hot array for long sequences: one Arrow buffer per batch, no objects per base."""
-    flat, lengths = [], []
-    for text in seq.to_pylist():
-        matrix = one_hot_numpy(text or "")
-        flat.append(matrix.reshape(-1))
-        lengths.append(matrix.shape[1])
-    values = np.concatenate(flat) if flat else np.empty(0, dtype=np.int8)
+    texts = seq.to_pylist()
+    lengths = np.array([len(text) for text in texts], dtype=np.int64)
+    codes = _CHANNEL[np.frombuffer("".join(texts).encode("ascii", "replace"), dtype=np.uint8)]
+    if len(texts) and (lengths == lengths[0]).all():
+        by_row = codes.reshape(len(texts), 1, -1)
+        values = (by_row == np.arange(len(BASES), dtype=np.int8).reshape(1, -1, 1)).astype(np.int8).reshape(-1)
+    else:
+        ends = np.cumsum(lengths)
+        rows = [codes[end - n:end] == channel for end, n in zip(ends, lengths) for channel in range(len(BASES))]
+        values = np.concatenate(rows).astype(np.int8) if rows else np.empty(0, dtype=np.int8)
     inner_ends = np.concatenate([[0], np.cumsum(np.repeat(lengths, len(BASES)))])
     outer_ends = np.arange(len(lengths) + 1) * len(BASES)
     inner = pa.ListArray.from_arrays(pa.array(inner_ends, pa.int32()), pa.array(values, pa.int8()))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,21 +51,84 @@ def _dense(entries: str, size: Column | int, fill: Column) -> Column:
     filled = F.transform(
         found, lambda e, k: F.concat(F.array(e["v"]), gap(following(k) - e["i"] - 1))
     )
-    return F.concat(gap(F.coalesce(F.get(found, F.lit(0))["i"], length)), F.flatten(filled))
+    spaced = F.concat(gap(F.coalesce(F.get(found, F.lit(0))["i"], length)), F.flatten(filled))
+    return F.when(F.size(found) == length, found["v"]).otherwise(spaced)
 
 
-def signal_tiles(bins: DataFrame, tile_bins: int = TILE_BINS) -> DataFrame:
-    """Dense grid: one ``ARRAY<FLOAT>`` of ``tile_bins`` values per (chrom, track, tile).
+def signal_tiles(bins: DataFrame, n_tracks: Column, tile_bins: int = TILE_BINS) -> DataFrame:
+    """Dense grid: one matrix ``vals [T][tile_bins]`` per (chrom, tile) that holds any value.
 
-    A group holds at most ``tile_bins`` entries, because its bins are distinct.
+    ``bins.track`` is the dense track index. Spark brings the cells of a tile together, sorted; a task
+    then fills many matrices per Arrow batch. A tile is bounded by tracks x tile_bins, because its bins
+    are distinct.
     """
-    entry = F.struct(
-        F.expr(f"cast(bin - tile * {tile_bins} as int)").alias("i"), F.col("mean").cast("float").alias("v")
-    )
-    grouped = bins.groupBy("chrom", "track", "tile").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    return grouped.select(
-        "chrom", "track", "tile", _dense("entries", tile_bins, F.lit(0.0).cast("float")).alias("vals")
+    cells = bins.select(
+        "chrom", F.col("tile").cast("bigint"), F.col("track").cast("bigint"), F.col("bin").cast("bigint"),
+        F.col("mean").cast("float"), n_tracks.cast("bigint").alias("n_tracks"),
     )
+    together = cells.repartition("chrom", "tile").sortWithinPartitions("chrom", "tile")
+    return together.mapInArrow(_fill_tiles(tile_bins), "chrom string, tile bigint, vals array<array<float>>")
+
+
+# Cells per output batch of the tile filler (64 MB of floats).
+MAX_BATCH_CELLS = 1 << 24
+
+
+def _group_starts(chrom: pa.Array, tile: np.ndarray) -> np.ndarray:
+    """Rows at which another (chrom, tile) begins, row 0 left out."""
+    if len(tile) < 2:
+        return np.empty(0, dtype=np.int64)
+    other = pc.not_equal(chrom[1:], chrom[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(other | (tile[1:] != tile[:-1])) + 1
+
+
+def _fill_tiles(tile_bins: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task function: sorted cells to matrices. The last tile of a batch stays open until the next one."""
+
+    def matrices(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        column = {name: rows[name].to_numpy() for name in ("tile", "track", "bin", "mean", "n_tracks")}
+        chrom = rows["chrom"].combine_chunks()
+        starts = np.concatenate([[0], _group_starts(chrom, column["tile"])]).astype(np.int64)
+        ends = np.append(starts[1:], rows.num_rows)
+        tracks = int(column["n_tracks"][0])
+        width = tracks * tile_bins
+        place = column["track"] * tile_bins + column["bin"] - column["tile"] * tile_bins
+        step = max(1, MAX_BATCH_CELLS // width)
+        for first in range(0, len(starts), step):
+            own, until = starts[first:first + step], ends[first:first + step]
+            lo, hi = own[0], until[-1]
+            matrix = np.zeros((len(own), width), dtype=np.float32)
+            matrix[np.repeat(np.arange(len(own)), until - own), place[lo:hi]] = column["mean"][lo:hi]
+            lists = pa.ListArray.from_arrays(
+                np.arange(len(own) * tracks + 1, dtype=np.int32) * tile_bins, pa.array(matrix.reshape(-1))
+            )
+            nested = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * tracks, lists)
+            yield pa.RecordBatch.from_arrays(
+                [chrom.take(pa.array(own)), pa.array(column["tile"][own]), nested], names=["chrom", "tile", "vals"]
+            )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        last_key = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            chrom, tile = batch.column("chrom"), batch.column("tile").to_numpy()
+            starts = _group_starts(chrom, tile)
+            if last_key is not None and (chrom[0].as_py(), tile[0]) != last_key:
+                starts = np.concatenate([[0], starts])
+            if len(starts):
+                cut = int(starts[-1])
+                yield from matrices([*waiting, batch.slice(0, cut)])
+                waiting = [batch.slice(cut)]
+            else:
+                waiting.append(batch)
+            last_key = (chrom[batch.num_rows - 1].as_py(), tile[-1])
+        if waiting:
+            yield from matrices(waiting)
+
+    return fill
 
 
 def nested_labels(
@@ -75,34 +141,32 @@ def nested_labels(
 ) -> DataFrame:
     """``(index, labels)`` with labels ``[T][B]`` cut out of the tiles.
 
-    ``tiles.track`` must be the dense track index. A region is exploded to the few tiles it touches
-    (never to bins) and every joined row carries a slice, so the rows shuffled are tracks x regions x
-    tiles per region. Missing tiles and tracks are zero.
+    A region is exploded to the few tiles it touches, never to bins or tracks; every joined row carries
+    one slice of the matrix. Tiles without any value are zero.
     """
-    float_zero = F.lit(0.0).cast("float")
     slices = _touched_tiles(regions.select("index", "chrom", "sig_start"), n_bins, bin_size, tile_bins)
     tile_start = F.col("tile") * tile_bins
-    lo = F.greatest(F.col("__from"), tile_start)
-    hi = F.least(F.col("__from") + n_bins, tile_start + tile_bins)
-    slices = slices.withColumn("__at", (lo - F.col("__from")).cast("int")).withColumn(
-        "__n", (hi - lo).cast("int")
-    ).withColumn("__skip", (lo - tile_start + 1).cast("int"))
-    pieces = slices.join(tiles, ["chrom", "tile"]).select(
-        "index", "track", "__at", F.slice("vals", F.col("__skip"), F.col("__n")).alias("piece")
+    low = F.greatest(F.col("__from"), tile_start)
+    high = F.least(F.col("__from") + n_bins, tile_start + tile_bins)
+    slices = slices.withColumns({
+        "__skip": (low - tile_start + 1).cast("int"), "__n": (high - low).cast("int"), "n_tracks": n_tracks,
+    })
+    cut = F.transform("vals", lambda row: F.slice(row, F.col("__skip"), F.col("__n")))
+    empty = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), F.col("__n")), F.col("n_tracks"))
+    pieces = slices.join(tiles, ["chrom", "tile"], "left").select(
+        "index", "n_tracks", "tile", F.coalesce(cut, empty).alias("piece")
     )
-    # A window touches at most n_bins / tile_bins + 2 tiles, so a group is a handful of pieces.
-    rows = pieces.groupBy("index", "track").agg(
-        F.array_sort(F.collect_list(F.struct("__at", "piece"))).alias("parts")
+    # A window touches at most n_bins / tile_bins + 2 tiles, so a group is the example itself.
+    grouped = pieces.groupBy("index").agg(
+        F.first("n_tracks").alias("n_tracks"),
+        F.array_sort(F.collect_list(F.struct("tile", "piece")))["piece"].alias("pieces"),
     )
-    gap = lambda n: F.array_repeat(float_zero, n.cast("int"))
-    joined = F.aggregate(
-        "parts",
-        F.array().cast("array<float>"),
-        lambda done, part: F.concat(done, gap(part["__at"] - F.size(done)), part["piece"]),
-        lambda done: F.concat(done, gap(F.lit(n_bins) - F.size(done))),
+    joined = F.transform(
+        F.sequence(F.lit(0), F.col("n_tracks") - 1),
+        lambda t: F.flatten(F.transform("pieces", lambda piece: F.get(piece, t))),
     )
-    rows = rows.select("index", "track", joined.alias("vals"))
-    return assemble_tracks(regions, rows, n_tracks, n_bins)
+    labels = F.when(F.size("pieces") == 1, F.get("pieces", F.lit(0))).otherwise(joined)
+    return grouped.select("index", labels.alias("labels"))
 
 
 def assemble_tracks(regions: DataFrame, rows: DataFrame, n_tracks: Column, n_bins: int) -> DataFrame:
@@ -171,11 +235,12 @@ def fetch_sequence(
     hi = F.least(F.col("read_end") - F.col("chunk_no") * chunk, F.lit(chunk))
     piece = F.substring(F.col("seq"), (lo + 1).cast("int"), (hi - lo).cast("int"))
     # A group is at most context_length / chunk + 2 pieces.
-    pieces = wanted.join(chunks, ["chrom", "chunk_no"], "left").groupBy(*key, "left_pad").agg(
-        F.array_sort(F.collect_list(F.struct("chunk_no", piece.alias("piece")))).alias("pieces")
+    pieces = wanted.join(chunks, ["chrom", "chunk_no"], "left").groupBy(*key).agg(
+        F.first("left_pad").alias("left_pad"),
+        F.array_sort(F.collect_list(F.struct("chunk_no", piece.alias("piece"))))["piece"].alias("pieces"),
     )
     # A contig that is known but has no chunk yields NULL pieces; array_join leaves them out.
-    body = F.array_join(F.transform("pieces", lambda p: p["piece"]), "")
+    body = F.array_join("pieces", "")
     left = F.repeat(F.lit("N"), F.least(F.col("left_pad"), F.lit(context_length)).cast("int"))
     return pieces.select(*key, F.rpad(F.concat(left, body), F.lit(context_length), F.lit("N")).alias("seq"))
 

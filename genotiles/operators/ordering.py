@@ -86,16 +86,18 @@ def ordered_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame
             F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(8 * buckets)).alias("__bounds")
         )
     )
+    bucket = _bounds_below(F.col("__bounds"), F.col(value).cast("double"), buckets)
     counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    counts = counts.join(bounds, list(group)).select(
-        *group, value, "n_equal",
-        _bounds_below(F.col("__bounds"), F.col(value).cast("double"), buckets).alias("__bucket"),
-    )
+    counts = counts.join(bounds, list(group)).select(*group, value, "n_equal", bucket.alias("__bucket"))
     keys = [*group, "__bucket"]
-    # At most `buckets` rows per group.
+    # Bucket sizes come from the rows, not from `counts`: their partial sums are at most `buckets` rows
+    # per group and task, where the distinct values would be shuffled a second time.
+    sizes = df.select(*group, value).join(bounds, list(group)).groupBy(*group, bucket.alias("__bucket")).agg(
+        F.count(F.lit(1)).alias("__size")
+    )
     whole = Window.partitionBy(*group)
     before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy(*keys).agg(F.sum("n_equal").alias("__size")).select(
+    offsets = sizes.select(
         *keys,
         F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
         F.sum("__size").over(whole).alias("n_total"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,14 +83,22 @@ def assign_splits(regions: DataFrame, splits: Mapping[str, Sequence[str]]) -> Da
 
     Membership is a column expression over the options, so it needs no join and no shuffle.
     """
-    wanted = [
-        F.when(F.col("fold").isin(list(folds)) if folds else F.lit(True), F.lit(name))
-        for name, folds in splits.items()
-    ]
-    member_of = F.filter(F.array(*wanted), lambda name: name.isNotNull())
+    member_of = F.filter(
+        F.array(*[F.when(_in_split(folds), F.lit(name)) for name, folds in splits.items()]),
+        lambda name: name.isNotNull(),
+    )
     return regions.withColumn("split", F.explode(member_of))
 
 
+def _in_split(folds: Sequence[str]) -> Column:
+    return F.col("fold").isin(list(folds)) if folds else F.lit(True)
+
+
+def in_any_split(regions: DataFrame, splits: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Regions that some split uses."""
+    return regions.where(reduce(lambda a, b: a | b, [_in_split(folds) for folds in splits.values()]))
+
+
 def keep_chroms(regions: DataFrame, chroms: Sequence[str] | None) -> DataFrame:
     """Restrict to some chromosomes; ``index`` stays as it is."""
     return regions.where(F.col("chrom").isin(list(chroms))) if chroms else regions

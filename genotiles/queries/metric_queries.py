@@ -22,7 +22,8 @@ LOSSES = (
 
 def by_track(metric, *columns: str):
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return metric(V.pairs(spark, sf_dir), ["track"]).select("track", *[rounded(c).alias(c) for c in columns])
+        rows = V.spread_pairs if metric in (M.spearman, M.amplitude_calibration) else V.pairs
+        return metric(rows(spark, sf_dir), ["track"]).select("track", *[rounded(c).alias(c) for c in columns])
     return build
 
 
@@ -133,7 +134,7 @@ def best_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = track_report(V.pairs(spark, sf_dir))
+    rows = track_report(V.spread_pairs(spark, sf_dir))
     return rows.select("track", *[rounded(c).alias(c) for c in rows.columns if c != "track"])
 
 

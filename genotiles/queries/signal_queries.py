@@ -77,7 +77,7 @@ def nested_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = names.agg(F.array_sort(F.collect_list("track"))).scalar()
     n_tracks = names.agg(F.count(F.lit(1)).cast("int")).scalar()
     numbered = _grid(spark, sf_dir).withColumn("track", F.array_position(ordered, F.col("track")).cast("int") - 1)
-    tiles = examples.signal_tiles(numbered, V.TILE)
+    tiles = examples.signal_tiles(numbered, n_tracks, V.TILE)
     labels = examples.nested_labels(windows(spark, sf_dir), tiles, n_tracks, STORED, V.BIN, V.TILE)
     rows = labels.select("index", F.posexplode("labels").alias("track", "vals"))
     total = F.aggregate("vals", F.lit(0.0), lambda a, v: a + v.cast("double"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genotiles.session import configure
+from genotiles.session import configure, spread_scan
 
 BIN = 3600
 N_BINS = 20
@@ -23,9 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for work that multiplies rows or is heavy per row."""
+    return spread_scan(table(spark, sf_dir, name).select(*columns))
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value intervals per event type (track) and user (chromosome)."""
-    events = table(spark, sf_dir, "events")
+    events = spread(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     start = F.unix_seconds(F.col("ts").cast("timestamp")) - EPOCH
     return events.select(
         F.col("event_type").alias("track"),
@@ -76,6 +81,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_of(table(spark, sf_dir, "lineitem"))
 
 
+def spread_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for rank and quantile metrics, which work on every value."""
+    columns = ("l_partkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return pairs_of(spread(spark, sf_dir, "lineitem", *columns))
+
+
 def pairs_of(lines: DataFrame) -> DataFrame:
     """The same from a batch or a stream of lines."""
     return lines.select(
@@ -115,7 +126,7 @@ def tracks_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The hash is taken at the scan, so no text is shuffled.
     """
-    return table(spark, sf_dir, "documents").select(
+    return spread(spark, sf_dir, "documents", "doc_id", "text", "source", "n_chars").select(
         F.col("doc_id").alias("source_index"),
         F.md5(F.concat("text", "source")).alias("identity_key"),
         F.col("n_chars").alias("size"), F.sha2("text", 256).alias("content_hash"),
@@ -150,7 +161,7 @@ def tensors_of(embeddings: DataFrame) -> DataFrame:
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as contigs."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(spark, sf_dir, "documents", "doc_id", "text").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("chrom"),
         F.col("doc_id").alias("chrom_rank"), F.col("text").alias("seq"),
         F.length("text").cast("bigint").alias("len"),
@@ -159,7 +170,9 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def genome_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value intervals on the document contigs, from order lines; track N is a minus strand."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(
+        spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"
+    )
     start = F.pmod(F.col("l_partkey") * 37 + F.col("l_orderkey"), F.lit(2000))
     value = F.round(F.col("l_discount") * 100 + F.col("l_linenumber"), 2)
     return lines.select(

@@ -94,13 +94,13 @@ def region_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _channel_sums(matrix: str) -> list[Column]:
-    """Per channel the number of ones and the sum of their positions."""
+    """Per channel the number of ones and the 1-based position of the first."""
+    one, none = F.lit(1).cast("tinyint"), F.lit(0).cast("tinyint")
     columns = []
     for i, base in enumerate("acgt"):
         row = F.get(F.col(matrix), F.lit(i))
-        columns.append(F.size(F.filter(row, lambda v: v == 1)).cast("bigint").alias(f"n_{base}"))
-        where = F.transform(row, lambda v, at: v.cast("bigint") * at)
-        columns.append(F.aggregate(where, F.lit(0).cast("bigint"), lambda a, v: a + v).alias(f"at_{base}"))
+        columns.append(F.size(F.array_remove(row, none)).cast("bigint").alias(f"n_{base}"))
+        columns.append(F.array_position(row, one).cast("bigint").alias(f"first_{base}"))
     return columns
 
 
@@ -292,24 +292,12 @@ _PRED_CELLS = f"""{_TENSOR_CELLS},
 _HASH = "('0x' || substring(md5(index || ':42:0:{salt}'), 1, 15))::BIGINT"
 
 
-def _letter_sums(seq: str, length: str) -> str:
-    parts = []
-    for base in "acgt":
-        at = (f"list_sum(list_transform(range({length}), lambda i: "
-              f"CASE WHEN lower(substring({seq}, i + 1, 1)) = '{base}' THEN i ELSE 0 END))")
-        n = (f"{length} - length(replace(replace({seq}, '{base}', ''), '{base.upper()}', ''))")
-        parts.append(f"CAST({n} AS BIGINT) AS n_{base}, CAST(coalesce({at}, 0) AS BIGINT) AS at_{base}")
-    return ", ".join(parts)
-
-
-def _char_positions(source: str, key: str) -> str:
-    """Channel sums from one row per character (substring by position would rescan long texts)."""
-    sums = ", ".join(
-        f"count(*) FILTER (c IN ('{b}', '{b.upper()}')) AS n_{b}, "
-        f"CAST(coalesce(sum(i) FILTER (c IN ('{b}', '{b.upper()}')), 0) AS BIGINT) AS at_{b}" for b in "acgt"
+def _letter_sums(seq: str) -> str:
+    plain = f"translate({seq}, 'acgt', 'ACGT')"
+    return ", ".join(
+        f"length({seq}) - length(replace({plain}, '{b.upper()}', '')) AS n_{b}, "
+        f"CAST(instr({plain}, '{b.upper()}') AS BIGINT) AS first_{b}" for b in "acgt"
     )
-    return (f"chars AS (SELECT {key}, unnest(string_split(seq, '')) AS c, unnest(range(length(seq))) AS i FROM {source}), "
-            f"sums AS (SELECT {key}, {sums} FROM chars GROUP BY {key})")
 
 
 def _context_sql(length: int) -> str:
@@ -395,11 +383,11 @@ _BUILD_SQL = f"""{_DOC_REGIONS.replace('- 128 AS ctx_start', '- 136 AS ctx_start
              JOIN fixed f ON u.chrom = f.chrom AND f.bin >= b0 AND f.bin < b0 + 18 GROUP BY ALL),
     wide AS (SELECT index, sum(total) FILTER (track = 0) AS t0, sum(total) FILTER (track = 1) AS t1,
                     sum(total) FILTER (track = 2) AS t2 FROM sums GROUP BY index)
-    SELECT split, u.index, local_index, chrom || ':' || start_pos || '-' || end_pos AS interval,
-           {_letter_sums('ctx', '272')},
+    SELECT split, index, local_index, chrom || ':' || start_pos || '-' || end_pos AS interval,
+           {_letter_sums('ctx')},
            {rounded_sql('coalesce(t0, 0)', 3)} AS labels_0, {rounded_sql('coalesce(t1, 0)', 3)} AS labels_1,
            {rounded_sql('coalesce(t2, 0)', 3)} AS labels_2
-    FROM used u LEFT JOIN wide w ON u.index = w.index"""
+    FROM used LEFT JOIN wide USING (index)"""
 
 QUERIES = [
     Query("targeted_windows", "WIN-1 WIN-3 PRJ-3", targeted,
@@ -428,9 +416,9 @@ QUERIES = [
     Query("region_sequences", "SRC-5 JOIN-5 PRJ-3 JOIN-6", region_sequences,
           f"{_DOC_REGIONS} SELECT index, md5(ctx) AS seq_md5 FROM ctx"),
     Query("one_hot_sequences", "ARR-1", one_hot(A.one_hot_arrow),
-          f"{V.with_views('sequences')}, {_char_positions('sequences', 'chrom')} SELECT * FROM sums"),
+          f"{V.with_views('sequences')} SELECT chrom, {_letter_sums('seq')} FROM sequences"),
     Query("one_hot_builtin", "ARR-1", one_hot(A.one_hot),
-          f"{V.with_views('sequences')}, {_char_positions('sequences', 'chrom')} SELECT * FROM sums"),
+          f"{V.with_views('sequences')} SELECT chrom, {_letter_sums('seq')} FROM sequences"),
     Query("reverse_complement", "ARR-3", reverse_complement, """
         SELECT 'd' || doc_id AS chrom,
                md5(reverse(translate(regexp_replace(text, '[^A-Za-z]', 'N', 'g'), 'ACGTacgt', 'TGCAtgca'))) AS seq_md5

@@ -31,6 +31,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """A plain scan over all cores, also where the table is a single unsplittable file.
+
+    Tables of many files are left as they are. Only for scans: asking a plan with shuffles for its
+    partitions would run them.
+    """
+    width = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(width) if scan.rdd.getNumPartitions() < width else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from genotiles.operators import metrics as M
 from genotiles.session import new_shared_path
@@ -21,6 +22,11 @@ def running_statistics(examples: DataFrame, topk_bins: int) -> DataFrame:
     return M.accumulate_statistics(M.nested_statistics(examples, topk_bins))
 
 
+def _read_batches(stream: DataFrame, path: str) -> DataFrame:
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return stream.sparkSession.read.schema(schema).parquet(f"{path}/batches")
+
+
 def run_aggregate(stream: DataFrame, name: str) -> DataFrame:
     """Run a complete-mode aggregate over everything available and return its last result.
 
@@ -38,8 +44,7 @@ def run_aggregate(stream: DataFrame, name: str) -> DataFrame:
         .option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    schema = stream.schema.add("batch", "int")
-    results = spark.read.schema(schema).parquet(f"{path}/batches")
+    results = _read_batches(stream, path)
     last = results.agg(F.max("batch")).scalar()
     return results.where(F.col("batch") == last).drop("batch")
 
@@ -60,4 +65,4 @@ def take_per_batch(stream: DataFrame, n: int, order: str, name: str) -> DataFram
         .option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/batches").orderBy(order).limit(n)
+    return _read_batches(stream, path).drop("batch").orderBy(order).limit(n)
