@@ -60,16 +60,18 @@ def _bucket_count(df: DataFrame) -> int:
     return 1 << max(4, min(11, (4 * width - 1).bit_length()))
 
 
-def _bounds_below(bounds: Column, value: Column, buckets: int) -> Column:
-    """How many of the sorted bounds are smaller than the value (binary search)."""
-    steps = F.array(*[F.lit(1 << p) for p in range(buckets.bit_length() - 1, -1, -1)])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: F.when(
-            (low + step <= F.size(bounds)) & (F.get(bounds, low + step - 1) < value), low + step
-        ).otherwise(low),
-    )
+def _with_bucket(rows: DataFrame, value: Column, buckets: int) -> DataFrame:
+    """Add ``__bucket``, how many of the sorted ``__bounds`` are smaller than the value.
+
+    A binary search in one projection per step, all inside generated code. A bound past the end is
+    NULL, so the comparison fails.
+    """
+    found = rows.withColumn("__bucket", F.lit(0))
+    for power in range(buckets.bit_length() - 1, -1, -1):
+        reached = F.col("__bucket") + F.lit(1 << power)
+        smaller = F.get(F.col("__bounds"), reached - 1) < value
+        found = found.withColumn("__bucket", F.when(smaller, reached).otherwise(F.col("__bucket")))
+    return found.drop("__bounds")
 
 
 def ordered_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -86,15 +88,12 @@ def ordered_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame
             F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(8 * buckets)).alias("__bounds")
         )
     )
-    bucket = _bounds_below(F.col("__bounds"), F.col(value).cast("double"), buckets)
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    counts = counts.join(bounds, list(group)).select(*group, value, "n_equal", bucket.alias("__bucket"))
+    place = lambda rows: _with_bucket(rows.join(bounds, list(group)), F.col(value).cast("double"), buckets)
+    counts = place(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_equal")))
     keys = [*group, "__bucket"]
     # Bucket sizes come from the rows, not from `counts`: their partial sums are at most `buckets` rows
     # per group and task, where the distinct values would be shuffled a second time.
-    sizes = df.select(*group, value).join(bounds, list(group)).groupBy(*group, bucket.alias("__bucket")).agg(
-        F.count(F.lit(1)).alias("__size")
-    )
+    sizes = place(df.select(*group, value)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
     whole = Window.partitionBy(*group)
     before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
