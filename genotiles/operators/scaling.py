@@ -15,6 +15,8 @@ MIN_PAIRED_REGIONS = 10
 MIN_KEPT_REGIONS = 5
 MIN_WEIGHT = 1e-10
 
+LOG_DIGITS = 12
+
 
 def scale_factors(tracks: DataFrame, bin_size: int) -> DataFrame:
     """Factor from stored signal to raw counts per bin: ``library_size / 1e9 * bin_size``.
@@ -92,8 +94,9 @@ def tmm_factors(
     pairs = cut_lineage(
         counts.where((F.col("track_index") != chosen) & (F.col("n") >= min_count) & (F.col("lib") > 0))
         .join(reference, "index")
-        .withColumn("m", share - share_ref)
-        .withColumn("a", 0.5 * (share + share_ref))
+        # The JVM log2 is off by a bit or two: without rounding, equal ratios at a cut fall on both sides.
+        .withColumn("m", F.round(share - share_ref, LOG_DIGITS))
+        .withColumn("a", F.round(0.5 * (share + share_ref), LOG_DIGITS))
     )
     cuts = quantiles_of(pairs, ["track_index"], {
         "m_lo": ("m", trim_m), "m_hi": ("m", 1.0 - trim_m), "a_lo": ("a", trim_a), "a_hi": ("a", 1.0 - trim_a),
