@@ -35,11 +35,12 @@ def tmm_from_means(
 ) -> DataFrame:
     """As :func:`tmm_scaling` with the region means at hand; their tracks must be those of the factors."""
     seen = means.groupBy("track_index").agg(F.lit(True).alias("__seen"))
-    libraries = factors.join(seen, "track_index", "full").select(
-        "track_index",
-        F.when(F.col("__seen").isNotNull() & F.col("library_size").isNotNull(), F.col("library_size"))
-        .otherwise(F.raise_error(F.lit("track count mismatch")).cast("double")).alias("library_size"),
+    both = F.col("__seen").isNotNull() & F.col("library_size").isNotNull()
+    # The check sits on the key, which no later step can do without.
+    key = F.when(both, F.col("track_index").cast("int")).otherwise(
+        F.raise_error(F.lit("track count mismatch")).cast("int")
     )
+    libraries = factors.join(seen, "track_index", "full").select(key.alias("track_index"), "library_size")
     return scaling.apply_tmm(factors, scaling.tmm_factors(means, libraries, region_length_kb, **options))
 
 
