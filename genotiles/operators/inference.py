@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from genotiles.functions.arrays import one_hot_numpy
+from genotiles.functions.arrays import one_hot_arrow, one_hot_numpy
 from genotiles.functions.signal import inverse_value
 
 Model = Callable[[np.ndarray], np.ndarray]
@@ -24,17 +24,19 @@ def predict_windows(
     tracks: Sequence[int] | None = None,
     inverse_squash: bool = False,
     on_error: str = "raise",
+    include_input: bool = False,
 ) -> DataFrame:
-    """Add ``values [T][B]`` to windows that carry ``seq``.
+    """Add ``values [T][B]`` to windows that carry ``seq``, which is dropped.
 
     ``load_model`` runs once per task; the model maps ``[batch, 4, L]`` to ``[batch, T, B]``. Only
     ``tracks`` are kept, already inside the task. With ``on_error='skip'`` a batch that fails is tried
-    window by window and the windows that fail are left out.
+    window by window and the windows that fail are left out. ``include_input`` keeps the one-hot input
+    as ``input [4][L]``.
     """
     if on_error not in ("raise", "skip"):
         raise ValueError("on_error must be 'raise' or 'skip'")
     wanted = None if tracks is None else list(tracks)
-    kept = [f for f in windows.schema.fields if f.name != "seq"]
+    kept = [f for f in windows.schema.fields if include_input or f.name != "seq"]
     values_type = T.ArrayType(T.ArrayType(T.FloatType()))
     schema = T.StructType([*kept, T.StructField("values", values_type)])
     names = [f.name for f in kept]
@@ -73,6 +75,8 @@ def predict_windows(
                 )
 
     predicted = windows.mapInArrow(score, schema)
+    if include_input:
+        predicted = predicted.withColumn("input", one_hot_arrow("seq")).drop("seq")
     if inverse_squash:
         undo = lambda v: inverse_value(v, apply_scale=False).cast("float")
         predicted = predicted.withColumn(

@@ -13,6 +13,7 @@ from genotiles.operators.inference import Model, by_track, predict_windows
 from genotiles.operators.regions import check_coordinates
 from genotiles.operators.tracks import select_tracks
 from genotiles.plans.build import Geometry
+from genotiles.session import cut_lineage
 from genotiles.sinks.tables import check_unique_names, write_signal
 
 WINDOW_KEYS = ("chrom", "pred_start", "pred_end", "ctx_start", "ctx_end")
@@ -29,6 +30,7 @@ def predict(
     batch_size: int = 4,
     inverse_squash: bool = False,
     on_error: str = "raise",
+    include_input: bool = False,
     chunk_bases: int = CHUNK_BASES,
 ) -> DataFrame:
     """``(chrom, pred_start, pred_end, ctx_start, ctx_end, len, values)`` for windows with ``len``.
@@ -46,7 +48,8 @@ def predict(
         chunks, geometry.context_length, key=keys, chunk=chunk_bases,
     )
     return predict_windows(
-        fetched, load_model, batch_size=batch_size, tracks=tracks, inverse_squash=inverse_squash, on_error=on_error
+        fetched, load_model, batch_size=batch_size, tracks=tracks, inverse_squash=inverse_squash,
+        on_error=on_error, include_input=include_input,
     )
 
 
@@ -104,5 +107,7 @@ def predict_signal(
     named = intervals.join(names, "track")
     if folder is not None:
         check_unique_names(chosen)
+        # Written and returned from one run of the model.
+        named = cut_lineage(named)
         write_signal(named, contigs, folder)
     return named

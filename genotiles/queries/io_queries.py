@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from genotiles.operators import tracks as T
 from genotiles.operators.examples import example_means
-from genotiles.operators.regions import assign_splits, with_local_index
 from genotiles.plans.build import build_dataset
 from genotiles.plans.scale import enrich_tracks, original_scaling
 from genotiles.queries import views as V
@@ -139,11 +138,12 @@ def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Track records through a metadata document, enriched on the way."""
+    """Track records through metadata documents, enriched on the way; a dataset has up to 50 tracks."""
     folder = new_shared_path(spark, "metadata")
     records = enrich_tracks(V.tracks(spark, sf_dir), original_scaling(V.tracks(spark, sf_dir), 32))
-    document = spark.range(1).select(F.lit(32).alias("bin_size"))
-    TS.write_metadata_document(document, records, f"{folder}/{TR.METADATA_FILES[0]}")
+    records = records.withColumn("dataset", F.expr("track_index div 50"))
+    documents = records.select("dataset").distinct().withColumn("bin_size", F.lit(32))
+    TS.write_metadata_documents(documents, records, f"{folder}/{TR.METADATA_FILES[0]}")
     found = TR.track_records(TR.read_metadata(spark, folder))
     return found.select(
         F.col("track_index").cast("int").alias("track_index"), "path", "strand", rounded("scale_factor").alias("scale_factor")

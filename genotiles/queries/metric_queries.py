@@ -10,6 +10,7 @@ from genotiles.operators.ordering import top_k
 from genotiles.plans.evaluate import evaluate, track_report
 from genotiles.queries import views as V
 from genotiles.queries.base import Query, rounded, rounded_sql
+from genotiles.queries.score_queries import mean_score_sql
 
 TOP = 8
 N_BINS = 10
@@ -292,5 +293,12 @@ QUERIES = [
     Query("best_run", "MET-15", best_part, f"""{_P},
         e AS (SELECT index, round(avg((pred - target) * (pred - target)), 6) AS mse FROM pairs GROUP BY index)
         SELECT index, mse FROM e ORDER BY mse, index LIMIT 1"""),
-    Query("evaluation", "PIPE-7 LOSS-10", evaluation, None),
+    Query("evaluation", "PIPE-7 LOSS-10", evaluation, f"""{_P}, {_CORR},
+        medians AS (SELECT quantile_cont(r_bin, 0.5) AS b, quantile_cont(r_top, 0.5) AS t,
+                           quantile_cont(r_total, 0.5) AS s FROM corr)
+        SELECT 'pearson_bin_median' AS metric, {rounded_sql('b')} AS value FROM medians
+        UNION ALL SELECT 'pearson_top{TOP}_median', {rounded_sql('t')} FROM medians
+        UNION ALL SELECT 'pearson_total_median', {rounded_sql('s')} FROM medians
+        """ + " ".join(f"UNION ALL SELECT '{name}', (WITH {sql} SELECT {rounded_sql('avg(score)')} FROM score)"
+                       for name, sql in mean_score_sql(N_BINS).items())),
 ]

@@ -118,6 +118,15 @@ _SQL = {
 }
 
 
+def mean_score_sql(n_bins: int) -> dict[str, str]:
+    """CTEs that end in ``score`` for the scorers of the evaluation, over examples of ``n_bins`` bins."""
+    return {
+        "poisson_multinomial": _poisson_multinomial("pairs", str(n_bins), "score"), "mse": _SQL["mse"],
+        "log1p_huber": f"score AS (SELECT index, track, avg({_huber(_LOG_GAP, 1.0)}) AS score FROM pairs GROUP BY index, track)",
+        "poisson_nll": _SQL["poisson_nll"], "topk_reweight": _REWEIGHT,
+    }
+
+
 def _example(name: str, operators: str, scorer, sql: str) -> Query:
     return Query(f"score_{name}", operators, per_example(scorer), f"{_P}, {_SQL[sql]} {_SCORE}")
 

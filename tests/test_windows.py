@@ -164,7 +164,9 @@ def test_region_prediction_and_records(spark):
     bed = spark.createDataFrame([(7, "c", 190, 210)], BED)
     row = predict_regions(bed, sizes, chunks, GEOMETRY, load_counter, tracks=[1, 0]).first()
     assert (row["pred_start"], row["pred_end"], row["ctx_start"], row["ctx_end"]) == (180, 220, 170, 230)
-    assert row["values"] == [[1.0] * 4, [10.0, 10.0, 0.0, 0.0]]
+    assert row["values"] == [[1.0] * 4, [10.0, 10.0, 0.0, 0.0]] and "input" not in row.asDict()
+    row = predict_regions(bed, sizes, chunks, GEOMETRY, load_counter, include_input=True).first()
+    np.testing.assert_array_equal(np.array(row["input"]), A.one_hot_numpy("A" * 30 + "C" * 30))
     out = predict_regions(bed, sizes, chunks, GEOMETRY, load_counter)
     records = W.long_records(out, 10).where("track = 0").orderBy("start_pos").collect()
     assert [(r["start_pos"], r["end_pos"], r["value"]) for r in records] == [
