@@ -78,8 +78,8 @@ def ordered_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame
     """One row per (group, value): ``n_equal`` rows, ``n_below`` rows with a smaller value, ``n_total`` of the group.
 
     Equal values are counted before the shuffle, so ties cost nothing. The bucket bounds come from
-    a quantile sketch and are checkpointed (one small row per group): both uses of them then see
-    the same bounds even if a task is run again.
+    a quantile sketch and are written down (one small row per group): both uses of them then see the
+    same bounds even if a task is run again.
     """
     buckets = _bucket_count(df)
     cuts = [i / buckets for i in range(1, buckets)]

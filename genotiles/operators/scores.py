@@ -209,15 +209,15 @@ def topk_reweight(
     """
     y, p = F.col("target") + epsilon, F.col("pred") + epsilon
     entropy = F.sum(y * _clamped_log_share(p, epsilon))
-    sums = pairs.groupBy(*KEYS).agg(F.sum(p).alias("row_sum"), F.sum(y).alias("__sy"))
-    whole = pairs.join(sums.select(*KEYS, "row_sum"), KEYS).groupBy(*KEYS).agg(entropy.alias("__all"))
-    top = _peaks(pairs, peak_count(n_bins, topk_fraction)).join(sums.select(*KEYS, "row_sum"), KEYS).groupBy(
-        *KEYS
-    ).agg(entropy.alias("__top"))
+    rows = _with_row_sum(pairs, p)
+    whole = rows.groupBy(*KEYS).agg(
+        entropy.alias("__all"), F.sum(y).alias("__sy"), F.first("row_sum").alias("__sp")
+    )
+    top = _peaks(rows, peak_count(n_bins, topk_fraction)).groupBy(*KEYS).agg(entropy.alias("__top"))
     length = float(n_bins)
     multinomial = -(F.col("__all") + (topk_weight - 1.0) * F.col("__top")) / length
-    poisson = _poisson(F.col("row_sum"), F.col("__sy")) / length
-    return whole.join(top, KEYS).join(sums, KEYS).select(
+    poisson = _poisson(F.col("__sp"), F.col("__sy")) / length
+    return whole.join(top, KEYS).select(
         *KEYS, multinomial.alias("multinomial"), poisson.alias("poisson"),
         (multinomial + poisson_weight * poisson).alias("score"),
     )

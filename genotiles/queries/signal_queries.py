@@ -13,6 +13,7 @@ from genotiles.schemas import DEFAULT_SPLITS
 
 SHIFT = V.BIN
 STORED = V.N_BINS + 2
+FULL_LENGTH = 720 * V.BIN - V.BIN
 
 
 def windows(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
@@ -137,9 +138,9 @@ def chrom_major(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bad_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions checked against contigs of which every tenth is taken away, some turned around."""
-    known = V.contigs(spark, sf_dir).where(F.col("chrom_rank") % 10 != 0)
-    turned = F.when(F.col("index") % 97 == 0, F.col("start_pos") - 1).otherwise(F.col("end_pos"))
+    """Regions checked against the contigs that reach the last hour; those of one fold end before they start."""
+    known = V.contigs(spark, sf_dir).where(F.col("len") >= FULL_LENGTH)
+    turned = F.when(F.col("fold") == "fold5", F.col("start_pos") - 1).otherwise(F.col("end_pos"))
     return R.invalid_coordinates(V.regions(spark, sf_dir).withColumn("end_pos", turned), known).select("index", "reason")
 
 
@@ -280,8 +281,8 @@ QUERIES = [
           f"{V.with_views('regions', 'contigs')} SELECT index, chrom, coalesce(len, 0) AS len "
           "FROM regions LEFT JOIN contigs USING (chrom) ORDER BY len DESC, chrom, index"),
     Query("invalid_regions", "FLT-8", bad_coordinates, f"""{V.with_views('regions', 'contigs')},
-        k AS (SELECT chrom FROM contigs WHERE chrom_rank % 10 <> 0),
-        t AS (SELECT r.*, CASE WHEN index % 97 = 0 THEN start_pos - 1 ELSE end_pos END AS stop, k.chrom AS known
+        k AS (SELECT chrom FROM contigs WHERE len >= {FULL_LENGTH}),
+        t AS (SELECT r.*, CASE WHEN fold = 'fold5' THEN start_pos - 1 ELSE end_pos END AS stop, k.chrom AS known
               FROM regions r LEFT JOIN k ON r.chrom = k.chrom)
         SELECT index, CASE WHEN known IS NULL THEN 'unknown chromosome'
                            ELSE 'coordinates must satisfy 0 <= start <= end' END AS reason

@@ -128,14 +128,14 @@ def by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _original(spark, sf_dir).where(F.col("track_index") % 4 != 0)
+    known = _original(spark, sf_dir).where(F.col("library_size") > 0)
     records = V.tracks(spark, sf_dir).withColumn("scale_factor", F.lit(2.5))
     rows = enrich_tracks(records, known)
     return rows.select("track_index", rounded("scale_factor").alias("scale_factor"), "clip_soft", "clip_hard")
 
 
 def enriched_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _original(spark, sf_dir).where(F.col("track_index") % 4 != 0)
+    known = _original(spark, sf_dir).where(F.col("library_size") > 0)
     return T.enrichment_count(V.tracks(spark, sf_dir), known)
 
 
@@ -282,11 +282,11 @@ QUERIES = [
     Query("factors_by_path", "JOIN-7", by_path, f"""{V.with_views('tracks')}
         SELECT path, count(*) AS n_files, min(track_index) AS track_index FROM tracks GROUP BY path"""),
     Query("enriched_tracks", "JOIN-8 PIPE-4", enriched, f"""{_ORIGINAL}
-        SELECT track_index, {rounded_sql('CASE WHEN track_index % 4 <> 0 THEN scale_factor ELSE 2.5 END')} AS scale_factor,
-               CASE WHEN track_index % 4 <> 0 THEN clip_soft END AS clip_soft,
-               CASE WHEN track_index % 4 <> 0 THEN clip_hard END AS clip_hard FROM original"""),
+        SELECT track_index, {rounded_sql('CASE WHEN library_size > 0 THEN scale_factor ELSE 2.5 END')} AS scale_factor,
+               CASE WHEN library_size > 0 THEN clip_soft END AS clip_soft,
+               CASE WHEN library_size > 0 THEN clip_hard END AS clip_hard FROM original"""),
     Query("enrichment_count", "JOIN-8", enriched_count,
-          "SELECT count(*) FILTER (s_suppkey % 4 <> 0) AS n_updated, count(*) AS n_tracks FROM supplier"),
+          f"{_ORIGINAL} SELECT count(*) FILTER (library_size > 0) AS n_updated, count(*) AS n_tracks FROM original"),
     Query("tmm_factors", "AGG-11", tmm,
           f"{_TMM} SELECT track_index, {rounded_sql('tmm_factor')} AS tmm_factor FROM tmm"),
     Query("tmm_scaling", "AGG-12 PIPE-3", tmm_scaled, f"""{_TMM}
