@@ -78,11 +78,6 @@ def permute_rows(matrix: Column, permutation: Column) -> Column:
     return F.transform(permutation, lambda i: F.element_at(matrix, i + 1))
 
 
-def crop_sequence(seq: Column, shift_bins: Column, bin_size: int, length: int) -> Column:
-    """Part of a sequence string that a shift of ``shift_bins`` bins selects."""
-    return F.substring(seq, shift_bins * bin_size + 1, F.lit(length))
-
-
 def crop_columns(matrix: Column, offset: Column, length: int) -> Column:
     """Same columns of every row."""
     return F.transform(matrix, lambda row: F.slice(row, offset + 1, length))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -48,6 +48,21 @@ def pairs_from_nested(predictions: DataFrame, examples: DataFrame) -> DataFrame:
     )
 
 
-def evaluation_sample(examples: DataFrame, max_samples: int | None, seed: int) -> DataFrame:
-    """All examples, or a repeatable random sample of them in order."""
-    return examples if max_samples is None else random_sample(examples, max_samples, seed)
+def evaluate_examples(
+    examples: DataFrame,
+    predictions: DataFrame,
+    transform: Callable[[DataFrame], DataFrame],
+    *,
+    topk_bins: int,
+    n_bins: int,
+    losses: Sequence[Mapping[str, Any]],
+    max_samples: int | None = None,
+    seed: int = 42,
+) -> DataFrame:
+    """Evaluate predictions ``(index, values)`` of stored examples in transformed label space.
+
+    With ``max_samples`` a repeatable random sample of the examples is used, drawn before anything is
+    transformed.
+    """
+    chosen = examples if max_samples is None else random_sample(examples, max_samples, seed)
+    return evaluate(pairs_from_nested(predictions, chosen.transform(transform)), topk_bins, n_bins, losses)

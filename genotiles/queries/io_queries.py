@@ -11,7 +11,7 @@ from genotiles.plans.build import build_dataset
 from genotiles.plans.scale import enrich_tracks, original_scaling
 from genotiles.queries import views as V
 from genotiles.queries.base import Query, rounded, rounded_sql
-from genotiles.queries.window_queries import BUILD, _BUILD_SQL, _DOC_REGIONS, _chunks, _doc_contigs
+from genotiles.queries.window_queries import BUILD, _BUILD_SQL, _chunks, _doc_contigs
 from genotiles.session import new_shared_path
 from genotiles.sinks import examples as XS, tables as TS
 from genotiles.sources import examples as XR, intervals as I, sequences as Q, tracks as TR

@@ -57,7 +57,6 @@ def fold_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P = V.with_views("pairs")
 _PM = """-(sum((target + 1e-6) * ln((pred + 1e-6) / sp))) / {l}
          + 0.2 * (max(sp) - sum(target + 1e-6) * ln(max(sp))) / {l}"""
-_WITH_SUM = """summed AS (SELECT *, sum(pred + 1e-6) OVER (PARTITION BY index, track) AS sp FROM {source})"""
 
 
 def _poisson_multinomial(source: str, length: str, name: str) -> str:

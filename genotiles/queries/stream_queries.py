@@ -11,7 +11,6 @@ from genotiles.queries.base import Query, rounded, rounded_sql
 from genotiles.queries.metric_queries import _FINAL, _STATE_SUMS
 from genotiles.queries.window_queries import (
     _TENSOR_CELLS,
-    SEED,
     _cells,
     _read_sql,
     _rounded_cells,

@@ -12,7 +12,8 @@ from genotiles.functions import arrays as A, signal as G
 from genotiles.operators import augment, collapse, examples, inference, sampling, windows as W
 from genotiles.operators.regions import with_context_window
 from genotiles.plans.build import BuildOptions, Geometry, build_examples
-from genotiles.plans.predict import predict, predict_regions, predict_signal
+from genotiles.plans.evaluate import evaluate_examples
+from genotiles.plans.predict import predict_regions, predict_signal
 from genotiles.queries import views as V
 from genotiles.queries.base import Query, rounded, rounded_sql
 
@@ -212,6 +213,17 @@ def read_time(center: bool):
     return build
 
 
+def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of the examples scored against predictions that mirror their transformed labels."""
+    stored = as_examples(V.tensors(spark, sf_dir))
+    transform = read_transform(spark, center=True)
+    predictions = stored.transform(transform).select("index", A.reverse_bins(F.col("labels")).alias("values"))
+    rows = evaluate_examples(
+        stored, predictions, transform, topk_bins=5, n_bins=12, losses=[{"name": "mse"}], max_samples=200, seed=SEED
+    )
+    return rows.select("metric", rounded("value", 4).alias("value"))
+
+
 def load_counting_model() -> inference.Model:
     """Model of two tracks: bases A, and bases C or G, counted per bin in the middle of the context."""
     bins, size = GEOMETRY.n_pred_bins, GEOMETRY.bin_size
@@ -341,6 +353,10 @@ _KNEE = "(pow(9.0::DOUBLE, 0.75::DOUBLE) - 1)"
 _FULL = f"CASE WHEN {_SQUASHED} > {_KNEE} THEN {_KNEE} - 1 + sqrt({_SQUASHED} - {_KNEE} + 1) ELSE {_SQUASHED} END"
 
 
+_INVERSE = ("greatest(pow(greatest(value * 10, 0) + 1, 4.0::DOUBLE / 3.0::DOUBLE) - 1, 0) "
+            "/ greatest(2.0::DOUBLE * track, 1e-8)")
+
+
 def _read_sql(shift: str, flip: str) -> str:
     """Crop, signal transform, then reverse complement with swapped neighbours where ``flip``."""
     big = "CAST(CAST(value AS FLOAT) * 50::FLOAT AS DOUBLE)"
@@ -389,6 +405,29 @@ _BUILD_SQL = f"""{_DOC_REGIONS.replace('- 128 AS ctx_start', '- 136 AS ctx_start
            {rounded_sql('coalesce(t2, 0)', 3)} AS labels_2
     FROM used LEFT JOIN wide USING (index)"""
 
+def _evaluated_sql() -> str:
+    """Mirrored labels as predictions; correlation from sums, over all bins, the top five and totals."""
+    def sums(name: str, source: str) -> str:
+        return (f"{name} AS (SELECT track, count(*) AS n, sum(pred) AS sp, sum(target) AS st, sum(pred * target) AS spt, "
+                f"sum(pred * pred) AS sp2, sum(target * target) AS st2 FROM {source} GROUP BY track)")
+
+    r = ("CASE WHEN n * sp2 - sp * sp > 0 AND n * st2 - st * st > 0 "
+         "THEN (n * spt - sp * st) / sqrt((n * sp2 - sp * sp) * (n * st2 - st * st)) END")
+    median = lambda name: rounded_sql(f"(SELECT quantile_cont({r}, 0.5) FROM {name})", 4)
+    labels = _read_sql("2", "false").rsplit("SELECT index, track, bin,", 1)[0]
+    return f"""{labels}, chosen AS (
+        SELECT index FROM tensors ORDER BY md5(index || ':{SEED}'), index LIMIT 200),
+    pairs AS (SELECT t.index, t.track, t.bin, p.value AS pred, t.value AS target,
+                     row_number() OVER (PARTITION BY t.index, t.track ORDER BY t.value DESC, t.bin) AS rn
+              FROM lab t JOIN lab p ON p.index = t.index AND p.track = t.track AND p.bin = 11 - t.bin
+              JOIN chosen ON chosen.index = t.index),
+    totals AS (SELECT index, track, sum(pred) AS pred, sum(target) AS target FROM pairs GROUP BY index, track),
+    {sums('a', 'pairs')}, {sums('b', '(SELECT * FROM pairs WHERE rn <= 5)')}, {sums('c', 'totals')}
+    SELECT 'pearson_bin_median' AS metric, {median('a')} AS value
+    UNION ALL SELECT 'pearson_top5_median', {median('b')} UNION ALL SELECT 'pearson_total_median', {median('c')}
+    UNION ALL SELECT 'mse', {rounded_sql('(SELECT avg((pred - target) * (pred - target)) FROM pairs)', 4)}"""
+
+
 QUERIES = [
     Query("targeted_windows", "WIN-1 WIN-3 PRJ-3", targeted,
           f"{_TARGETED} SELECT index, chrom_rank, pred_start, pred_start + {PRED_BP} AS pred_end, ctx_start, "
@@ -440,9 +479,8 @@ QUERIES = [
           f"{rounded_sql(f'pow(({_TRANSFORM}) * 40.0::DOUBLE * (track + 1) + 1, 0.75::DOUBLE) - 1')} AS value FROM cells"),
     Query("transform_without_squash", "ARR-4", transformed(apply_squash=False),
           f"{_TENSOR_CELLS} SELECT index, track, bin, {rounded_sql(_CLIPPED)} AS value FROM cells"),
-    Query("inverse_transform", "ARR-5", inverse, f"""{_TENSOR_CELLS}
-        SELECT index, track, bin, {rounded_sql("greatest(pow(greatest(value * 10, 0) + 1, 4.0::DOUBLE / 3.0::DOUBLE) - 1, 0) / greatest(2.0::DOUBLE * track, 1e-8)", 3)} AS value
-        FROM cells"""),
+    Query("inverse_transform", "ARR-5", inverse,
+          f"{_TENSOR_CELLS} SELECT index, track, bin, {rounded_sql(_INVERSE, 3)} AS value FROM cells"),
     Query("target_transforms", "ARR-7 ARR-8", targets, f"""{_TENSOR_CELLS},
         x AS (SELECT *, value * 10 AS x FROM cells)
         SELECT index, track, bin, {rounded_sql('sign(x) * (sqrt(abs(x) + 1) - 1) + 0.01::DOUBLE * x')} AS squashed,
@@ -453,6 +491,7 @@ QUERIES = [
     Query("read_time_transform_eval", "ARR-6 ARR-2 ARR-4", read_time(True), _read_sql("2", "false")),
     Query("read_time_transform_train", "ARR-6 ARR-2 ARR-3 ARR-4", read_time(False),
           _read_sql(f"{_HASH.format(salt='shift')} % 5", f"({_HASH.format(salt='flip')} % 2 = 0)")),
+    Query("evaluate_examples", "PIPE-7 LIM-1 ARR-6 MET-7 MET-8 LOSS-8", evaluated, _evaluated_sql()),
     Query("predict_regions", "UDF-1 FLT-8 WIN-1", predicted_regions,
           f"{_DOC_REGIONS}, {_counts_sql('ctx', 'index')} SELECT index, CAST(track AS BIGINT) AS track, bin, value FROM counts"),
     Query("predict_signal", "PIPE-5 UDF-1 WIN-2 WIN-5", predicted_signal, f"""{_DOC_TILES},

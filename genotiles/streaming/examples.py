@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from genotiles.operators.sampling import stride, stride_filter
+from genotiles.schemas import EXAMPLES
 from genotiles.session import new_shared_path
+from genotiles.sources.examples import examples_path
 
 
 def stream_parquet(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
@@ -22,6 +24,12 @@ def stream_parquet(spark: SparkSession, path: str, *, files_per_trigger: int | N
     return reader.parquet(f"{plain[:-1]}[{plain[-1]}]")
 
 
+def stream_examples(spark: SparkSession, root: str, *, files_per_trigger: int = 1000) -> DataFrame:
+    """Examples of a dataset, incrementally; the schema is known, so no file is read up front."""
+    reader = spark.readStream.schema(EXAMPLES).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(examples_path(root))
+
+
 def transform_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The batch transform, unchanged."""
     return stream.transform(transform)

@@ -174,6 +174,8 @@ def test_build_end_to_end(spark, tmp_path):
             np.testing.assert_allclose(r["labels"][t], bins, rtol=1e-5)
     local = sorted((r["local_index"], r["index"]) for r in found if r["split"] == "train")
     assert [i for _, i in local] == sorted(i for _, i in local) and local[0][0] == 0
+    streamed = SX.run_to_table(SX.stream_examples(spark, root, files_per_trigger=5).select("split", "index"), "test")
+    assert rows(streamed, "split", "index") == sorted((r["split"], r["index"]) for r in found)
     again = B.build_dataset(root, regions, signal, tracks, contigs, chunks, options())
     assert again == [], "all splits are there"
     more = B.build_dataset(root, regions, signal, tracks, contigs, chunks, options(splits={"train": ["fold0"], "extra": ["fold2"]}))
