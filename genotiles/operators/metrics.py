@@ -207,9 +207,11 @@ def paired_groups(tracks: DataFrame, group: str | None = "group_id") -> DataFram
 def paired_fold_changes(pairs: DataFrame, pseudocount: float = 1.0) -> DataFrame:
     """Per (index, group, bin) log2 fold change between the mean perturbed and mean baseline track.
 
-    ``pairs`` carries ``group_id`` and ``condition_id``. Tracks are averaged before the log. Groups
-    that lack a side drop out.
+    ``pairs`` carries ``condition_id`` and, unless all tracks are one group, ``group_id``. Tracks are
+    averaged before the log. Groups that lack a side drop out.
     """
+    if "group_id" not in pairs.columns:
+        pairs = pairs.withColumn("group_id", F.lit(0))
     side = lambda condition, column: F.avg(F.when(F.col("condition_id") == condition, F.col(column)))
     change = lambda column: (
         F.log2(side(1, column) + pseudocount) - F.log2(side(0, column) + pseudocount)

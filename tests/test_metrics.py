@@ -142,6 +142,8 @@ def test_paired_fold_changes_average_before_the_log(spark):
         assert (p, m) == (pytest.approx(change(pred)[e, b]), pytest.approx(change(target)[e, b]))
     huber = np.where(np.abs(gap) <= 0.5, gap**2 / 2, 0.5 * (np.abs(gap) - 0.25)).mean()
     assert S.paired_fold_change_score(frame).first()["score"] == pytest.approx(huber)
+    one = M.paired_fold_changes(paired(spark, pred, target, [0, 0, 1, 1, 2], [0] * 5).drop("group_id"))
+    assert rows(one, "index", "bin") == sorted((e, b) for e, _, b in found)
     none = paired(spark, pred, target, [0] * 5, [0] * 5)
     assert S.paired_fold_change_score(none).first()["score"] == 0.0
 
@@ -279,3 +281,26 @@ def test_pairs_from_nested_rows(spark):
     examples = spark.createDataFrame([(0, [[5.0, 6.0], [7.0, 8.0]])], "index int, labels array<array<float>>")
     assert rows(pairs_from_nested(predictions, examples), "track", "bin", "pred", "target") == [
         (0, 0, 1.0, 5.0), (0, 1, 2.0, 6.0), (1, 0, 3.0, 7.0), (1, 1, 4.0, 8.0)]
+
+
+def test_hot_example_and_hot_value(spark):
+    """One (example, track) holds most bins and a third of the targets are the same value."""
+    rng = np.random.default_rng(6)
+    n = 6000
+    index = np.where(rng.random(n) < 0.6, 0, rng.integers(1, 300, n))
+    pred, target = rng.gamma(2.0, 5.0, n), np.where(rng.random(n) < 0.33, 0.0, np.round(rng.gamma(2.0, 5.0, n), 1))
+    data = [(int(e), 0, i, float(p), float(y)) for i, (e, p, y) in enumerate(zip(index, pred, target))]
+    frame = spark.createDataFrame(data, PAIRS).repartition(16)
+    statistics = {r["index"]: r for r in M.example_statistics(frame, 20).collect()}
+    own = index == 0
+    top = np.lexsort((np.arange(n)[own], -target[own]))[:20]
+    assert statistics[0]["n_all"] == own.sum() and statistics[0]["n_top"] == 20
+    assert statistics[0]["sum_pt_top"] == pytest.approx((pred[own][top] * target[own][top]).sum())
+    assert sum(r["n_all"] for r in statistics.values()) == n
+    expected = np.corrcoef(average_ranks(pred), average_ranks(target))[0, 1]
+    assert M.spearman(frame, ["track"]).first()["spearman"] == pytest.approx(expected)
+    score = {r["index"]: r["score"] for r in S.topk_reweight(frame, n_bins=500, topk_fraction=0.04).collect()}
+    y, p = target[own] + EPS, pred[own] + EPS
+    ce = -(y * np.log(np.maximum(p / p.sum(), EPS)))
+    whole = (ce.sum() + 3.0 * ce[top].sum()) / 500 + 0.2 * (p.sum() - y.sum() * np.log(p.sum())) / 500
+    assert score[0] == pytest.approx(whole)
