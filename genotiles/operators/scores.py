@@ -89,8 +89,11 @@ def _with_row_sum(pairs: DataFrame, value: Column) -> DataFrame:
 
     A grouped sum joined back and not a window: the join may split a hot group, a window may not.
     """
-    sums = pairs.groupBy(*KEYS).agg(F.sum(value).alias("row_sum"))
-    return pairs.join(sums, KEYS)
+    return pairs.join(_row_sums(pairs, value), KEYS)
+
+
+def _row_sums(pairs: DataFrame, value: Column) -> DataFrame:
+    return pairs.groupBy(*KEYS).agg(F.sum(value).alias("row_sum"))
 
 
 def _clamped_log_share(pred: Column, epsilon: float) -> Column:
@@ -209,11 +212,12 @@ def topk_reweight(
     """
     y, p = F.col("target") + epsilon, F.col("pred") + epsilon
     entropy = F.sum(y * _clamped_log_share(p, epsilon))
-    rows = _with_row_sum(pairs, p)
-    whole = rows.groupBy(*KEYS).agg(
+    whole = _with_row_sum(pairs, p).groupBy(*KEYS).agg(
         entropy.alias("__all"), F.sum(y).alias("__sy"), F.first("row_sum").alias("__sp")
     )
-    top = _peaks(rows, peak_count(n_bins, topk_fraction)).groupBy(*KEYS).agg(entropy.alias("__top"))
+    # The top bins are cut out first; only they are joined to the row sums, whose shuffle is reused.
+    peaks = _peaks(pairs, peak_count(n_bins, topk_fraction)).join(_row_sums(pairs, p), KEYS)
+    top = peaks.groupBy(*KEYS).agg(entropy.alias("__top"))
     length = float(n_bins)
     multinomial = -(F.col("__all") + (topk_weight - 1.0) * F.col("__top")) / length
     poisson = _poisson(F.col("__sp"), F.col("__sy")) / length

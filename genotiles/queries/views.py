@@ -66,7 +66,7 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled intervals from orders; starts are not aligned to bins."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     start = F.pmod(F.col("o_orderkey") * 7919, F.lit(REGION_SPAN))
     return orders.select(
         F.col("o_orderkey").alias("index"),
@@ -81,12 +81,6 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs_of(table(spark, sf_dir, "lineitem"))
 
 
-def spread_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for rank and quantile metrics, which work on every value."""
-    columns = ("l_partkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    return pairs_of(spread(spark, sf_dir, "lineitem", *columns))
-
-
 def pairs_of(lines: DataFrame) -> DataFrame:
     """The same from a batch or a stream of lines."""
     return lines.select(
@@ -150,7 +144,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested examples: an embedding of 64 values read as 4 tracks x 16 bins."""
-    return tensors_of(table(spark, sf_dir, "embeddings"))
+    return tensors_of(spread(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
 def tensors_of(embeddings: DataFrame) -> DataFrame:
@@ -196,7 +190,7 @@ def genome_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def genome_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled intervals on the document contigs, from orders."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(spark, sf_dir, "orders", "o_orderkey")
     start = F.pmod(F.col("o_orderkey") * 7919, F.lit(2000))
     return orders.select(
         F.col("o_orderkey").alias("index"),
