@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from genotiles.llm.contamination import contaminated
 from genotiles.llm.jaccard_join import linked_documents
 from genotiles.llm.repeats import repeat_report
 from genotiles.llm.tables import read
@@ -19,12 +20,17 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(read(spark, sf_dir, "documents"))
 
 
+def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES = (
     Query("op2_repeats", "LLM-2", op2_repeats, None),
+    Query("op6_contamination", "LLM-6", op6_contamination, None),
     Query("op9_jaccard_join", "LLM-9", op9_jaccard_join, None),
     Query("op10_toxicity", "LLM-10", op10_toxicity, None),
 )
