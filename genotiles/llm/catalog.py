@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from genotiles.llm.contamination import contaminated
 from genotiles.llm.jaccard_join import linked_documents
+from genotiles.llm.packing import PackingOptions, pack
 from genotiles.llm.repeats import repeat_report
 from genotiles.llm.tables import read
 from genotiles.llm.toxicity import toxicity_report
@@ -24,6 +26,10 @@ def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), PackingOptions(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(read(spark, sf_dir, "documents"))
 
@@ -31,6 +37,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     Query("op2_repeats", "LLM-2", op2_repeats, None),
     Query("op6_contamination", "LLM-6", op6_contamination, None),
+    Query("op7_packing", "LLM-7", op7_packing, None),
     Query("op9_jaccard_join", "LLM-9", op9_jaccard_join, None),
     Query("op10_toxicity", "LLM-10", op10_toxicity, None),
 )
