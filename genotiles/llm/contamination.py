@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from genotiles.llm.bits import bit_table, has
 from genotiles.llm.tables import written
 from genotiles.llm.tokens import column_of, pieces, shingles, signed, windows, words
 
-#: 2^BITS bits of a bit table, in words of 64.
+#: 2^BITS bits of a bit table.
 BITS = 24
 
 
@@ -68,22 +69,6 @@ def _item_shingles(options: ContaminationOptions):
     return run
 
 
-def _bit_table(hashes: DataFrame) -> np.ndarray:
-    """The bits of hashes; at most 2^BITS / 64 words reach the driver, however many hashes there are."""
-    place = F.shiftrightunsigned("hash", 64 - BITS)
-    bits = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - BITS}) & 63 as int))")).alias("bits")
-    ).toPandas()
-    table = np.zeros(1 << (BITS - 6), np.int64)
-    table[bits["word"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    return table
-
-
-def _has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> np.uint64(64 - BITS)
-    return (table.view(np.uint64)[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
-
-
 def _document_shingles(sketch: np.ndarray, every: np.ndarray, options: ContaminationOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +76,10 @@ def _document_shingles(sketch: np.ndarray, every: np.ndarray, options: Contamina
             for low, high, data, starts in pieces(column_of(batch, "text")):
                 found = words(data, starts)
                 h, row, at = _places(found, options.size)
-                hit = _has(every, h)
+                hit = has(every, h)
                 h, row, at = h[hit], row[hit], at[hit]
                 sketched = np.zeros(high - low, dtype=bool)
-                sketched[row[_has(sketch, h)]] = True
+                sketched[row[has(sketch, h)]] = True
                 use = sketched[row]
                 h, row, at = h[use], row[use], at[use]
                 if len(h):
@@ -124,7 +109,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, options: Contaminat
     doc_id = documents.schema["doc_id"].dataType.simpleString()
     hits = written(
         documents.select("doc_id", "text").mapInArrow(
-            _document_shingles(_bit_table(sketch), _bit_table(ranked), options), f"doc_id {doc_id}, shingle string"
+            _document_shingles(bit_table(sketch, "hash", BITS), bit_table(ranked, "hash", BITS), options), f"doc_id {doc_id}, shingle string"
         ).distinct(), "hits",
     )
     candidates = hits.join(sketch, "shingle").select("doc_id", "item_id").distinct()

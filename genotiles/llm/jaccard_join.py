@@ -30,7 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genotiles.llm.bits import bit_table, has
 from genotiles.llm.components import components
+from genotiles.llm.groups import complete_groups, group_starts
 from genotiles.llm.tables import written
 from genotiles.llm.tokens import column_of, distinct, mix, pieces, shingles, signed, words
 
@@ -38,6 +40,8 @@ from genotiles.llm.tokens import column_of, distinct, mix, pieces, shingles, sig
 GROUPS = 64
 #: Sizes of one class are below STEP times the smallest.
 STEP = 1.5
+#: 2^BITS bits of a bit table.
+BITS = 26
 #: Points in a leaf of the tree.
 LEAF = 32
 
@@ -96,10 +100,12 @@ def _points(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.bincount(row * GROUPS + group, minlength=rows * GROUPS).reshape(rows, GROUPS).astype("<i4")
 
 
-def _set_batches(options: JaccardOptions, keep_sets: bool):
-    """Per text its set's size and digest, and either the sorted set or its point and keys."""
+def _set_batches(options: JaccardOptions, chosen: np.ndarray | None = None):
+    """Per text its set's size and digest, and its point and keys; or the sorted sets of rows whose bit is chosen."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if chosen is not None:
+                batch = batch.filter(pa.array(has(chosen, column_of(batch, "h").to_numpy().view(np.uint64))))
             ids = column_of(batch, "doc_id")
             for low, high, data, starts in pieces(column_of(batch, "text")):
                 rows = high - low
@@ -109,7 +115,7 @@ def _set_batches(options: JaccardOptions, keep_sets: bool):
                 raw = [h[ends[i] : ends[i + 1]].astype("<u8").tobytes() for i in range(rows)]
                 digest = np.array([xxhash.xxh3_64_intdigest(x) if x else 0 for x in raw], np.uint64)
                 columns = [ids.slice(low, rows), pa.array(sizes, pa.int64()), pa.array(signed(digest))]
-                if keep_sets:
+                if chosen is not None:
                     yield pa.RecordBatch.from_arrays([columns[2], columns[1], pa.array(raw, pa.binary())], names=["d", "n", "tokens"])
                     continue
                 points = _points(h, row, rows)
@@ -158,19 +164,63 @@ def near_points(
                 yield a[x], order[first + y]
 
 
+def _small_pairs(first: np.ndarray, size: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows within groups of at most largest rows: row i and the row k further on, for each k."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, min(largest, int(size.max(initial=0)))):
+        use = (size <= largest) & (size > k)
+        count = size[use] - k
+        rows = np.repeat(first[use], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        left.append(rows)
+        right.append(rows + k)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _tile_pairs(options: JaccardOptions):
-    """Per (key, tile, other tile): pairs that the bound leaves, of different labels."""
-    def run(table: pa.Table) -> pa.Table:
-        ids = table["d"].to_numpy()
-        sizes, labels, side = table["n"].to_numpy(), table["label"].to_numpy(), table["side"].to_numpy()
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), "<i4").reshape(-1, GROUPS)
-        a, b = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        found = [np.zeros((0, 2), np.int64)]
-        for x, y in near_points((points[a], sizes[a], labels[a]), (points[b], sizes[b], labels[b]), options.percent):
-            pair = np.sort(np.stack([ids[a[x]], ids[b[y]]], axis=1), axis=1)
-            found.append(pair[pair[:, 0] != pair[:, 1]])
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+    """Of rows sorted by (key, tile, other tile): pairs that the bound leaves, of different labels.
+
+    Groups of one or two leaves are compared at once for many keys; larger ones through their tree.
+    """
+    keys = ("key", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in complete_groups(batches, keys):
+            ids, sizes, labels, side = (table[c].to_numpy() for c in ("d", "n", "label", "side"))
+            points = np.frombuffer(b"".join(table["point"].to_pylist()), "<i4").reshape(-1, GROUPS)
+            first = group_starts(table, keys)
+            size = np.diff(np.append(first, len(ids)))
+            x, y = _small_pairs(first, size, LEAF)
+            fits = (labels[x] != labels[y]) & ((side[x] != side[y]) | (side[x] == 0))
+            x, y = x[fits], y[fits]
+            need = least_overlap(sizes[x], sizes[y], options.percent)
+            near = np.minimum(sizes[x], sizes[y]) >= need
+            x, y, need = x[near], y[near], need[near]
+            found = [np.zeros((0, 2), np.int64)]
+            for i in range(0, len(x), 4096):
+                a, b = x[i : i + 4096], y[i : i + 4096]
+                fits = np.minimum(points[a], points[b]).sum(axis=1) >= need[i : i + 4096]
+                found.append(np.stack([ids[a[fits]], ids[b[fits]]], axis=1))
+            for start, count in zip(first[size > LEAF], size[size > LEAF], strict=True):
+                own = np.arange(start, start + count)
+                a, b = own[side[own] <= 0], own[side[own] >= 0]
+                for i, j in near_points((points[a], sizes[a], labels[a]), (points[b], sizes[b], labels[b]), options.percent):
+                    found.append(np.stack([ids[a[i]], ids[b[j]]], axis=1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    return run
+
+
+def _shared_keys(table: np.ndarray):
+    """(key, d) of keys whose bit is set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = column_of(batch, "keys")
+            keys, owner = lists.flatten(), lists.value_parent_indices()
+            keep = pa.array(has(table, keys.to_numpy().view(np.uint64)))
+            yield pa.RecordBatch.from_arrays(
+                [keys.filter(keep), column_of(batch, "d").take(owner.filter(keep))], names=["key", "d"]
+            )
     return run
 
 
@@ -202,20 +252,24 @@ def linked_documents(documents: DataFrame, options: JaccardOptions | None = None
     options = options or JaccardOptions()
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     features = written(
-        texts.mapInArrow(_set_batches(options, False), "doc_id long, n long, d long, point binary, keys array<long>"), "sets"
+        texts.mapInArrow(_set_batches(options), "doc_id long, n long, d long, point binary, keys array<long>"), "sets"
     )
     classes = features.where("n > 0").groupBy("d").agg(
         F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("point").alias("point")
     )
     keys = features.select(F.explode("keys").alias("key"), "d")
     shared = keys.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high").select("key", "low")
-    members = written(keys.join(shared, "key").distinct(), "members")
+    shared = written(shared, "shared_keys")
+    kept = features.select("keys", "d").mapInArrow(_shared_keys(bit_table(shared, "key", BITS)), "key long, d long")
+    members = written(kept.join(shared, "key").distinct(), "members")
     met = members.select("d").distinct()
     points = written(classes.join(met, "d"), "points")
 
-    first_texts = texts.join(points.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # Sets of the representatives met, and of a few others whose bits coincide.
+    chosen = bit_table(points.select(F.xxhash64("first_id").alias("h")), "h", BITS)
     sets = written(
-        first_texts.mapInArrow(_set_batches(options, True), "d long, n long, tokens binary").dropDuplicates(["d"]), "tokens"
+        texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+        .mapInArrow(_set_batches(options, chosen), "d long, n long, tokens binary"), "tokens",
     )
 
     pivots = members.where("d <> low").select(F.col("low").alias("a"), F.col("d").alias("b")).distinct()
@@ -241,7 +295,10 @@ def linked_documents(documents: DataFrame, options: JaccardOptions | None = None
             F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), -1).otherwise(1).alias("side"),
         )
     )
-    pairs = tiled.groupBy("key", "low", "high").applyInArrow(_tile_pairs(options), "a long, b long").distinct()
+    pairs = (
+        tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        .mapInArrow(_tile_pairs(options), "a long, b long").distinct()
+    )
     pair_links = _verified(written(pairs, "pairs"), sets, options, "pair_links")
 
     links = star_links.union(pair_links).distinct()

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from genotiles.llm.groups import complete_groups
 from genotiles.llm.tables import written
 from genotiles.llm.tokens import BYTE, column_of, mix, signed, text_bytes
 
@@ -173,24 +174,10 @@ def _ordered(table: pa.Table, options: RepeatOptions) -> pa.RecordBatch:
 
 
 def _order_groups(options: RepeatOptions):
-    """Rows sorted by digit, many groups at a time; the last group of a batch waits for its rest."""
+    """Rows sorted by digit, many groups at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.Table] = []
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for piece in range(0, table.num_rows, 8192):
-                part = table.slice(piece, 8192)
-                digit = part["digit"].to_numpy()
-                cut = int(np.searchsorted(digit, digit[-1]))
-                if cut:
-                    yield _ordered(pa.concat_tables([*waiting, part.slice(0, cut)]).combine_chunks(), options)
-                    waiting = []
-                elif waiting and waiting[-1]["digit"][0].as_py() != digit[0]:
-                    yield _ordered(pa.concat_tables(waiting).combine_chunks(), options)
-                    waiting = []
-                waiting.append(part.slice(cut))
-        if waiting:
-            yield _ordered(pa.concat_tables(waiting).combine_chunks(), options)
+        for table in complete_groups(batches, ("digit",)):
+            yield _ordered(table, options)
     return run
 
 
