@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from genotiles.llm.contamination import contaminated
 from genotiles.llm.jaccard_join import linked_documents
 from genotiles.llm.packing import PackingOptions, pack
+from genotiles.llm.quality_classifier import quality_report
+from genotiles.llm.quality_rules import rule_report
 from genotiles.llm.repeats import repeat_report
 from genotiles.llm.tables import read
 from genotiles.llm.toxicity import toxicity_report
@@ -22,6 +24,10 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -30,14 +36,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), PackingOptions(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(read(spark, sf_dir, "documents"))
 
 
 QUERIES = (
     Query("op2_repeats", "LLM-2", op2_repeats, None),
+    Query("op4_quality_rules", "LLM-4", op4_quality_rules, None),
     Query("op6_contamination", "LLM-6", op6_contamination, None),
     Query("op7_packing", "LLM-7", op7_packing, None),
+    Query("op8_quality_classifier", "LLM-8", op8_quality_classifier, None),
     Query("op9_jaccard_join", "LLM-9", op9_jaccard_join, None),
     Query("op10_toxicity", "LLM-10", op10_toxicity, None),
 )
