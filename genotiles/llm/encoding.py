@@ -5,21 +5,45 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries and length of words that a worker remembers.
 _ENTRIES = 400_000
 _LETTERS = 64
 
 
+#: Letters and marks of words that need no look at the tokenizer's pattern.
+_PLAIN = "\u0250"
+_MARKS = ".,;:!?"
+
+
 class _Words(dict):
-    """Ids (little-endian unsigned 32-bit) of a word after a prefix; looked up in the tokenizer when first met."""
+    """Ids (little-endian unsigned 32-bit) of a word after a blank, from the tokenizer when first met.
+
+    Letters alone are one piece of the pattern, and a mark after them another, so such words go to the
+    tokenizer's model without its pattern, offsets and settings; all others take the whole way.
+    """
+
+    def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
 
-    def __init__(self, tokenizer, prefix: str):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.tokenizer = tokenizer
+        spelling = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelled = {c: spelling.pre_tokenize_str(chr(c))[0][0] for c in range(32, ord(_PLAIN))}
+        self.marks = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in _MARKS}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(self.prefix + word, add_special_tokens=False).ids, "<u4").tobytes()
+        mark = word[-1] in self.marks
+        letters = word[:-1] if mark else word
+        if letters.isalpha() and max(letters) < _PLAIN:
+            found = [token.id for token in self.tokenizer.model.tokenize((" " + letters).translate(self.spelled))]
+            if mark:
+                found += self.marks[word[-1]]
+        else:
+            found = self.tokenizer.encode(" " + word, add_special_tokens=False).ids
+        ids = np.array(found, "<u4").tobytes()
         if len(word) <= _LETTERS:
             if len(self) >= _ENTRIES:
                 self.clear()
@@ -42,20 +66,45 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.path = path
-        self.inner = _Words(self.tokenizer, " ")
+        self.inner = _Words(self.tokenizer)
 
     def __reduce__(self):
         # A tokenizer that travels forgets its settings; the other side reads the file.
         return Encoder, (self.path,)
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        words = text.split(" ")
-        if "" in words:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first = np.array(self.tokenizer.encode(words[0], add_special_tokens=False).ids, "<u4").tobytes()
-        return first + b"".join(map(self.inner.__getitem__, words[1:]))
+    def ids(self, text: str) -> np.ndarray:
+        """The ids of one text, as the tokenizer gives them."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's start (one more entry than texts).
+
+        Equal words of a batch are looked up once.
+        """
+        texts = texts.fill_null("")
+        split = pc.split_pattern(texts, " ")
+        start = split.offsets.to_numpy().astype(np.int64)
+        first, start = start[:-1] - start[0], start - start[0]
+        words = split.flatten().dictionary_encode()
+        place = words.indices.to_numpy().astype(np.int64)
+        known = words.dictionary.to_pylist()
+        found = [self.inner[w] if w else b"" for w in known]
+        # A first word has no blank before it, and a text with other blanks is one long word.
+        odd = np.zeros(len(texts), dtype=bool)
+        if "" in known:
+            odd[np.searchsorted(start, np.flatnonzero(place == known.index("")), side="right") - 1] = True
+            inside = np.repeat(odd, np.diff(start))
+            place[inside] = known.index("")
+        for row in range(len(texts)):
+            text = texts[row].as_py() if odd[row] else known[place[first[row]]]
+            found.append(self.ids(text).tobytes())
+        place[first] = len(known) + np.arange(len(texts))
+        size = np.array([len(ids) // 4 for ids in found], np.int64)
+        table = np.frombuffer(b"".join(found), "<u4")
+        count = size[place]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        source = np.repeat((np.cumsum(size) - size)[place] - ends[:-1], count) + np.arange(ends[-1])
+        return table[source], ends[start]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from genotiles.llm.cutting_stock import patterns
 from genotiles.llm.encoding import encoder
 from genotiles.llm.tables import tasks_for, written
-from genotiles.llm.tokens import column_of
+from genotiles.llm.tokens import column_of, pieces
 
 
 @dataclass(frozen=True)
@@ -46,16 +46,19 @@ def _pieces(options: PackingOptions):
         encode = encoder(options.tokenizer)
         end, step = np.array([options.end_id], "<u4").tobytes(), 4 * options.capacity
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(column_of(batch, "doc_id").to_pylist(), column_of(batch, "text"), strict=True):
-                ids = encode.ids(text.as_py() or "") + end
-                out += [
-                    (doc_id, at // 4, (min(len(ids), at + step) - at) // 4, zlib.crc32(ids[at : at + step]), len(ids) // 4)
-                    for at in range(0, len(ids), step)
-                ]
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            for low, high, _, _ in pieces(column_of(batch, "text")):
+                docs = column_of(batch, "doc_id").slice(low, high - low)
+                ids, starts = encode.many(column_of(batch, "text").slice(low, high - low))
+                out: list[tuple] = []
+                for row, doc_id in enumerate(docs.to_pylist()):
+                    own = ids[starts[row] : starts[row + 1]].tobytes() + end
+                    out += [
+                        (doc_id, at // 4, (min(len(own), at + step) - at) // 4, zlib.crc32(own[at : at + step]), len(own) // 4)
+                        for at in range(0, len(own), step)
+                    ]
+                columns = zip(*out, strict=True) if out else [[]] * 5
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
     return run
 
 

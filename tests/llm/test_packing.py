@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,11 +28,13 @@ def tokenizer():
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from(list("ab's'll1é9.,!? \n\t\r 　 \x1c\x85😀ß")), max_size=40))
-def test_ids_of_words_are_ids_of_texts(text):
+@given(st.lists(st.text(st.sampled_from(list("ab's'll1é9.,!?Éÿªµʔ \n\t\r 　 \x1c\x85😀ß")), max_size=40), max_size=5))
+def test_ids_of_words_are_ids_of_texts(texts):
     plain = Tokenizer.from_file(PATH)
     plain.encode_special_tokens = True
-    assert np.frombuffer(encoder(PATH).ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    ids, starts = encoder(PATH).many(pa.array([*texts, None], pa.string()))
+    got = [ids[i:j].tolist() for i, j in zip(starts, starts[1:])]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
 
 
 def check(rows, texts, tokenizer, capacity=2048):
