@@ -13,6 +13,7 @@ from genotiles.llm.quality_rules import rule_report
 from genotiles.llm.repeats import repeat_report
 from genotiles.llm.tables import read
 from genotiles.llm.toxicity import toxicity_report
+from genotiles.llm.warc import archive_report
 from genotiles.queries.base import Query
 
 
@@ -44,9 +45,27 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(read(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_report(read(spark, sf_dir, "pages"))
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (
+    SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS o
+    FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN o <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN o <> page_id THEN o END AS refers_to, true AS intact
+FROM m
+"""
+
+
 QUERIES = (
     Query("op2_repeats", "LLM-2", op2_repeats, None),
     Query("op4_quality_rules", "LLM-4", op4_quality_rules, None),
+    Query("op5_warc", "LLM-5", op5_warc, _WARC_SQL),
     Query("op6_contamination", "LLM-6", op6_contamination, None),
     Query("op7_packing", "LLM-7", op7_packing, None),
     Query("op8_quality_classifier", "LLM-8", op8_quality_classifier, None),

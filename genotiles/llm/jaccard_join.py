@@ -6,7 +6,7 @@ A text's set holds its distinct word shingles. Two sets are linked when 100 * |A
 2. Tokens are hashed into groups. Linked sets differ in at most d tokens, so of d + 1 groups one holds the same
    tokens in both: (size class, group, digest of the group's tokens) is an equi-join key that loses no link.
    d follows from the upper size of the class; a set that may have a partner in the next class has keys there too.
-3. Within a key, the sets' counts over 64 groups are points of an R-tree. The sum of coordinate minima
+3. Within a key, the sets' counts over 256 groups are points of an R-tree. The sum of coordinate minima
    bounds the overlap of two points and, with a box's upper corner, of a point and all points of a box. What
    the bound leaves is verified on the sets.
 4. A key's members are first compared with its first member only. Members linked to one pivot are connected, so
@@ -37,7 +37,8 @@ from genotiles.llm.tables import written
 from genotiles.llm.tokens import column_of, distinct, mix, pieces, shingles, signed, words
 
 #: Coordinates of a point.
-GROUPS = 64
+GROUPS = 256
+_MOST = 65_535
 #: Sizes of one class are below STEP times the smallest.
 STEP = 1.5
 #: 2^BITS bits of a bit table.
@@ -95,9 +96,19 @@ def _keys(hashes: np.ndarray, row: np.ndarray, sizes: np.ndarray, percent: int)
 
 
 def _points(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Counts of a set's tokens by group."""
+    """Counts of a set's tokens by group; a set with a count beyond 16 bits gets the point that bounds nothing."""
     group = (mix(hashes ^ np.uint64(0xA11CE)) % np.uint64(GROUPS)).astype(np.int64)
-    return np.bincount(row * GROUPS + group, minlength=rows * GROUPS).reshape(rows, GROUPS).astype("<i4")
+    count = np.bincount(row * GROUPS + group, minlength=rows * GROUPS).reshape(rows, GROUPS)
+    return np.where(count.max(axis=1, keepdims=True) > _MOST, _MOST, count).astype("<u2")
+
+
+def _read_points(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, GROUPS)
+
+
+def _overlap_bound(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sums of coordinate minima, over the last axis."""
+    return np.minimum(left, right).sum(axis=-1, dtype=np.int64)
 
 
 def _set_batches(options: JaccardOptions, chosen: np.ndarray | None = None):
@@ -152,11 +163,11 @@ def near_points(
         near = np.flatnonzero((sizes * percent <= most * 100) & (least * percent <= sizes * 100))
         if not len(near):
             continue
-        bound = np.minimum(points[near], corner).sum(axis=1)
+        bound = _overlap_bound(points[near], corner)
         near = near[bound >= least_overlap(sizes[near], np.maximum(least, sizes[near] * percent // 100), percent)]
         for i in range(0, len(near), 1024):
             a = near[i : i + 1024]
-            overlap = np.minimum(points[a][:, None, :], tree[None, first:end, :]).sum(axis=2)
+            overlap = _overlap_bound(points[a][:, None, :], tree[None, first:end, :])
             fits = overlap >= least_overlap(sizes[a][:, None], tree_sizes[None, first:end], percent)
             fits &= labels[a][:, None] != tree_labels[None, first:end]
             x, y = np.nonzero(fits)
@@ -186,7 +197,7 @@ def _tile_pairs(options: JaccardOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_groups(batches, keys):
             ids, sizes, labels, side = (table[c].to_numpy() for c in ("d", "n", "label", "side"))
-            points = np.frombuffer(b"".join(table["point"].to_pylist()), "<i4").reshape(-1, GROUPS)
+            points = _read_points(table["point"])
             first = group_starts(table, keys)
             size = np.diff(np.append(first, len(ids)))
             x, y = _small_pairs(first, size, LEAF)
@@ -198,7 +209,7 @@ def _tile_pairs(options: JaccardOptions):
             found = [np.zeros((0, 2), np.int64)]
             for i in range(0, len(x), 4096):
                 a, b = x[i : i + 4096], y[i : i + 4096]
-                fits = np.minimum(points[a], points[b]).sum(axis=1) >= need[i : i + 4096]
+                fits = _overlap_bound(points[a], points[b]) >= need[i : i + 4096]
                 found.append(np.stack([ids[a[fits]], ids[b[fits]]], axis=1))
             for start, count in zip(first[size > LEAF], size[size > LEAF], strict=True):
                 own = np.arange(start, start + count)
@@ -323,10 +334,8 @@ def linked_documents(documents: DataFrame, options: JaccardOptions | None = None
 def _pivot_bound(options: JaccardOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (
-                np.frombuffer(b"".join(column_of(batch, c).to_pylist()), "<i4").reshape(-1, GROUPS) for c in ("point", "q")
-            )
+            p, q = _read_points(column_of(batch, "point")), _read_points(column_of(batch, "q"))
             n, m = column_of(batch, "n").to_numpy(), column_of(batch, "m").to_numpy()
-            keep = pa.array(np.minimum(p, q).sum(axis=1) >= least_overlap(n, m, options.percent))
+            keep = pa.array(_overlap_bound(p, q) >= least_overlap(n, m, options.percent))
             yield pa.RecordBatch.from_arrays([column_of(batch, c).filter(keep) for c in "ab"], names=["a", "b"])
     return run
