@@ -12,6 +12,7 @@ from genotiles.llm.quality_classifier import quality_report
 from genotiles.llm.quality_rules import rule_report
 from genotiles.llm.repeats import repeat_report
 from genotiles.llm.tables import read
+from genotiles.llm.token_counts import CountOptions, token_report
 from genotiles.llm.toxicity import toxicity_report
 from genotiles.llm.warc import archive_report
 from genotiles.queries.base import Query
@@ -25,6 +26,10 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(read(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(read(spark, sf_dir, "documents"), CountOptions(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -64,6 +69,7 @@ FROM m
 
 QUERIES = (
     Query("op2_repeats", "LLM-2", op2_repeats, None),
+    Query("op3_token_counts", "LLM-3", op3_token_counts, None),
     Query("op4_quality_rules", "LLM-4", op4_quality_rules, None),
     Query("op5_warc", "LLM-5", op5_warc, _WARC_SQL),
     Query("op6_contamination", "LLM-6", op6_contamination, None),
