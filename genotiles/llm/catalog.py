@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from genotiles.llm.contamination import contaminated
+from genotiles.llm.interpolated_lm import lm_scores
 from genotiles.llm.jaccard_join import linked_documents
 from genotiles.llm.packing import PackingOptions, pack
 from genotiles.llm.quality_classifier import quality_report
@@ -22,6 +23,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op1_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(read(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ FROM m
 
 
 QUERIES = (
+    Query("op1_interpolated_lm", "LLM-1", op1_interpolated_lm, None),
     Query("op2_repeats", "LLM-2", op2_repeats, None),
     Query("op3_token_counts", "LLM-3", op3_token_counts, None),
     Query("op4_quality_rules", "LLM-4", op4_quality_rules, None),
