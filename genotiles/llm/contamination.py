@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genotiles.llm.bits import bit_table, has
+from genotiles.llm.bits import bit_table, has, without_ids
 from genotiles.llm.tables import written
 from genotiles.llm.tokens import column_of, pieces, shingles, signed, windows, words
 
@@ -125,5 +125,4 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, options: Contaminat
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, options: ContaminationOptions | None = None) -> DataFrame:
     """The documents in which no item was found."""
-    found = contaminated(documents, benchmark, options).select(F.col("doc_id").alias("found_id")).distinct()
-    return documents.join(found, F.equal_null(documents["doc_id"], found["found_id"]), "left_anti")
+    return without_ids(documents, written(contaminated(documents, benchmark, options).select("doc_id").distinct(), "found"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genotiles.llm.bits import bit_table, has
+from genotiles.llm.bits import bit_table, has, without_ids
 from genotiles.llm.components import components
 from genotiles.llm.groups import complete_groups, group_starts
 from genotiles.llm.tables import written
@@ -339,3 +339,13 @@ def _pivot_bound(options: JaccardOptions):
             keep = pa.array(_overlap_bound(p, q) >= least_overlap(n, m, options.percent))
             yield pa.RecordBatch.from_arrays([column_of(batch, c).filter(keep) for c in "ab"], names=["a", "b"])
     return run
+
+
+def one_of_each_group(documents: DataFrame, options: JaccardOptions | None = None) -> DataFrame:
+    """The document of the smallest doc_id of each component; of rows with one doc_id, one; all rows without id."""
+    found = written(linked_documents(documents, options).select("doc_id", "component_id"), "components")
+    kept = without_ids(documents, found.where("doc_id <> component_id"))
+    again = written(documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    return without_ids(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -235,8 +235,9 @@ def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 column_of(batch, "rest"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()),
                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
             ],
-            names=["rest", "n_bytes", "spans", "kept", "kept_sha256"],
+            names=["rest", "n_bytes", "spans", "kept", "kept_sha256", "kept_text"],
         )
 
 
@@ -297,17 +298,34 @@ def _repeated_ranges(texts: DataFrame, options: RepeatOptions) -> DataFrame:
 
 def without_repeats(documents: DataFrame, options: RepeatOptions | None = None) -> DataFrame:
     """rest (a struct of all columns but the text), n_bytes, spans (removed byte ranges, each a maximal run),
-    kept (the remaining bytes) and kept_sha256 of every document."""
+    kept (the remaining bytes), kept_sha256 and kept_text (their whole letters) of every document."""
     options = options or RepeatOptions()
     texts = _placed(documents)
     ranges = _repeated_ranges(texts, options).groupBy(*_PLACE).agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     packed = texts.mapInArrow(_pack, StructType([*(f for f in texts.schema.fields if f.name != "text"), StructField("packed", BinaryType())]))
     kind = texts.schema["rest"].dataType.simpleString()
     return packed.join(ranges, list(_PLACE), "left").select("rest", "packed", "ranges").mapInArrow(
-        _removals, f"rest {kind}, n_bytes long, spans array<struct<low: long, high: long>>, kept binary, kept_sha256 string"
+        _removals, f"rest {kind}, n_bytes long, spans array<struct<low: long, high: long>>, kept binary, kept_sha256 string, kept_text string"
     )
 
 
+def shortened(documents: DataFrame, options: RepeatOptions | None = None) -> DataFrame:
+    """The documents with repeated strings cut out of their texts, and n_chars, where there is one, counted anew.
+
+    A letter that is cut in the middle goes as a whole; a null text becomes empty; no row is dropped.
+    """
+    result = without_repeats(documents, options).withColumn("text", F.col("kept_text"))
+    columns = []
+    for c in documents.columns:
+        if c == "text":
+            columns.append(F.col("text"))
+        elif c == "n_chars":
+            columns.append(F.length("text").cast(documents.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("rest").getField(c).alias(c))
+    return result.select(*columns)
+
+
 def repeat_report(documents: DataFrame, options: RepeatOptions | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["high"] - s["low"])

@@ -160,3 +160,9 @@ def toxicity_report(documents: DataFrame, labels: DataFrame, options: ToxicityOp
         "doc_id", held_out("doc_id", options.modulus, options.remainder).alias("held_out"),
         F.col("toxicity_").alias("score"), (F.col("toxicity_") >= options.threshold).cast("int").alias("predicted"),
     )
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, options: ToxicityOptions | None = None) -> DataFrame:
+    """The documents under the threshold."""
+    options = options or ToxicityOptions()
+    return score_toxicity(documents, labels, options).where(F.col("toxicity_") < options.threshold).drop("toxicity_")
