@@ -229,8 +229,9 @@ def fold_change_report(changes: DataFrame) -> DataFrame:
     "Largest" is ``|meas| >=`` its 80th percentile; that part needs two rows and a prediction that is
     not flat there.
     """
+    # A group key that is zero in every row, yet no literal: joins on it stay equi-joins.
     rows = _finite(changes, "pred_lfc", "meas_lfc").select(
-        F.lit(0).alias("all"), "pred_lfc", "meas_lfc", F.abs("meas_lfc").alias("size")
+        F.pmod(F.xxhash64("meas_lfc"), F.lit(1)).alias("all"), "pred_lfc", "meas_lfc", F.abs("meas_lfc").alias("size")
     )
     threshold = quantiles(rows, ["all"], "size", {"threshold": FOLD_CHANGE_QUANTILE}).select("threshold").scalar()
     large = F.col("size") >= threshold
@@ -288,14 +289,12 @@ def final_report(state: DataFrame, changes: DataFrame | None = None) -> DataFram
     raw = finalize_state(state)
     if changes is None:
         return raw.withColumn("balanced_score", F.col("raw_pearson"))
-    delta = fold_change_report(changes).select(
-        F.lit(0).alias("__row"), F.col("pearson").alias("delta_pearson"),
-        F.col("spearman").alias("delta_spearman"), F.col("top_variance_pearson").alias("delta_top_variance_pearson"),
-    )
+    delta = fold_change_report(changes)
+    names = ("pearson", "spearman", "top_variance_pearson")
+    joined = raw.withColumns({f"delta_{name}": delta.select(name).scalar() for name in names})
     both = F.when(
         F.col("delta_pearson").isNotNull(), 0.5 * (F.col("delta_pearson") + F.col("raw_pearson"))
     ).otherwise(F.col("raw_pearson"))
-    joined = raw.withColumn("__row", F.lit(0)).join(delta, "__row", "left").drop("__row")
     return joined.withColumn("balanced_score", both)
 
 

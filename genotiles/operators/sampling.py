@@ -11,9 +11,14 @@ def shuffle_key(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
 
 
+def _rows_of(rows: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """The rows of the chosen keys in key order. Rows may be wide; only keys ever meet in one task."""
+    return rows.join(chosen, key, "left_semi").orderBy(key)
+
+
 def random_sample(rows: DataFrame, n: int, seed: int, key: str = "index") -> DataFrame:
-    """``n`` rows without replacement, in key order."""
-    return rows.orderBy(shuffle_key(key, seed), key).limit(n).orderBy(key)
+    """``n`` rows without replacement, in key order; ``key`` is unique."""
+    return _rows_of(rows, rows.select(key).orderBy(shuffle_key(key, seed), key).limit(n), key)
 
 
 def stride(n_rows: int, n: int) -> int:
@@ -29,11 +34,12 @@ def stride_sample(rows: DataFrame, n: int, position: str = "local_index", n_rows
     """At most ``n`` evenly spaced rows in position order."""
     total = rows.count() if n_rows is None else n_rows
     kept = stride_filter(rows, stride(total, n), position) if total > n else rows
-    return kept.orderBy(position).limit(n)
+    return first_rows(kept, n, position)
 
 
 def first_rows(rows: DataFrame, n: int, key: str = "index") -> DataFrame:
-    return rows.orderBy(key).limit(n)
+    """The ``n`` rows of the smallest keys, in key order; ``key`` is unique."""
+    return _rows_of(rows, rows.select(key).orderBy(key).limit(n), key)
 
 
 def shuffled(rows: DataFrame, seed: int, key: str = "index") -> DataFrame:

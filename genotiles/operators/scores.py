@@ -257,6 +257,17 @@ def paired_fold_change_score(
     return changes.agg(F.coalesce(F.avg(huber(gap, delta)), F.lit(0.0)).alias("score"))
 
 
+# Defaults of the named configurations.
+SCORE_DEFAULTS = {
+    "transfer_calibration": {
+        "profile_weight": 0.05, "total_weight": 0.5, "bin_weight": 2.0,
+        "topk_bin_weight": 1.0, "topk_bin_count": 20, "topk_huber_delta": 1.0,
+    },
+    "topk_reweight": {"poisson_weight": 0.2, "topk_fraction": 0.04, "topk_weight": 4.0},
+    "topk_additive": {"poisson_weight": 0.2, "topk_fraction": 0.04, "topk_weight": 1.0},
+}
+
+
 def scorer(
     config: Mapping[str, Any],
     *,
@@ -264,9 +275,14 @@ def scorer(
     tracks: DataFrame | None = None,
     already_scaled: bool = False,
 ) -> Callable[[DataFrame], DataFrame]:
-    """Scorer for a loss configuration ``{'name': ..., options}``; an unknown name is an error."""
+    """Scorer for a loss configuration ``{'name': ..., options}``; an unknown name is an error.
+
+    Options left out have the defaults of the configuration of that name, which are not those of the
+    function it calls.
+    """
     name = config.get("name", "poisson_multinomial")
-    option = lambda *names: {n: config[n] for n in names if n in config}
+    given = {**SCORE_DEFAULTS.get(name, {}), **config}
+    option = lambda *names: {n: given[n] for n in names if n in given}
     if name == "poisson_multinomial":
         return lambda pairs: poisson_multinomial(pairs, n_bins=n_bins, **option("poisson_weight"))
     if name == "scaled_poisson_multinomial":
@@ -280,8 +296,7 @@ def scorer(
     if name in ("topk_additive", "topk_reweight"):
         if n_bins is None:
             raise ValueError(f"{name} needs n_bins")
-        # The configuration default of the weight is 1 for both.
-        chosen = {"topk_weight": 1.0, **option("topk_fraction", "topk_weight", "poisson_weight")}
+        chosen = option("topk_fraction", "topk_weight", "poisson_weight")
         form = topk_additive if name == "topk_additive" else topk_reweight
         return lambda pairs: form(pairs, n_bins=n_bins, **chosen)
     if name == "log1p_huber":

@@ -104,7 +104,11 @@ def predict_signal(
     predicted = predict(windows, chunks, geometry, load_model, tracks=numbers, **options)
     intervals = collapse.collapse(by_track(predicted, numbers), geometry.bin_size, rtol)
     names = chosen.select(F.col("track_index").alias("track"), "track_name")
-    named = intervals.join(names, "track")
+    named = intervals.join(names, "track", "left").withColumn(
+        "track_name",
+        F.when(F.col("track_name").isNotNull(), F.col("track_name"))
+        .otherwise(F.raise_error(F.concat(F.lit("no name for model output "), F.col("track").cast("string")))),
+    )
     if folder is not None:
         check_unique_names(chosen)
         # Written and returned from one run of the model.

@@ -126,15 +126,24 @@ def stored_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dataset rewritten with zstd holds the same rows; every split has a size before and after."""
+    """A dataset rewritten with zstd holds the same rows, cell by cell, and the files beside them."""
     root, target = _dataset(spark, sf_dir), new_shared_path(spark, "rewritten")
     report = XS.rewrite_dataset(spark, root, target, level=3, rows_per_file=200)
-    counted = XR.read_examples(spark, target).groupBy("split").agg(
+    def cells(path: str, name: str) -> DataFrame:
+        rows = XR.read_examples(spark, path)
+        return rows.select("split", "index", "local_index", F.md5(F.to_json(F.struct("labels", "input_ids"))).alias(name))
+
+    same = cells(target, "after").join(cells(root, "before"), ["split", "index", "local_index"], "left")
+    counted = same.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("index").alias("index_sum"),
-        F.sum("local_index").alias("local_sum"),
+        F.sum("local_index").alias("local_sum"), F.count_if(F.col("after") == F.col("before")).alias("n_same"),
     )
+    beside = [TR.list_files(spark, f"{path}/tracks", "*.json").count() for path in (root, target)]
     both = (F.col("bytes_before") > 0) & (F.col("bytes_after") > 0)
-    return counted.join(report, "split").select("split", "n_rows", "index_sum", "local_sum", both.alias("measured"))
+    return counted.join(report, "split").select(
+        "split", "n_rows", "index_sum", "local_sum", "n_same", both.alias("measured"),
+        F.lit(beside[0] == beside[1] > 0).alias("files_copied"),
+    )
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +235,8 @@ QUERIES = [
           f"{_MEMBERS} SELECT split, count(*) AS n_rows FROM used GROUP BY split"),
     Query("rewritten_dataset", "SNK-4 PIPE-6", rewritten, f"""{_MEMBERS}
         SELECT split, count(*) AS n_rows, CAST(sum(index) AS BIGINT) AS index_sum,
-               CAST(sum(local_index) AS BIGINT) AS local_sum, true AS measured FROM used GROUP BY split"""),
+               CAST(sum(local_index) AS BIGINT) AS local_sum, count(*) AS n_same, true AS measured,
+               true AS files_copied FROM used GROUP BY split"""),
     Query("metadata_document", "SNK-5 SRC-10 PRJ-7 PIPE-4", metadata, f"""{V.with_views('tracks')}
         SELECT track_index, path, strand,
                {rounded_sql('coalesce(library_size / 1e9::DOUBLE, 1.0::DOUBLE) * 32')} AS scale_factor FROM tracks"""),

@@ -128,7 +128,7 @@ def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def used_chroms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.used_chroms(_members(spark, sf_dir).where("split = 'odd'"), V.contigs(spark, sf_dir), V.BIN)
+    return R.used_chroms(_members(spark, sf_dir), V.contigs(spark, sf_dir), V.BIN)
 
 
 def chrom_major(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +276,7 @@ QUERIES = [
           f"WHERE len >= {V.BIN} GROUP BY split, chrom"),
     Query("used_chroms", "SET-5 SRT-1", used_chroms,
           f"{V.with_views('regions', 'contigs')}, {_MEMBERS} SELECT DISTINCT chrom, len FROM members "
-          f"JOIN contigs USING (chrom) WHERE split = 'odd' AND len >= {V.BIN}"),
+          f"JOIN contigs USING (chrom) WHERE len >= {V.BIN}"),
     Query("chrom_major_order", "SRT-1", chrom_major,
           f"{V.with_views('regions', 'contigs')} SELECT index, chrom, coalesce(len, 0) AS len "
           "FROM regions LEFT JOIN contigs USING (chrom) ORDER BY len DESC, chrom, index"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -21,11 +20,11 @@ SQL_DEFAULTS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Turn on adaptive execution with skew handling and pin the session to UTC."""
-    for key, value in SQL_DEFAULTS.items():
-        if spark.conf.get(key) != value:
+    """Turn on adaptive execution with skew handling and UTC where the cluster has not chosen otherwise."""
+    chosen = spark.sparkContext.getConf()
+    for key, value in {**SQL_DEFAULTS, "spark.sql.session.timeZone": "UTC"}.items():
+        if not chosen.contains(key) and spark.conf.get(key) != value:
             spark.conf.set(key, value)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     # The few Python functions travel with the task, so executors need not have the package.
     cloudpickle.register_pickle_by_value(sys.modules["genotiles"])
     return spark
@@ -44,7 +43,7 @@ def spread_scan(scan: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
-    Taken from ``spark.checkpoint.dir``. Only a local master may fall back to a temporary folder.
+    Taken from ``spark.checkpoint.dir``. Only a local master may do without; it uses the warehouse folder.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -54,11 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="genotiles-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+def drop_shared(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session; every table read from them is void."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from genotiles.operators import metrics as M
+from genotiles.operators.sampling import first_rows
 from genotiles.session import new_shared_path
 
 
@@ -58,11 +59,11 @@ def take_per_batch(stream: DataFrame, n: int, order: str, name: str) -> DataFram
     path = new_shared_path(spark, name)
 
     def keep(rows: DataFrame, batch: int) -> None:
-        rows.orderBy(order).limit(n).write.mode("overwrite").parquet(f"{path}/batches/batch={batch}")
+        first_rows(rows, n, order).write.mode("overwrite").parquet(f"{path}/batches/batch={batch}")
 
     query = (
         stream.writeStream.foreachBatch(keep)
         .option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return _read_batches(stream, path).drop("batch").orderBy(order).limit(n)
+    return first_rows(_read_batches(stream, path).drop("batch"), n, order)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from genotiles.functions.arrays import one_hot_numpy
 from genotiles.operators import augment, examples as X, regions as R, tracks as T
+from genotiles.operators.sampling import first_rows, random_sample, stride_sample
 from genotiles.plans import build as B
 from genotiles.plans.scale import original_scaling, tmm_scaling
 from genotiles.schemas import DEFAULT_SPLITS
@@ -205,12 +206,60 @@ def test_build_end_to_end(spark, tmp_path):
 
 def test_build_order_on_disk(spark, tmp_path):
     regions, signal, tracks, contigs, chunks, *_ = inputs(spark, tmp_path)
-    placed = XS.place_members(B.split_members(regions, options()), contigs)
+    placed = XS.place_members(B.split_members(regions, options()), contigs, 3)
     lengths = {r["chrom"]: r["len"] for r in contigs.collect()}
     keys = [(r["split"], -lengths.get(r["chrom"], 0), r["chrom"], r["index"]) for r in placed.orderBy("place").collect()]
     assert keys == sorted(keys)
 
 
+@pytest.mark.parametrize("members", [55_497, 150_000, 2_000_000])
+def test_write_tasks_follow_example_bytes(members):
+    example = 4 * 524_288 + 4 * 2_299 * 6_144
+    tasks = XS.write_tasks(members, example)
+    assert 0.5 <= tasks * XS.TASK_BYTES / (members * example) <= 2
+    assert XS.write_tasks(0, example) == 1
+
+
+def test_one_task_per_range(spark, tmp_path):
+    regions, signal, tracks, contigs, chunks, *_ = inputs(spark, tmp_path)
+    members = B.split_members(regions, options())
+    placed = XS.place_members(members, contigs, 5)
+    ranges = {r[0] for r in placed.select(F.shiftright("place", XS.PLACE_BITS)).distinct().collect()}
+    assert len(ranges) == 5
+    root = str(tmp_path / "narrow_tasks")
+    B.build_dataset(root, regions, signal, tracks, contigs, chunks, options(), task_bytes=20_000)
+    names = {p.name.split("-")[1] for p in (tmp_path / "narrow_tasks").rglob("part-*.parquet")}
+    example = 4 * options().geometry.stored_context + 4 * tracks.count() * options().geometry.stored_bins
+    expected = XS.write_tasks(members.count(), example, 20_000)
+    assert expected > 1 and expected / 2 <= len(names) <= expected
+
+
+def test_rewrite_copies_all_files_and_counts_empty_splits(spark, tmp_path):
+    regions, signal, tracks, contigs, chunks, *_ = inputs(spark, tmp_path)
+    root = tmp_path / "described"
+    B.build_dataset(str(root), regions, signal, tracks, contigs, chunks, options())
+    (root / "dataset_metadata.json").write_text('{"bin_size": 8}')
+    (root / "notes" / "deep").mkdir(parents=True)
+    (root / "notes" / "deep" / "a.bin").write_bytes(bytes(range(256)))
+    target = tmp_path / "moved_with_files"
+    XS.rewrite_dataset(spark, str(root), str(target), remove_source=True)
+    assert not root.exists()
+    assert (target / "dataset_metadata.json").read_text() == '{"bin_size": 8}'
+    assert (target / "notes" / "deep" / "a.bin").read_bytes() == bytes(range(256))
+    counts = {r["split"]: r["n_rows"] for r in XS.split_summary(XR.read_examples(spark, str(target)), ["train", "none"]).collect()}
+    assert counts["none"] == 0 and counts["train"] > 0
+
+
+def test_samples_choose_narrow_keys(spark):
+    wide = spark.range(100).selectExpr("id AS index", "id AS local_index", "repeat('x', 10) AS labels")
+    for sample in (random_sample(wide, 7, 1), first_rows(wide, 7), stride_sample(wide, 7)):
+        plan = sample._jdf.queryExecution().executedPlan().toString()
+        limits = [line for line in plan.splitlines() if "TakeOrderedAndProject" in line or "Limit" in line]
+        assert limits and not any("labels" in line for line in limits)
+        found = [r["index"] for r in sample.collect()]
+        assert len(found) == 7 and found == sorted(found)
+
+
 def test_exact_strategy_keeps_unknown_contigs_and_agrees_on_the_grid(spark, tmp_path):
     regions, signal, tracks, contigs, chunks, *_ = inputs(spark, tmp_path)
     build = lambda strategy: {

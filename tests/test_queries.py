@@ -13,13 +13,14 @@ from genotiles.queries.catalog import CATALOG
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 # A plan holds one of these only by mistake.
-FORBIDDEN = ("CartesianProduct", "BatchEvalPython")
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 # Queries whose plans are looked at; the others are run by the correctness gate.
 PLANNED = (
     "label_bins", "grid_bins", "exact_bins", "split_members", "final_tracks_by_content", "track_names",
     "strand_permutation", "condition_groups", "pearson_by_track", "example_statistics", "top_bins",
     "score_poisson_multinomial", "score_topk_additive", "overlapping_windows", "tile_sequences",
+    "fold_change_report", "final_report", "spearman_by_track", "amplitude_by_track", "track_report", "evaluation",
 )
 
 
