@@ -111,6 +111,22 @@ def _write(spark: SparkSession, sf_dir: str, root: str, **options: object) -> li
     )
 
 
+def dataset_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A built dataset's own document: read, enriched with scale factors, written and read again."""
+    root, folder = _dataset(spark, sf_dir), new_shared_path(spark, "enriched")
+    document = TR.read_metadata(spark, root)
+    records = TR.track_records(document).withColumn("dataset", F.lit(0).cast("bigint"))
+    sizes = V.table(spark, sf_dir, "lineitem").groupBy(V.genome_track_index().alias("track_index")).agg(
+        F.sum("l_quantity").alias("library_size")
+    )
+    factors = original_scaling(records.select("track_index").join(sizes, "track_index"), document.first()["bin_size"])
+    TS.write_metadata_documents(document, enrich_tracks(records, factors), f"{folder}/{TR.METADATA_FILES[0]}")
+    found = TR.track_records(TR.read_metadata(spark, folder))
+    return found.select(
+        F.col("track_index").cast("int").alias("track_index"), "path", "is_minus", rounded("scale_factor").alias("scale_factor")
+    )
+
+
 def stored_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region means of the train split, from the labels column of a written dataset."""
     labels = XR.read_examples(spark, _dataset(spark, sf_dir), split="train", columns=["index", "labels"])
@@ -240,6 +256,11 @@ QUERIES = [
     Query("metadata_document", "SNK-5 SRC-10 PRJ-7 PIPE-4", metadata, f"""{V.with_views('tracks')}
         SELECT track_index, path, strand,
                {rounded_sql('coalesce(library_size / 1e9::DOUBLE, 1.0::DOUBLE) * 32')} AS scale_factor FROM tracks"""),
+    Query("dataset_metadata", "SNK-5 SRC-10 PIPE-1 PIPE-4", dataset_metadata, f"""
+        WITH s AS (SELECT l_returnflag AS flag, CAST(sum(l_quantity) AS DOUBLE) AS library_size FROM lineitem GROUP BY 1)
+        SELECT CASE flag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS track_index,
+               '/data/' || flag || CASE flag WHEN 'N' THEN '_minus.bw' ELSE '.bw' END AS path, flag = 'N' AS is_minus,
+               {rounded_sql(f'library_size / 1e9::DOUBLE * {BUILD.geometry.bin_size}')} AS scale_factor FROM s"""),
     Query("factor_table_parquet", "SNK-6 SRC-11", factor_files("parquet"), _FACTORS),
     Query("factor_table_csv", "SNK-6 SRC-11", factor_files("csv"), _FACTORS),
     Query("build_provenance", "SNK-5 SET-3", build_parameters, f"""{V.with_views('tracks_in')},

@@ -6,7 +6,7 @@ twin of each view is in ``VIEW_SQL``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genotiles.session import configure, spread_scan
@@ -177,10 +177,14 @@ def genome_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def genome_track_index() -> Column:
+    return F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+
+
 def genome_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three tracks of the genome signal."""
     flags = table(spark, sf_dir, "lineitem").select("l_returnflag").distinct()
-    number = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    number = genome_track_index()
     return flags.select(
         number.alias("track"),
         F.concat(F.lit("/data/"), "l_returnflag", F.when(number == 1, "_minus.bw").otherwise(".bw")).alias("path"),

@@ -362,3 +362,23 @@ def test_streams_equal_batches(spark, tmp_path):
     kept = SM.take_per_batch(SX.stride_stream(stream(), 20, 60), 20, "local_index", "test")
     assert [r["local_index"] for r in kept.collect()] == list(range(0, 60, 3))
     assert SX.stride_stream(stream(), 20, None).isStreaming
+
+
+def test_build_from_paths_reads_back(spark, tmp_path):
+    regions, signal, tracks, contigs, chunks, *_ = inputs(spark, tmp_path)
+    folder = tmp_path / "coverage"
+    folder.mkdir()
+    for r in tracks.collect():
+        lines = [f"{s['chrom']}\t{s['start_pos']}\t{s['end_pos']}\t{s['value']}" for s in signal.where(F.col("track") == r["track"]).collect()]
+        (folder / f"t{r['track']}{'_minus' if r['is_minus'] else ''}.bedgraph").write_text("\n".join(lines) + "\n")
+    paths = sorted(str(p) for p in folder.iterdir())
+    (folder / "copy.bedgraph").write_bytes((folder / paths[0].rsplit("/", 1)[1]).read_bytes())
+    root, direct = str(tmp_path / "from_paths"), str(tmp_path / "direct")
+    wanted = [*paths, str(folder / "copy.bedgraph"), str(folder / "absent.bedgraph")]
+    B.build_from_paths(root, regions, contigs, chunks, options(), wanted, drop_missing=True)
+    B.build_dataset(direct, regions, signal, tracks, contigs, chunks, options())
+    key = ["split", "index", "labels", "input_ids"]
+    assert rows(XR.read_examples(spark, root), *key) == rows(XR.read_examples(spark, direct), *key)
+    records = TR.track_records(TR.read_metadata(spark, root))
+    assert rows(records, "track_index", "path") == list(enumerate(paths))
+    assert spark.read.json(f"{root}/dropped_tracks").count() == spark.read.json(f"{root}/missing_tracks").count() == 1

@@ -9,6 +9,7 @@ from genotiles.functions import names as N
 from genotiles.operators import scaling as S, tracks as T
 from genotiles.operators.ordering import null_safe_join, number_rows, ordered_counts, quantiles_of
 from genotiles.plans.scale import enrich_tracks, original_scaling, tmm_from_means
+from genotiles.plans.tracks import resolve_tracks
 
 FILES = "source_index bigint, path string, identity_key string, size bigint, content_hash string"
 
@@ -214,3 +215,41 @@ def test_ranks_and_quantiles_of_a_hot_group(spark):
     found = {r["g"]: r for r in quantiles_of(frame, ["g"], cuts).collect()}
     np.testing.assert_allclose([found["hot"][c] for c in cuts], np.quantile(hot, [0.2, 0.5, 0.99]), rtol=1e-12)
     assert found["one"]["mid"] == 3.0
+
+
+def test_paths_to_final_tracks(spark, tmp_path, monkeypatch):
+    names = {"a_plus.bw": b"same", "b_minus.bw": b"same", "c.bw": b"other", "d.bw": b"longer than all"}
+    for name, data in names.items():
+        (tmp_path / name).write_bytes(data)
+    paths = [str(tmp_path / n) for n in ("a_plus.bw", "b_minus.bw", "none.bw", "c.bw", "d.bw", "a_plus.bw")]
+    with pytest.raises(Exception, match="does not exist"):
+        resolve_tracks(spark, paths).final.collect()
+    found = resolve_tracks(spark, paths, drop_missing=True)
+    assert rows(found.final, "track_index", "source_index", "is_minus") == [(0, 0, False), (1, 3, False), (2, 4, False)]
+    assert rows(found.missing, "source_index") == [(2,)]
+    assert rows(found.dropped, "source_index", "dedupe_method") == [(1, "content"), (5, "identity")]
+    assert found.counters.first()["n_hashed_files"] == 2
+    by_path = resolve_tracks(spark, folder=str(tmp_path), dedupe="none")
+    assert rows(by_path.final, "track_index", "is_minus") == [(0, False), (1, True), (2, False), (3, False)]
+    with pytest.raises(ValueError):
+        resolve_tracks(spark)
+
+
+def test_content_of_unequal_sizes_is_not_read(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.bw").write_bytes(b"x" * (i + 1))
+        (tmp_path / f"{i}.bw").chmod(0)
+    found = resolve_tracks(spark, folder=str(tmp_path))
+    assert found.final.count() == 3 and found.final.where("content_hash IS NOT NULL").count() == 0
+
+
+def test_hashes_in_chunks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from genotiles.sources import tracks as source
+
+    monkeypatch.setattr(source, "CHUNK_BYTES", 10)
+    data = bytes(range(256)) * 3
+    (tmp_path / "f").write_bytes(data)
+    found = source.content_hashes(spark.createDataFrame([(str(tmp_path / "f"),)], "path string")).first()
+    assert found["content_hash"] == hashlib.sha256(data).hexdigest()
