@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bins per tile. A tile is the unit in which the grid is stored and joined.
@@ -27,8 +27,10 @@ def _overlapping(start: Column, end: Column) -> Column:
     return ~F.isnan("value") & F.col("value").isNotNull() & (start < end)
 
 
-def grid_overlaps(signal: DataFrame, contigs: DataFrame, bin_size: int, tile_bins: int = TILE_BINS) -> DataFrame:
-    """One row per (interval, grid bin) that overlap, with the overlap in bases.
+def grid_overlaps(
+    signal: DataFrame, contigs: DataFrame, bin_size: int, tile_bins: int = TILE_BINS, keep: Sequence[Column] = ()
+) -> DataFrame:
+    """One row per (interval, grid bin) that overlap, with the overlap in bases and the columns of ``keep``.
 
     The grid of a contig has ``len div bin_size`` bins; the last partial bin is not part of it.
     """
@@ -58,7 +60,7 @@ def grid_overlaps(signal: DataFrame, contigs: DataFrame, bin_size: int, tile_bin
     )
     return binned.select(
         "chrom", "track", "tile", "bin", "start_pos", "end_pos",
-        F.col("value").cast("double").alias("value"), overlap.alias("overlap"),
+        F.col("value").cast("double").alias("value"), overlap.alias("overlap"), *keep,
     )
 
 
@@ -82,20 +84,22 @@ def last_wins_bins(
     """Grid means under the policy that a later interval overwrites earlier ones base by base.
 
     Equal to :func:`signal_bins` where the intervals of a track do not overlap. "Later" is a larger
-    ``order``. Every base becomes a row, so this is for checks on overlapping input, not for builds.
+    ``order``. A bin is cut where an interval starts or ends in it; the latest interval of each piece gives
+    its value, the piece's length its weight. A bin has at most ``bin_size`` pieces, and one if a
+    single interval covers it, so a long interval costs a row per bin and none per base.
     """
-    grid = contigs.select("chrom", (F.expr(f"len div {bin_size}") * bin_size).alias("__grid_end"))
-    low, high = F.greatest(F.col("start_pos"), F.lit(0)), F.least(F.col("end_pos"), F.col("__grid_end"))
-    bases = (
-        signal.join(grid, "chrom")
-        .where(_overlapping(low, high))
-        .withColumn("__base", F.explode(F.sequence(low, high - 1)))
-        .groupBy("chrom", "track", "__base")
-        .agg(F.max_by(F.col("value").cast("double"), order).alias("value"))
-    )
-    return bases.groupBy("chrom", "track", F.expr(f"__base div {bin_size}").alias("bin")).agg(
-        F.avg("value").alias("mean")
-    )
+    keys = ["chrom", "track", "bin"]
+    parts = grid_overlaps(signal, contigs, bin_size, keep=[F.col(order).alias("__order")]).withColumn(
+        "__lo", F.greatest("start_pos", F.col("bin") * bin_size)
+    ).select(*keys, "__lo", (F.col("__lo") + F.col("overlap")).alias("__hi"), "value", "__order")
+    edges = parts.select(*keys, F.explode(F.array("__lo", "__hi")).alias("__at")).distinct()
+    in_bin = Window.partitionBy(*keys).orderBy("__at")
+    pieces = edges.withColumn("__to", F.lead("__at").over(in_bin)).where("__to IS NOT NULL")
+    latest = (
+        parts.join(pieces, keys).where("__at >= __lo AND __to <= __hi")
+        .groupBy(*keys, "__at", "__to").agg(F.max_by("value", "__order").alias("value"))
+    )
+    return latest.withColumn("overlap", F.col("__to") - F.col("__at")).groupBy(*keys).agg(covered_mean().alias("mean"))
 
 
 def exact_overlaps(regions: DataFrame, signal: DataFrame, n_bins: int, bucket_bp: int) -> DataFrame:

@@ -19,6 +19,7 @@ from genotiles.functions.stats import (
     pearson_guard_terms,
 )
 from genotiles.operators.ordering import ordered_counts, quantiles, quantiles_of, top_k
+from genotiles.session import cut_lineage
 
 AMPLITUDE_QUANTILE = 0.99
 FOLD_CHANGE_QUANTILE = 0.80
@@ -53,22 +54,28 @@ def track_errors(pairs: DataFrame, by: Sequence[str] = ("track",)) -> DataFrame:
 def spearman(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "target") -> DataFrame:
     """Spearman per group with average ranks for ties.
 
-    Equal (x, y) pairs are counted first; ranks come from ordered blocks and are centred before they
-    are multiplied, so the sums stay exact for very long tracks.
+    Equal (x, y) pairs are counted first and written down: both rankings and the sums come from these
+    counts. Ranks come from ordered blocks and are centred before they are multiplied, so the sums stay
+    exact for very long tracks.
     """
     by = list(by)
     finite = _finite(pairs, x, y).select(*by, x, y)
-    joint = finite.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__n"))
+    joint = cut_lineage(finite.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__n")))
     centred = F.col("n_below") + (F.col("n_equal") - F.col("n_total")) / F.lit(2.0)
-    both = ordered_counts(finite.unpivot(by, [x, y], "__column", "__value"), [*by, "__column"], "__value")
+    both = ordered_counts(
+        joint.unpivot([*by, "__n"], [x, y], "__column", "__value"), [*by, "__column"], "__value", weight="__n"
+    )
 
     def ranks(column: str, out: str) -> DataFrame:
         return both.where(F.col("__column") == column).select(*by, F.col("__value").alias(column), centred.alias(out))
 
     placed = joint.join(ranks(x, "__rx"), [*by, x]).join(ranks(y, "__ry"), [*by, y])
     weighted = lambda a, b: F.sum(F.col("__n") * F.col(a) * F.col(b))
-    spread = finite.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__count"), F.stddev_pop(x).alias("__sx"), F.stddev_pop(y).alias("__sy")
+    # Over all pairs, so that a group without a finite pair keeps its row.
+    known = finite_pair(F.col(x), F.col(y))
+    spread = pairs.groupBy(*by).agg(
+        F.count_if(known).alias("__count"),
+        F.stddev_pop(F.when(known, F.col(x))).alias("__sx"), F.stddev_pop(F.when(known, F.col(y))).alias("__sy"),
     )
     sums = placed.groupBy(*by).agg(
         weighted("__rx", "__ry").alias("__xy"),
@@ -76,7 +83,7 @@ def spearman(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "tar
     )
     defined = (F.col("__count") >= 2) & (F.col("__sx") >= MIN_STD) & (F.col("__sy") >= MIN_STD)
     value = F.when(defined, F.col("__xy") / F.sqrt(F.col("__xx") * F.col("__yy")))
-    return _all_groups(pairs, by, spread.join(sums, by).select(*by, value.alias("spearman")))
+    return spread.join(sums, by, "left").select(*by, value.alias("spearman"))
 
 
 def amplitude_calibration(

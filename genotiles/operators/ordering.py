@@ -74,13 +74,17 @@ def _with_bucket(rows: DataFrame, value: Column, buckets: int) -> DataFrame:
     return found.drop("__bounds")
 
 
-def ordered_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+def ordered_counts(df: DataFrame, group: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """One row per (group, value): ``n_equal`` rows, ``n_below`` rows with a smaller value, ``n_total`` of the group.
 
+    With ``weight`` a row stands for so many rows.
+
     Equal values are counted before the shuffle, so ties cost nothing. The bucket bounds come from
     a quantile sketch and are written down (one small row per group): both uses of them then see the
     same bounds even if a task is run again.
     """
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    carried = [] if weight is None else [weight]
     buckets = _bucket_count(df)
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = cut_lineage(
@@ -89,11 +93,11 @@ def ordered_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame
         )
     )
     place = lambda rows: _with_bucket(rows.join(bounds, list(group)), F.col(value).cast("double"), buckets)
-    counts = place(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_equal")))
+    counts = place(df.groupBy(*group, value).agg(rows.alias("n_equal")))
     keys = [*group, "__bucket"]
     # Bucket sizes come from the rows, not from `counts`: their partial sums are at most `buckets` rows
     # per group and task, where the distinct values would be shuffled a second time.
-    sizes = place(df.select(*group, value)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = place(df.select(*group, value, *carried)).groupBy(*keys).agg(rows.alias("__size"))
     whole = Window.partitionBy(*group)
     before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
