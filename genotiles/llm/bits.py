@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,18 +29,23 @@ def has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
+def maybe_in(hashes: DataFrame, h: Column, bits: int = 26) -> Column:
+    """Whether h may be among hashes (a column h): true for all members, and for few others. Only h leaves the JVM."""
+    table = bit_table(hashes, "h", bits)
+
+    @F.pandas_udf("boolean")
+    def found(values: pd.Series) -> pd.Series:
+        return pd.Series(has(table, values.to_numpy().view(np.uint64)))
+
+    return found(h)
+
+
 def without_ids(documents: DataFrame, dropped: DataFrame, bits: int = 26) -> DataFrame:
     """The documents whose doc_id is not in dropped (doc_id); null ids stay unless dropped has a null.
 
     Only documents whose bit is set are shuffled for the exact comparison; the others, nearly all, stay where they are.
     """
     ids = dropped.select(F.col("doc_id").alias("dropped_id")).distinct()
-    table = bit_table(ids.select(F.xxhash64("dropped_id").alias("h")), "h", bits)
-
-    @F.pandas_udf("boolean")
-    def suspected(h: pd.Series) -> pd.Series:
-        return pd.Series(has(table, h.to_numpy().view(np.uint64)))
-
-    marked = suspected(F.xxhash64("doc_id"))
+    marked = maybe_in(ids.select(F.xxhash64("dropped_id").alias("h")), F.xxhash64("doc_id"), bits)
     compared = documents.where(marked).join(ids, F.equal_null("doc_id", "dropped_id"), "left_anti")
     return documents.where(~marked).unionByName(compared)

@@ -3,9 +3,11 @@
 A text's set holds its distinct word shingles. Two sets are linked when 100 * |A n B| >= percent * |A u B|.
 
 1. Equal sets are one class; only one representative of each goes on.
-2. Tokens are hashed into groups. Linked sets differ in at most d tokens, so of d + 1 groups one holds the same
-   tokens in both: (size class, group, digest of the group's tokens) is an equi-join key that loses no link.
-   d follows from the upper size of the class; a set that may have a partner in the next class has keys there too.
+2. Tokens are hashed into groups. Linked sets differ in at most d tokens, so of d + s groups at least s hold the
+   same tokens in both: (size class, group, digest of the group's tokens) is an equi-join key that loses no link.
+   If either set has fewer than s empty groups, one of the s is not empty; so only sets with s or more empty
+   groups have keys of those. d follows from the upper size of the class; a set that may have a partner in the
+   next class has keys there too.
 3. Within a key, the sets' counts over 256 groups are points of an R-tree. The sum of coordinate minima
    bounds the overlap of two points and, with a box's upper corner, of a point and all points of a box. What
    the bound leaves is verified on the sets.
@@ -78,17 +80,24 @@ def _keys(hashes: np.ndarray, row: np.ndarray, sizes: np.ndarray, percent: int)
         level = own + ahead
         use = (sizes > 0) & (level <= last)
         upper = bounds[np.minimum(level, len(bounds) - 1)]
-        parts = 2 * upper * (100 - percent) // (100 + percent) + 1
+        differ = 2 * upper * (100 - percent) // (100 + percent)
+        spare = 1 + np.where(differ > 0, np.maximum(1, differ // 8), 0)
+        parts = differ + spare
         at = use[row]
         h, r = hashes[at], row[at]
         part = (mix(h ^ np.uint64(0x51ED)) % parts[r].astype(np.uint64)).astype(np.int64)
-        # Sums of mixed hashes do not depend on order; empty groups have the sum 0 and are keys as well.
+        # Sums of mixed hashes do not depend on order.
         first = np.cumsum(parts * use) - parts * use
         total = int((parts * use).sum())
         sums = np.zeros(total, np.uint64)
         np.add.at(sums, first[r] + part, mix(h))
+        filled = np.zeros(total, dtype=bool)
+        filled[first[r] + part] = True
         rows = np.repeat(np.arange(len(sizes)), parts * use)
-        number = np.arange(total) - np.repeat(first, parts * use)
+        empty = np.bincount(rows[~filled], minlength=len(sizes))
+        kept = np.flatnonzero(filled | (empty >= spare)[rows])
+        rows, sums = rows[kept], sums[kept]
+        number = kept - first[rows]
         salt = mix((level[rows].astype(np.uint64) << np.uint64(32)) ^ number.astype(np.uint64))
         out_key.append(mix(sums ^ salt))
         out_row.append(rows)
@@ -112,7 +121,7 @@ def _overlap_bound(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _set_batches(options: JaccardOptions, chosen: np.ndarray | None = None):
-    """Per text its set's size and digest, and its point and keys; or the sorted sets of rows whose bit is chosen."""
+    """Per text its set's size and digest, and its point; or the sorted sets of rows whose bit is chosen."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if chosen is not None:
@@ -123,19 +132,38 @@ def _set_batches(options: JaccardOptions, chosen: np.ndarray | None = None):
                 h, row = distinct(*shingles(words(data, starts), options.size))
                 ends = np.searchsorted(row, np.arange(rows + 1))
                 sizes = np.diff(ends)
-                raw = [h[ends[i] : ends[i + 1]].astype("<u8").tobytes() for i in range(rows)]
-                digest = np.array([xxhash.xxh3_64_intdigest(x) if x else 0 for x in raw], np.uint64)
-                columns = [ids.slice(low, rows), pa.array(sizes, pa.int64()), pa.array(signed(digest))]
+                columns = [ids.slice(low, rows), pa.array(sizes, pa.int64()), pa.array(signed(_digests(h, ends)))]
                 if chosen is not None:
+                    raw = [h[ends[i] : ends[i + 1]].astype("<u8").tobytes() for i in range(rows)]
                     yield pa.RecordBatch.from_arrays([columns[2], columns[1], pa.array(raw, pa.binary())], names=["d", "n", "tokens"])
                     continue
-                points = _points(h, row, rows)
-                key, key_row = _keys(h, row, sizes, options.percent)
-                order = np.argsort(key_row, kind="stable")
-                key_ends = np.searchsorted(key_row[order], np.arange(rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(key_ends, pa.int32()), pa.array(signed(key[order])))
-                columns += [pa.array([p.tobytes() for p in points], pa.binary()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d", "point", "keys"])
+                columns.append(pa.array([p.tobytes() for p in _points(h, row, rows)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "d", "point"])
+    return run
+
+
+def _digests(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A digest of each sorted set; 0 for the empty one."""
+    raw = memoryview(h.astype("<u8").tobytes())
+    return np.array(
+        [xxhash.xxh3_64_intdigest(raw[8 * i : 8 * j]) if j > i else 0 for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)],
+        np.uint64,
+    )
+
+
+def _key_batches(options: JaccardOptions, shared: np.ndarray | None = None):
+    """(key, d) of all texts; with a bit table, of keys whose bit is set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, starts in pieces(column_of(batch, "text")):
+                h, row = distinct(*shingles(words(data, starts), options.size))
+                ends = np.searchsorted(row, np.arange(high - low + 1))
+                key, key_row = _keys(h, row, np.diff(ends), options.percent)
+                if shared is not None:
+                    use = has(shared, key)
+                    key, key_row = key[use], key_row[use]
+                d = _digests(h, ends)[key_row]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(d))], names=["key", "d"])
     return run
 
 
@@ -222,19 +250,6 @@ def _tile_pairs(options: JaccardOptions):
     return run
 
 
-def _shared_keys(table: np.ndarray):
-    """(key, d) of keys whose bit is set."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = column_of(batch, "keys")
-            keys, owner = lists.flatten(), lists.value_parent_indices()
-            keep = pa.array(has(table, keys.to_numpy().view(np.uint64)))
-            yield pa.RecordBatch.from_arrays(
-                [keys.filter(keep), column_of(batch, "d").take(owner.filter(keep))], names=["key", "d"]
-            )
-    return run
-
-
 def _verify(options: JaccardOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,35 +278,38 @@ def linked_documents(documents: DataFrame, options: JaccardOptions | None = None
     options = options or JaccardOptions()
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     features = written(
-        texts.mapInArrow(_set_batches(options), "doc_id long, n long, d long, point binary, keys array<long>"), "sets"
+        texts.mapInArrow(_set_batches(options), "doc_id long, n long, d long, point binary"), "sets"
     )
     classes = features.where("n > 0").groupBy("d").agg(
         F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("point").alias("point")
     )
-    keys = features.select(F.explode("keys").alias("key"), "d")
+    keys = texts.select("text").mapInArrow(_key_batches(options), "key long, d long")
     shared = keys.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high").select("key", "low")
     shared = written(shared, "shared_keys")
-    kept = features.select("keys", "d").mapInArrow(_shared_keys(bit_table(shared, "key", BITS)), "key long, d long")
+    kept = texts.select("text").mapInArrow(_key_batches(options, bit_table(shared, "key", BITS)), "key long, d long")
     members = written(kept.join(shared, "key").distinct(), "members")
     met = members.select("d").distinct()
     points = written(classes.join(met, "d"), "points")
 
-    # Sets of the representatives met, and of a few others whose bits coincide.
-    chosen = bit_table(points.select(F.xxhash64("first_id").alias("h")), "h", BITS)
-    sets = written(
-        texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-        .mapInArrow(_set_batches(options, chosen), "d long, n long, tokens binary"), "tokens",
-    )
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The linked pairs; sets are made for representatives in pairs, and a few others whose bits coincide."""
+        pairs = written(pairs, name)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
+        chosen = bit_table(points.join(ends, "d", "left_semi").select(F.xxhash64("first_id").alias("h")), "h", BITS)
+        sets = written(
+            texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+            .mapInArrow(_set_batches(options, chosen), "d long, n long, tokens binary"), f"{name}_sets",
+        )
+        return _verified(pairs, sets, options, f"{name}_links")
 
     pivots = members.where("d <> low").select(F.col("low").alias("a"), F.col("d").alias("b")).distinct()
     other = points.select(F.col("d").alias("b"), F.col("point").alias("q"), F.col("n").alias("m"))
     star = pivots.join(points.select(F.col("d").alias("a"), "point", "n"), "a").join(other, "b")
     star = star.mapInArrow(_pivot_bound(options), "a long, b long")
-    star_links = _verified(written(star, "pivots"), sets, options, "pivot_links")
+    star_links = verified(star, "pivots")
 
     label = star_links.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "d")
-    labelled = members.select("key", "d").join(points.select("d", "point", "n"), "d").join(label, "d", "left")
-    labelled = labelled.withColumn("label", F.coalesce("label", "d"))
+    labelled = members.select("key", "d").join(label, "d", "left").withColumn("label", F.coalesce("label", "d"))
     several = labelled.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h")
     ).where("l <> h")
@@ -301,16 +319,17 @@ def linked_documents(documents: DataFrame, options: JaccardOptions | None = None
         .withColumn("tile", F.pmod(F.xxhash64("d"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(
-            "key", "d", "n", "point", "label",
+            "key", "d", "label",
             F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
             F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), -1).otherwise(1).alias("side"),
         )
     )
+    # Points are a row's bulk and join last: they are shuffled once.
     pairs = (
-        tiled.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        tiled.join(points.select("d", "point", "n"), "d").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
         .mapInArrow(_tile_pairs(options), "a long, b long").distinct()
     )
-    pair_links = _verified(written(pairs, "pairs"), sets, options, "pair_links")
+    pair_links = verified(pairs, "pairs")
 
     links = star_links.union(pair_links).distinct()
     ids = points.select("d", "first_id")

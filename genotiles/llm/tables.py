@@ -33,9 +33,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write rows to the shared folder and read them back: computed once, kept when executors are lost."""
+    """Write rows to the shared folder and read them back: computed once, kept when executors are lost.
+
+    The shuffles that led to the table are of no more use. Spark deletes a shuffle's files when the driver's JVM
+    has collected its plan, which may be long after, so the collection is asked for here.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

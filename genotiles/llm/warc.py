@@ -29,6 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genotiles.llm.bits import maybe_in
 from genotiles.llm.tables import new_path, written
 from genotiles.llm.tokens import column_of
 
@@ -210,7 +211,9 @@ def _write_archives(folder: str, options: WarcOptions):
 
         for batch in batches:
             names = ("page_id", "url", "html", "digest", "refers_to")
-            for page_id, url, html, digest, refers_to in zip(*(column_of(batch, c).to_pylist() for c in names), strict=True):
+            # Row by row: a batch as Python objects is several times as large.
+            for row in zip(*(column_of(batch, c) for c in names), strict=True):
+                page_id, url, html, digest, refers_to = (value.as_py() for value in row)
                 if writer is None:
                     name, index = f"{uuid.uuid4().hex}.zip", []
                     files.create_dir(root, recursive=True)
@@ -233,14 +236,16 @@ def write_archives(pages: DataFrame, folder: str, options: WarcOptions | None =
     html = F.coalesce("html", F.lit(""))
     records = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
     long = F.octet_length("html") >= options.min_bytes
-    # Only payloads that occur twice reach the join, and only their digests.
-    originals = records.where(long).groupBy("digest").agg(
+    originals = written(records.where(long).groupBy("digest").agg(
         F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1 AND original IS NOT NULL")
-    key = F.when(long, F.col("digest"))
-    marked = records.withColumn("key", key).join(originals.select(F.col("digest").alias("key"), "original"), "key", "left")
+    ).where("n > 1 AND original IS NOT NULL").select(F.col("digest").alias("key"), "original"), "originals")
+    # Pages whose payload occurs once, nearly all, are written where they are read; the others meet their original.
+    copied = long & maybe_in(originals.select(F.xxhash64("key").alias("h")), F.xxhash64("digest"))
+    met = records.where(copied).join(originals, F.col("digest") == F.col("key"), "left")
     revisit = F.col("original").isNotNull() & ~F.equal_null("page_id", "original")
-    marked = marked.select("page_id", "url", "html", "digest", F.when(revisit, F.col("original")).alias("refers_to"))
+    columns = ("page_id", "url", "html", "digest")
+    alone = records.where(~copied).select(*columns, F.lit(None).cast("long").alias("refers_to"))
+    marked = alone.unionByName(met.select(*columns, F.when(revisit, F.col("original")).cast("long").alias("refers_to")))
     return written(marked.mapInArrow(_write_archives(folder, options), "archive string, records long, data_bytes long"), "manifest")
 
 
