@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,17 @@ from genotiles.functions.signal import inverse_value
 Model = Callable[[np.ndarray], np.ndarray]
 
 
+def _of_worker(token: str, load: Callable[[], Model]) -> Model:
+    """The model of the call that ``token`` names, loaded once per Python worker; an earlier call's is dropped.
+
+    Kept in a module of its own, because this one may travel to the worker anew with every task.
+    """
+    kept = sys.modules.setdefault("_genotiles_worker", ModuleType("_genotiles_worker")).__dict__
+    if kept.get("token") != token:
+        kept.update(model=load(), token=token)
+    return kept["model"]
+
+
 def predict_windows(
     windows: DataFrame,
     load_model: Callable[[], Model],
@@ -28,7 +42,7 @@ def predict_windows(
 ) -> DataFrame:
     """Add ``values [T][B]`` to windows that carry ``seq``, which is dropped.
 
-    ``load_model`` runs once per task; the model maps ``[batch, 4, L]`` to ``[batch, T, B]``. Only
+    ``load_model`` runs once per Python worker; the model maps ``[batch, 4, L]`` to ``[batch, T, B]``. Only
     ``tracks`` are kept, already inside the task. With ``on_error='skip'`` a batch that fails is tried
     window by window and the windows that fail are left out. ``include_input`` keeps the one-hot input
     as ``input [4][L]``.
@@ -40,6 +54,7 @@ def predict_windows(
     values_type = T.ArrayType(T.ArrayType(T.FloatType()))
     schema = T.StructType([*kept, T.StructField("values", values_type)])
     names = [f.name for f in kept]
+    token = uuid.uuid4().hex
 
     def run(model: Model, sequences: list[str]) -> list[np.ndarray]:
         out = np.asarray(model(np.stack([one_hot_numpy(s) for s in sequences]).astype(np.float32)))
@@ -60,9 +75,8 @@ def predict_windows(
         return found
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
         for batch in batches:
-            model = model or load_model()
+            model = _of_worker(token, load_model)
             for at in range(0, batch.num_rows, batch_size):
                 part = batch.slice(at, batch_size)
                 results = run_leniently(model, part.column("seq").to_pylist())

@@ -30,7 +30,10 @@ def spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value intervals per event type (track) and user (chromosome)."""
-    events = spread(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    return _intervals(spread(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value"))
+
+
+def _intervals(events: DataFrame) -> DataFrame:
     start = F.unix_seconds(F.col("ts").cast("timestamp")) - EPOCH
     return events.select(
         F.col("event_type").alias("track"),
@@ -59,7 +62,9 @@ def strand_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chromosomes of the signal; a chromosome ends where its last interval ends."""
     number = F.substring("chrom", 2, 20).cast("bigint")
-    return signal(spark, sf_dir).groupBy("chrom").agg(F.max("end_pos").alias("len")).select(
+    # A maximum per task is all that is shuffled; spreading the scan first would shuffle every row.
+    intervals = _intervals(table(spark, sf_dir, "events"))
+    return intervals.groupBy("chrom").agg(F.max("end_pos").alias("len")).select(
         "chrom", number.alias("chrom_rank"), "len"
     )
 

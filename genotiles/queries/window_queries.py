@@ -213,15 +213,18 @@ def read_time(center: bool):
     return build
 
 
-def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of the examples scored against predictions that mirror their transformed labels."""
-    stored = as_examples(V.tensors(spark, sf_dir))
-    transform = read_transform(spark, center=True)
-    predictions = stored.transform(transform).select("index", A.reverse_bins(F.col("labels")).alias("values"))
-    rows = evaluate_examples(
-        stored, predictions, transform, topk_bins=5, n_bins=12, losses=[{"name": "mse"}], max_samples=200, seed=SEED
-    )
-    return rows.select("metric", rounded("value", 4).alias("value"))
+def evaluated(max_samples: int | None):
+    """A sample of the examples, or all, scored against predictions that mirror their transformed labels."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stored = as_examples(V.tensors(spark, sf_dir))
+        transform = read_transform(spark, center=True)
+        predictions = stored.transform(transform).select("index", A.reverse_bins(F.col("labels")).alias("values"))
+        rows = evaluate_examples(
+            stored, predictions, transform, topk_bins=5, n_bins=12, losses=[{"name": "mse"}],
+            max_samples=max_samples, seed=SEED,
+        )
+        return rows.select("metric", rounded("value", 4).alias("value"))
+    return build
 
 
 def load_counting_model() -> inference.Model:
@@ -405,7 +408,7 @@ _BUILD_SQL = f"""{_DOC_REGIONS.replace('- 128 AS ctx_start', '- 136 AS ctx_start
            {rounded_sql('coalesce(t2, 0)', 3)} AS labels_2
     FROM used LEFT JOIN wide USING (index)"""
 
-def _evaluated_sql() -> str:
+def _evaluated_sql(limit: str) -> str:
     """Mirrored labels as predictions; correlation from sums, over all bins, the top five and totals."""
     def sums(name: str, source: str) -> str:
         return (f"{name} AS (SELECT track, count(*) AS n, sum(pred) AS sp, sum(target) AS st, sum(pred * target) AS spt, "
@@ -416,7 +419,7 @@ def _evaluated_sql() -> str:
     median = lambda name: rounded_sql(f"(SELECT quantile_cont({r}, 0.5) FROM {name})", 4)
     labels = _read_sql("2", "false").rsplit("SELECT index, track, bin,", 1)[0]
     return f"""{labels}, chosen AS (
-        SELECT index FROM tensors ORDER BY md5(index || ':{SEED}'), index LIMIT 200),
+        SELECT index FROM tensors ORDER BY md5(index || ':{SEED}'), index {limit}),
     pairs AS (SELECT t.index, t.track, t.bin, p.value AS pred, t.value AS target,
                      row_number() OVER (PARTITION BY t.index, t.track ORDER BY t.value DESC, t.bin) AS rn
               FROM lab t JOIN lab p ON p.index = t.index AND p.track = t.track AND p.bin = 11 - t.bin
@@ -491,7 +494,8 @@ QUERIES = [
     Query("read_time_transform_eval", "ARR-6 ARR-2 ARR-4", read_time(True), _read_sql("2", "false")),
     Query("read_time_transform_train", "ARR-6 ARR-2 ARR-3 ARR-4", read_time(False),
           _read_sql(f"{_HASH.format(salt='shift')} % 5", f"({_HASH.format(salt='flip')} % 2 = 0)")),
-    Query("evaluate_examples", "PIPE-7 LIM-1 ARR-6 MET-7 MET-8 LOSS-8", evaluated, _evaluated_sql()),
+    Query("evaluate_examples", "PIPE-7 LIM-1 ARR-6 MET-7 MET-8 LOSS-8", evaluated(200), _evaluated_sql("LIMIT 200")),
+    Query("evaluate_all_examples", "PIPE-7 ARR-6 MET-7 MET-8 LOSS-8", evaluated(None), _evaluated_sql("")),
     Query("predict_regions", "UDF-1 FLT-8 WIN-1", predicted_regions,
           f"{_DOC_REGIONS}, {_counts_sql('ctx', 'index')} SELECT index, CAST(track AS BIGINT) AS track, bin, value FROM counts"),
     Query("predict_signal", "PIPE-5 UDF-1 WIN-2 WIN-5", predicted_signal, f"""{_DOC_TILES},

@@ -216,3 +216,20 @@ def test_samples_are_repeatable_and_whole(spark):
     assert order == sorted(order, key=lambda i: hashlib.md5(f"{i}:3".encode()).hexdigest())
     assert [r["index"] for r in sampling.stride_sample(frame, 300).collect()] == list(range(0, 900, 3))
     assert sampling.stride_sample(frame, 2000).count() == 1000
+
+
+def test_model_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda x: x.sum(axis=2, keepdims=True)
+
+    windows = spark.range(400).repartition(40).selectExpr("id AS index", "'ACGT' AS seq")
+    found = inference.predict_windows(windows, load)
+    assert found.count() == 400
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) < 40
