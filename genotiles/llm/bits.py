@@ -16,9 +16,9 @@ def bit_table(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     place = f"shiftrightunsigned({column}, {64 - bits})"
     words = hashes.groupBy(F.expr(f"shiftright({place}, 6)").alias("word")).agg(
         F.expr(f"bit_or(shiftleft(1L, cast({place} & 63 as int)))").alias("bits")
-    ).toPandas()
+    ).toArrow()
     table = np.zeros(1 << (bits - 6), np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
     return table.view(np.uint64)
 
 
@@ -29,7 +29,7 @@ def has(table: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
 
 
-def maybe_in(hashes: DataFrame, h: Column, bits: int = 26) -> Column:
+def maybe_in(hashes: DataFrame, h: Column, bits: int = 25) -> Column:
     """Whether h may be among hashes (a column h): true for all members, and for few others. Only h leaves the JVM."""
     table = bit_table(hashes, "h", bits)
 
@@ -40,7 +40,7 @@ def maybe_in(hashes: DataFrame, h: Column, bits: int = 26) -> Column:
     return found(h)
 
 
-def without_ids(documents: DataFrame, dropped: DataFrame, bits: int = 26) -> DataFrame:
+def without_ids(documents: DataFrame, dropped: DataFrame, bits: int = 25) -> DataFrame:
     """The documents whose doc_id is not in dropped (doc_id); null ids stay unless dropped has a null.
 
     Only documents whose bit is set are shuffled for the exact comparison; the others, nearly all, stay where they are.

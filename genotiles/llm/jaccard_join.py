@@ -44,7 +44,7 @@ _MOST = 65_535
 #: Sizes of one class are below STEP times the smallest.
 STEP = 1.5
 #: 2^BITS bits of a bit table.
-BITS = 26
+BITS = 25
 #: Points in a leaf of the tree.
 LEAF = 32
 

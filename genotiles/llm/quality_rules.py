@@ -197,11 +197,11 @@ def learn(documents: DataFrame, labels: DataFrame, options: RuleOptions) -> tupl
     # Every labelled row may teach: the rules are judged on documents, not on labels.
     sample = training_rows(documents, labels, "quality", 1, 1, options.max_rows)
     shares = sample.mapInArrow(_training_batches(options), "doc_id long, label int, at binary, share binary")
-    table = shares.repartition(1).mapInArrow(_learn(options), "at long, weight double").toPandas()
+    table = shares.repartition(1).mapInArrow(_learn(options), "at long, weight double").toArrow()
+    at, weight = table["at"].to_numpy(), table["weight"].to_numpy()
     weights = np.zeros(2 << options.bits, np.float32)
-    own = table[table["at"] >= 0]
-    weights[own["at"].to_numpy()] = own["weight"].to_numpy()
-    return weights, float(table.loc[table["at"] < 0, "weight"].sum())
+    weights[at[at >= 0]] = weight[at >= 0]
+    return weights, float(weight[at < 0].sum())
 
 
 def _judge(weights: np.ndarray, intercept: float, options: RuleOptions):

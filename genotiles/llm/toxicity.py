@@ -116,12 +116,11 @@ def learn(documents: DataFrame, labels: DataFrame, options: ToxicityOptions) ->
     """Learn the weights in one task from the bounded sample; they are at most 2^bits numbers."""
     sample = training_rows(documents, labels, "toxic", options.modulus, options.remainder, options.max_rows)
     sets = sample.mapInArrow(_training_batches(options), "doc_id long, label int, at binary")
-    table = sets.repartition(1).mapInArrow(_learn(options), "at long, weight double").toPandas()
+    table = sets.repartition(1).mapInArrow(_learn(options), "at long, weight double").toArrow()
+    at, weight = table["at"].to_numpy(), table["weight"].to_numpy()
     weights = np.zeros(1 << options.bits, dtype=np.float32)
-    intercept = float(table.loc[table["at"] < 0, "weight"].sum())
-    kept = table[table["at"] >= 0]
-    weights[kept["at"].to_numpy()] = kept["weight"].to_numpy()
-    return weights, intercept
+    weights[at[at >= 0]] = weight[at >= 0]
+    return weights, float(weight[at < 0].sum())
 
 
 def _scores(at: np.ndarray, value: np.ndarray, intercept: float, options: ToxicityOptions):
