@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
@@ -47,8 +46,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def tasks_for(rows: int, rows_per_task: int) -> int:
     """Partitions for so many rows."""
     return max(1, -(-rows // rows_per_task))
-
-
-def key_of(column: str):
-    """A text that tells null from any value, for ids that may be null."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
