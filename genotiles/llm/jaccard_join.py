@@ -15,6 +15,8 @@ A text's set holds its distinct word shingles. Two sets are linked when 100 * |A
    the second pass leaves out pairs of one pivot and compares all others. No group's pairs are written out: a
    clique of thousands costs one link a member.
 5. Large keys are cut into tiles of bounded size; a task holds two tiles.
+6. All links are inside components, so n_links comes from a second pass: of each component of more than two sets
+   every pair is compared on the sets, once, in the one task that holds the pair's tiles, and counted there.
 
 Cases: null, empty and blank texts have the empty set and are linked with nothing; a text of fewer words
 than a shingle is one shingle; rows with one doc_id count as one document with the union of links; a null
@@ -47,6 +49,8 @@ STEP = 1.5
 BITS = 25
 #: Points in a leaf of the tree.
 LEAF = 32
+#: Tokens of a tile whose sets are compared with all others of their component.
+TILE_TOKENS = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -263,6 +267,88 @@ def _verify(options: JaccardOptions):
     return run
 
 
+def _linked_matrix(
+    left: tuple[np.ndarray, np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray, np.ndarray], percent: int
+) -> np.ndarray:
+    """Which sets of left and right are linked, as a matrix; each side is (tokens, row of each token, sizes).
+
+    Tokens of many sets are counted by a product of matrices of zeros and ones, those of few by listing their pairs.
+    """
+    (tokens, row, sizes), (others, other_row, other_sizes) = left, right
+    known = np.intersect1d(tokens, others)
+    overlap = np.zeros((len(sizes), len(other_sizes)))
+
+    def held(tokens: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows by token, where each known token's start, and how many they are."""
+        place = np.searchsorted(known, tokens)
+        use = (np.append(known, np.uint64(0))[place] == tokens) & (place < len(known))
+        place, row = place[use], row[use]
+        count = np.bincount(place, minlength=len(known))
+        return row[np.argsort(place, kind="stable")], np.cumsum(count) - count, count
+
+    a, a_first, a_count = held(tokens, row)
+    b, b_first, b_count = held(others, other_row)
+    pairs = a_count * b_count
+    many = pairs * 250 > overlap.size
+
+    def ones(rows: np.ndarray, first: np.ndarray, count: np.ndarray, chosen: np.ndarray, height: int) -> np.ndarray:
+        out = np.zeros((height, len(chosen)), np.float32)
+        n = count[chosen]
+        at = np.arange(int(n.sum())) + np.repeat(first[chosen] - (np.cumsum(n) - n), n)
+        out[rows[at], np.repeat(np.arange(len(chosen)), n)] = 1
+        return out
+
+    dense = np.flatnonzero(many)
+    for i in range(0, len(dense), 1024):
+        chosen = dense[i : i + 1024]
+        overlap += ones(a, a_first, a_count, chosen, len(sizes)) @ ones(b, b_first, b_count, chosen, len(other_sizes)).T
+    rare = np.flatnonzero(~many)
+    ends = np.cumsum(pairs[rare])
+    start = 0
+    while start < len(rare):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + (1 << 21), side="right")))
+        chosen = rare[start:stop]
+        n = pairs[chosen]
+        each = np.repeat(chosen, n)
+        k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        x, y = a[a_first[each] + k // b_count[each]], b[b_first[each] + k % b_count[each]]
+        overlap += np.bincount(x * len(other_sizes) + y, minlength=overlap.size).reshape(overlap.shape)
+        start = stop
+    return 100 * overlap >= percent * (sizes[:, None] + other_sizes[None, :] - overlap)
+
+
+def _count_batches(options: JaccardOptions):
+    """Of rows sorted by (group, tile, other tile): with how many sets of the other tile each set is linked."""
+    keys = ("g", "low", "high")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in complete_groups(batches, keys):
+            group, d, side = (table[c].to_numpy() for c in ("g", "d", "side"))
+            column = table["tokens"].combine_chunks()
+            first = group_starts(table, keys)
+            for start, end in zip(first, np.append(first[1:], len(d)), strict=True):
+                # A set may have come from several equal texts.
+                own = start + np.unique(d[start:end], return_index=True)[1]
+                sets = [np.frombuffer(column[int(i)].as_buffer(), "<u8") for i in own]
+                sizes = np.array([len(x) for x in sets])
+                links = np.zeros(len(own), np.int64)
+                below, above = np.flatnonzero(side[own] <= 0), np.flatnonzero(side[own] >= 0)
+
+                def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    return np.concatenate([sets[i] for i in rows]), np.repeat(np.arange(len(rows)), sizes[rows]), sizes[rows]
+
+                for i in range(0, len(below) if len(above) else 0, 1024):
+                    a = below[i : i + 1024]
+                    linked = _linked_matrix(part(a), part(above), options.percent)
+                    linked &= a[:, None] != above[None, :]
+                    links[a] += linked.sum(axis=1)
+                    links[above] += np.where(side[own[above]] > 0, linked.sum(axis=0), 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group[own]), pa.array(d[own]), pa.array(links)], names=["g", "d", "links"]
+                )
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, options: JaccardOptions, name: str) -> DataFrame:
     """The pairs (a, b) whose sets are linked."""
     both = (
@@ -272,11 +358,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, options: JaccardOptions, name:
     return written(both.select("a", "b", "x", "y").mapInArrow(_verify(options), "a long, b long"), name)
 
 
-def linked_documents(documents: DataFrame, options: JaccardOptions | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links (between different
-    sets) of every document."""
-    options = options or JaccardOptions()
-    texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+def _linked_within(groups: DataFrame, texts: DataFrame, options: JaccardOptions) -> DataFrame:
+    """(g, d, links): with how many others of its group each set of groups (g, d, n, first_id) is linked.
+
+    Every pair of a group meets in one task, which sends a count for each set and no pairs.
+    """
+    sized = groups.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
+    tiles = F.ceil(F.greatest(F.col("size") / options.tile, F.col("tokens") / TILE_TOKENS)).cast("int")
+    tiled = _tiled(groups.select("g", "d").join(sized.select("g", tiles.alias("tiles")), "g"), "g", "d")
+    chosen = bit_table(groups.select(F.xxhash64("first_id").alias("h")), "h", BITS)
+    sets = (
+        texts.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
+        .mapInArrow(_set_batches(options, chosen), "d long, n long, tokens binary")
+    )
+    return (
+        tiled.join(sets.select("d", "tokens"), "d").repartition("g", "low", "high").sortWithinPartitions("g", "low", "high")
+        .mapInArrow(_count_batches(options), "g long, d long, links long")
+        .groupBy("g", "d").agg(F.sum("links").alias("links"))
+    )
+
+
+def _tiled(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows once for each pair of tiles (low, high) that has theirs; side tells which of the two is theirs."""
+    return (
+        rows.withColumn("tile", F.pmod(F.xxhash64("d"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select(
+            *columns,
+            F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
+            F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), -1).otherwise(1).alias("side"),
+        )
+    )
+
+
+def _linked_classes(texts: DataFrame, options: JaccardOptions) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Size and digest of every row's set (doc_id, n, d), its classes (d, first_id, n), and (id, root) of first_ids with links."""
     features = written(
         texts.mapInArrow(_set_batches(options), "doc_id long, n long, d long, point binary"), "sets"
     )
@@ -314,16 +430,7 @@ def linked_documents(documents: DataFrame, options: JaccardOptions | None = None
         F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h")
     ).where("l <> h")
     tiles = F.ceil(F.col("size") / options.tile).cast("int")
-    tiled = (
-        labelled.join(several.select("key", tiles.alias("tiles")), "key")
-        .withColumn("tile", F.pmod(F.xxhash64("d"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select(
-            "key", "d", "label",
-            F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
-            F.when(F.col("tile") == F.col("other"), 0).when(F.col("tile") < F.col("other"), -1).otherwise(1).alias("side"),
-        )
-    )
+    tiled = _tiled(labelled.join(several.select("key", tiles.alias("tiles")), "key"), "key", "d", "label")
     # Points are a row's bulk and join last: they are shuffled once.
     pairs = (
         tiled.join(points.select("d", "point", "n"), "d").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
@@ -334,18 +441,39 @@ def linked_documents(documents: DataFrame, options: JaccardOptions | None = None
     links = star_links.union(pair_links).distinct()
     ids = points.select("d", "first_id")
     edges = links.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select("x", "y")
-    roots = components(edges)
-    degree = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n_links"))
+    return features.select("doc_id", "n", "d"), classes.select("d", "first_id", "n"), components(edges)
+
+
+def _with_components(features: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, n, d and component_id of every row."""
     resolved = (
-        classes.select("d", "first_id").join(roots, F.col("first_id") == F.col("id"), "left").join(degree, "d", "left")
-        .select("d", F.coalesce("root", "first_id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        classes.join(roots, F.col("first_id") == F.col("id"), "left").select("d", F.coalesce("root", "first_id").alias("root"))
+    )
+    return features.join(resolved, "d", "left").select(
+        "doc_id", "n", "d", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id")
+    )
+
+
+def linked_documents(documents: DataFrame, options: JaccardOptions | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links (between different
+    sets) of every document."""
+    options = options or JaccardOptions()
+    texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    features, classes, roots = _linked_classes(texts, options)
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    groups = written(
+        classes.join(roots.join(sizes, "root"), F.col("first_id") == F.col("id")).select(F.col("root").alias("g"), "d", "n", "first_id", "size"),
+        "groups",
     )
+    # Both sets of a component of two have the one link.
+    several = _linked_within(groups.where("size > 2"), texts, options).select("d", "links")
+    degree = groups.where("size = 2").select("d", F.lit(1).cast("long").alias("links")).union(several).withColumnRenamed("links", "n_links")
     return (
-        features.select("doc_id", "n", "d").join(resolved, "d", "left")
+        _with_components(features, classes, roots).join(degree, "d", "left")
         .groupBy("doc_id").agg(
             F.max("n").alias("n_shingles"),
-            F.min(F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))).alias("component_id"),
-            F.sum(F.when(F.col("n") > 0, F.col("n_links")).otherwise(0)).alias("n_links"),
+            F.min("component_id").alias("component_id"),
+            F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"),
         )
     )
 
@@ -362,7 +490,9 @@ def _pivot_bound(options: JaccardOptions):
 
 def one_of_each_group(documents: DataFrame, options: JaccardOptions | None = None) -> DataFrame:
     """The document of the smallest doc_id of each component; of rows with one doc_id, one; all rows without id."""
-    found = written(linked_documents(documents, options).select("doc_id", "component_id"), "components")
+    texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    rows = _with_components(*_linked_classes(texts, options or JaccardOptions()))
+    found = written(rows.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "components")
     kept = without_ids(documents, found.where("doc_id <> component_id"))
     again = written(documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.isEmpty():

@@ -75,3 +75,28 @@ def test_long_path_is_one_component(spark):
     edges = spark.createDataFrame(list(zip(order, order[1:])) + [(1000, 1000), (1001, 1002)], "x long, y long")
     roots = dict((r["id"], r["root"]) for r in components(edges).collect())
     assert {roots[i] for i in range(n)} == {0} and roots[1000] == 1000 and roots[1002] == 1001
+
+
+def brute_links(texts, size=3, percent=90):
+    """By text, the number of other sets that its set is linked with."""
+    sets = []
+    for text in texts:
+        w = (text or "").lower().split()
+        sets.append(frozenset(tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset())
+    different = set(sets)
+    return [sum(a != b and 100 * len(a & b) >= percent * len(a | b) for b in different) if a else 0 for a in sets]
+
+
+@pytest.mark.parametrize("tile", [4096, 50])
+def test_links_within_a_clique_of_near_copies(spark, documents, tile):
+    base = [f"t{i}" for i in range(400)]
+    texts = [" ".join(base[:k] + [f"new{k}"] + base[k + 1:]) for k in range(0, 120)]
+    got = dict(linked_documents(documents(texts), JaccardOptions(tile=tile)).select("doc_id", "n_links").collect())
+    assert [got[i] for i in range(120)] == brute_links(texts) == [119] * 120
+
+
+@pytest.mark.parametrize("tile", [4096, 3])
+def test_links_against_all_pairs(spark, documents, tile):
+    texts = corpus(5, 260)
+    got = dict(linked_documents(documents(texts), JaccardOptions(tile=tile)).select("doc_id", "n_links").collect())
+    assert [got[i] for i in range(260)] == brute_links(texts)
