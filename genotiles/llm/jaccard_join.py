@@ -120,8 +120,9 @@ def _read_points(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _overlap_bound(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sums of coordinate minima, over the last axis."""
-    return np.minimum(left, right).sum(axis=-1, dtype=np.int64)
+    """Sums of coordinate minima, over the last axis; two points that bound nothing have no bound."""
+    bound = np.minimum(left, right).sum(axis=-1, dtype=np.int64)
+    return np.where(bound == GROUPS * _MOST, np.iinfo(np.int64).max, bound)
 
 
 def _set_batches(options: JaccardOptions, chosen: np.ndarray | None = None):

@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 from genotiles.llm.components import components
-from genotiles.llm.jaccard_join import JaccardOptions, linked_documents
+from genotiles.llm.jaccard_join import GROUPS, JaccardOptions, _overlap_bound, _points, least_overlap, linked_documents
 
 
 def brute(texts, ids, size=3, percent=90):
@@ -100,3 +101,11 @@ def test_links_against_all_pairs(spark, documents, tile):
     texts = corpus(5, 260)
     got = dict(linked_documents(documents(texts), JaccardOptions(tile=tile)).select("doc_id", "n_links").collect())
     assert [got[i] for i in range(260)] == brute_links(texts)
+
+
+def test_points_of_two_very_large_sets_bound_nothing():
+    many = _points(np.zeros(70_000, np.uint64), np.zeros(70_000, np.int64), 1)
+    few = _points(np.arange(1000, dtype=np.uint64), np.zeros(1000, np.int64), 1)
+    assert many.shape == (1, GROUPS)
+    assert _overlap_bound(many, many)[0] >= least_overlap(40_000_000, 40_000_000, 90)
+    assert _overlap_bound(many, few)[0] == 1000
