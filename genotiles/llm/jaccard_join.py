@@ -445,11 +445,25 @@ def _linked_classes(texts: DataFrame, options: JaccardOptions) -> tuple[DataFram
     return features.select("doc_id", "n", "d"), classes.select("d", "first_id", "n"), components(edges)
 
 
-def _with_components(features: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """doc_id, n, d and component_id of every row."""
+def _several_sets(features: DataFrame, classes: DataFrame) -> DataFrame:
+    """(g, d, n, first_id): the sets of each doc_id g whose rows have different ones."""
+    full = features.where("n > 0").select("doc_id", "d")
+    again = full.groupBy("doc_id").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low <> high").select("doc_id")
+    own = full.join(again, "doc_id").distinct().join(classes, "d")
+    return written(own.select(F.col("doc_id").alias("g"), "d", "n", "first_id"), "several_sets")
+
+
+def _with_components(features: DataFrame, classes: DataFrame, roots: DataFrame, several: DataFrame) -> DataFrame:
+    """doc_id, n, d and component_id of every row; the sets of one doc_id are connected."""
     resolved = (
         classes.join(roots, F.col("first_id") == F.col("id"), "left").select("d", F.coalesce("root", "first_id").alias("root"))
     )
+    if not several.isEmpty():
+        own = several.select("g", "d").join(resolved, "d")
+        merged = components(own.join(own.groupBy("g").agg(F.min("root").alias("least")), "g").select("least", "root"))
+        resolved = (
+            resolved.join(merged.toDF("root", "least"), "root", "left").select("d", F.coalesce("least", "root").alias("root"))
+        )
     return features.join(resolved, "d", "left").select(
         "doc_id", "n", "d", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id")
     )
@@ -469,14 +483,26 @@ def linked_documents(documents: DataFrame, options: JaccardOptions | None = None
     # Both sets of a component of two have the one link.
     several = _linked_within(groups.where("size > 2"), texts, options).select("d", "links")
     degree = groups.where("size = 2").select("d", F.lit(1).cast("long").alias("links")).union(several).withColumnRenamed("links", "n_links")
-    return (
-        _with_components(features, classes, roots).join(degree, "d", "left")
+    own = _several_sets(features, classes)
+    found = (
+        _with_components(features, classes, roots, own).join(degree, "d", "left")
         .groupBy("doc_id").agg(
             F.max("n").alias("n_shingles"),
             F.min("component_id").alias("component_id"),
-            F.sum(F.coalesce("n_links", F.lit(0))).alias("n_links"),
+            F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"),
         )
     )
+    if own.isEmpty():
+        return found
+    # A link between two sets of one document is in the degree of both.
+    inner = _linked_within(own, texts, options).groupBy("g").agg(F.sum("links").alias("twice"))
+    union = (
+        own.join(degree, "d", "left").groupBy("g").agg(F.sum(F.coalesce("n_links", F.lit(0))).alias("all"))
+        .join(inner, "g").select(F.col("g").alias("doc_id"), F.expr("all - twice div 2").alias("united"))
+    )
+    return found.join(union, "doc_id", "left").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce("united", "n_links").alias("n_links")
+    )
 
 
 def _pivot_bound(options: JaccardOptions):
@@ -492,7 +518,8 @@ def _pivot_bound(options: JaccardOptions):
 def one_of_each_group(documents: DataFrame, options: JaccardOptions | None = None) -> DataFrame:
     """The document of the smallest doc_id of each component; of rows with one doc_id, one; all rows without id."""
     texts = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    rows = _with_components(*_linked_classes(texts, options or JaccardOptions()))
+    features, classes, roots = _linked_classes(texts, options or JaccardOptions())
+    rows = _with_components(features, classes, roots, _several_sets(features, classes))
     found = written(rows.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "components")
     kept = without_ids(documents, found.where("doc_id <> component_id"))
     again = written(documents.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")

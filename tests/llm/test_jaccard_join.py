@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from genotiles.llm.components import components
-from genotiles.llm.jaccard_join import GROUPS, JaccardOptions, _overlap_bound, _points, least_overlap, linked_documents
+from genotiles.llm.jaccard_join import GROUPS, JaccardOptions, _overlap_bound, _points, least_overlap, linked_documents, one_of_each_group
 
 
 def brute(texts, ids, size=3, percent=90):
@@ -109,3 +109,17 @@ def test_points_of_two_very_large_sets_bound_nothing():
     assert many.shape == (1, GROUPS)
     assert _overlap_bound(many, many)[0] >= least_overlap(40_000_000, 40_000_000, 90)
     assert _overlap_bound(many, few)[0] == 1000
+
+
+def test_rows_of_one_document_connect_their_sets(spark, documents):
+    a, b, near = "a b c d", "e f g h i", " ".join(f"t{i}" for i in range(100))
+    texts = documents([a, b, a, b, near, near, near + " x", near, near + " x", ""], [1, 2, 5, 5, 7, 8, 8, 9, 9, 9])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in linked_documents(texts).collect()}
+    assert got == {1: (2, 1, 0), 2: (3, 1, 0), 5: (3, 1, 0), 7: (98, 7, 1), 8: (99, 7, 1), 9: (99, 7, 1)}
+    assert sorted(r["doc_id"] for r in one_of_each_group(texts).collect()) == [1, 7]
+
+
+def test_equal_rows_of_one_document_count_their_links_once(spark, documents):
+    near = " ".join(f"t{i}" for i in range(100))
+    got = linked_documents(documents([near, near, near + " x"], [4, 4, 6])).select("doc_id", "component_id", "n_links").collect()
+    assert sorted(tuple(r) for r in got) == [(4, 4, 1), (6, 4, 1)]
