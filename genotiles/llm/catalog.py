@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from genotiles.llm.contamination import contaminated
+from genotiles.llm.graph_search import neighbour_report
 from genotiles.llm.interpolated_lm import lm_scores
 from genotiles.llm.jaccard_join import linked_documents
 from genotiles.llm.packing import PackingOptions, pack
@@ -14,6 +15,7 @@ from genotiles.llm.quality_rules import rule_report
 from genotiles.llm.repeats import repeat_report
 from genotiles.llm.tables import read
 from genotiles.llm.token_counts import CountOptions, token_report
+from genotiles.llm.tokenizer_alignment import AlignOptions, align_tokenizers
 from genotiles.llm.toxicity import toxicity_report
 from genotiles.llm.warc import archive_report
 from genotiles.queries.base import Query
@@ -55,6 +57,15 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return align_tokenizers(read(spark, sf_dir, "documents"), AlignOptions(*files))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(read(spark, sf_dir, "pages"))
 
@@ -83,6 +94,8 @@ QUERIES = (
     Query("op8_quality_classifier", "LLM-8", op8_quality_classifier, None),
     Query("op9_jaccard_join", "LLM-9", op9_jaccard_join, None),
     Query("op10_toxicity", "LLM-10", op10_toxicity, None),
+    Query("op11_pruned_graph", "LLM-11", op11_pruned_graph, None),
+    Query("op12_tokenizer_alignment", "LLM-12", op12_tokenizer_alignment, None),
 )
 
 CATALOG: dict[str, Query] = {query.name: query for query in QUERIES}
