@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from genotiles.llm.contamination import contaminated
+from genotiles.llm.conversation_repair import repair_report
 from genotiles.llm.graph_search import neighbour_report
 from genotiles.llm.interpolated_lm import lm_scores
 from genotiles.llm.jaccard_join import linked_documents
@@ -66,6 +67,10 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(read(spark, sf_dir, "documents"), AlignOptions(*files))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(read(spark, sf_dir, "conversations"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(read(spark, sf_dir, "pages"))
 
@@ -96,6 +101,7 @@ QUERIES = (
     Query("op10_toxicity", "LLM-10", op10_toxicity, None),
     Query("op11_pruned_graph", "LLM-11", op11_pruned_graph, None),
     Query("op12_tokenizer_alignment", "LLM-12", op12_tokenizer_alignment, None),
+    Query("op13_conversation_repair", "LLM-13", op13_conversation_repair, None),
 )
 
 CATALOG: dict[str, Query] = {query.name: query for query in QUERIES}
