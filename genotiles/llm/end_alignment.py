@@ -146,13 +146,13 @@ def linked_pairs(found: Alignment, b_ids: int, bits: int) -> tuple[np.ndarray, n
     for g in np.split(small, np.flatnonzero(np.diff(chunk)) + 1):
         n = pairs[g]
         place, wide = within(n), np.repeat(b_n[g], n)
-        a = found.a[np.repeat(a_first[g], n) + place // wide]
+        a = found.a[np.repeat(a_first[g], n) + place // wide].astype(np.int64)
         b = found.b[np.repeat(b_first[g], n) + place % wide]
         key, count = _united((np.repeat(text[g], n) << bits) | (a * b_ids + b), np.ones(len(place), np.int64))
         keys.append(key)
         counts.append(count)
     for g in np.flatnonzero(pairs > _SMALL_GROUP):
-        a, a_times = np.unique(found.a[a_first[g] : found.a_ends[g]], return_counts=True)
+        a, a_times = np.unique(found.a[a_first[g] : found.a_ends[g]].astype(np.int64), return_counts=True)
         b, b_times = np.unique(found.b[b_first[g] : found.b_ends[g]], return_counts=True)
         keys.append(((text[g] << bits) | (a[:, None] * b_ids + b)).reshape(-1))
         counts.append((a_times[:, None] * b_times).reshape(-1))

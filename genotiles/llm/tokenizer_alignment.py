@@ -25,6 +25,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genotiles.llm.end_alignment import align, digit_table, linked_pairs, spelled_groups
+from genotiles.llm.end_alignment import align, digit_table, linked_pairs, spelled_groups, within
 from genotiles.llm.tables import written
 from genotiles.llm.tokens import column_of, pieces
 
@@ -47,8 +48,8 @@ class AlignOptions:
     block_bytes: int = 8 << 20
 
 
-#: Texts given to a tokenizer at once.
-_CALL = 4096
+#: Texts given to a tokenizer at once, and tokens aligned at once.
+_CALL, _PART = 4096, 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -72,11 +73,24 @@ class _Side:
     def call(self, texts: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def many(self, texts: list[str]) -> list[list[int]]:
-        return [ids for at in range(0, len(texts), _CALL) for ids in self.call(texts[at : at + _CALL])]
-
-    def spells(self, ids: list[int], text: bytes) -> bool:
-        return b"".join([self.spelling[i] for i in ids]) == text
+    def many(self, texts: list[str], spelled: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, how many each has, and whether a text's ids spell its bytes."""
+        found = []
+        for at in range(0, len(texts), _CALL):
+            ids, wanted = self.call(texts[at : at + _CALL]), spelled[at : at + _CALL]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(count.sum()))
+            right = self._bytes(flat, count) == np.fromiter(map(len, wanted), np.int64, len(wanted))
+            if not right.all() or b"".join([self.spelling[i] for i in flat.tolist()]) != b"".join(wanted):
+                right = np.array([b"".join([self.spelling[i] for i in x]) == w for x, w in zip(ids, wanted, strict=True)], dtype=bool)
+            found.append((flat, count, right))
+        none = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool))
+        return tuple(np.concatenate(parts) for parts in zip(none, *found, strict=True))
+
+    def _bytes(self, flat: np.ndarray, count: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(self.size[flat])))
+        end = np.cumsum(count)
+        return total[end] - total[end - count]
 
 
 class _ByteLevel(_Side):
@@ -137,7 +151,8 @@ class _Both:
         place = words.indices.to_numpy().astype(np.int64)
         known = words.dictionary.to_pylist()
         row = np.repeat(np.arange(len(texts)), np.diff(start))
-        alone = np.array([bool(w) and not (w[0].isspace() or w[-1].isspace()) for w in known], dtype=bool)
+        # Other blanks at a word's end could join with the blank beside them.
+        alone = np.array([w != "" and w.strip() == w for w in known], dtype=bool)
         whole = np.zeros(len(texts), dtype=bool)
         whole[row[~alone[place]]] = True
         if not self.b.by_words:
@@ -154,21 +169,16 @@ class _Both:
         unit = np.concatenate((unit, n_words + np.arange(len(entries) - n_words)))
         order = np.argsort(unit_row, kind="stable")
         unit, unit_row = unit[order], unit_row[order]
-        a, b = self.a.many(entries), self.b.many(entries)
         spelled = [(" " + e).encode() for e in entries]
-        right = np.array([
-            bool(e) and self.a.spells(x, s) and self.b.spells(y, s) for e, x, y, s in zip(entries, a, b, spelled, strict=True)
-        ], dtype=bool)
+        a, b = self.a.many(entries, spelled), self.b.many(entries, spelled)
+        right = a[2] & b[2] & np.array([e != "" for e in entries], dtype=bool)
         has = np.ones(len(texts), dtype=bool)
         has[unit_row[~right[unit]]] = False
         unit, unit_row = unit[has[unit_row]], unit_row[has[unit_row]]
         ids, ends = [], []
-        for side in (a, b):
-            size = np.array([len(x) for x in side], np.int64)
-            flat = np.fromiter((i for x in side for i in x), np.int64, int(size.sum()))
+        for flat, size, _ in (a, b):
             count = size[unit]
-            source = np.repeat((np.cumsum(size) - size)[unit] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            ids.append(flat[source])
+            ids.append(flat[np.repeat((np.cumsum(size) - size)[unit], count) + within(count)])
             ends.append(np.cumsum(np.bincount(unit_row, count, len(texts)).astype(np.int64)))
         return has, ids, ends
 
@@ -202,27 +212,45 @@ _BLOCK = (
 )
 
 
+def _parts(a_texts: np.ndarray, b_texts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts with about _PART tokens."""
+    ends, row = a_texts + b_texts, 0
+    while row < len(ends):
+        before = ends[row - 1] if row else 0
+        stop = max(row + 1, int(np.searchsorted(ends, before + _PART, side="right")))
+        yield row, stop
+        row = stop
+
+
 def _block(both: _Both, ids: pa.Array, texts: pa.Array) -> dict:
     has, (a, b), (a_texts, b_texts) = both.tokens(texts)
-    found = align(a, b, both.a.size[a], both.b.size[b], a_texts, b_texts)
-    text, text_to = spelled_groups(found, both.digits)
-    text_from = np.concatenate(([0], text_to[:-1]))
-    digests = [
-        hashlib.sha256(text[low : high - 1]).hexdigest() if there else ""
-        for low, high, there in zip(text_from.tolist(), text_to.tolist(), has.tolist(), strict=True)
-    ]
-    keys, times = linked_pairs(found, both.b_ids, both.bits)
-    row, code = keys >> both.bits, keys & ((1 << both.bits) - 1)
+    digests, groups, links, keys, times = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for low, high in _parts(a_texts, b_texts):
+        a_low, b_low = (int(t[low - 1]) if low else 0 for t in (a_texts, b_texts))
+        own_a, own_b = a[a_low : a_texts[high - 1]], b[b_low : b_texts[high - 1]]
+        found = align(own_a, own_b, both.a.size[own_a], both.b.size[own_b], a_texts[low:high] - a_low, b_texts[low:high] - b_low)
+        text, text_to = spelled_groups(found, both.digits)
+        text_from = np.concatenate(([0], text_to[:-1]))
+        digests += [
+            hashlib.sha256(text[first : last - 1]).hexdigest() if there else ""
+            for first, last, there in zip(text_from.tolist(), text_to.tolist(), has[low:high].tolist(), strict=True)
+        ]
+        upto = np.concatenate(([0], found.groups))
+        groups.append(np.diff(upto))
+        links.append(np.diff(np.concatenate(([0], np.cumsum(found.a_count * found.b_count)))[upto]))
+        key, time = linked_pairs(found, both.b_ids, both.bits)
+        keys.append(key + (low << both.bits))
+        times.append(time)
+    key, times = np.concatenate(keys), np.concatenate(times)
+    row, code = key >> both.bits, key & ((1 << both.bits) - 1)
     pairs, place, documents = np.unique(code, return_inverse=True, return_counts=True)
-    links = np.concatenate(([0], np.cumsum(found.a_count * found.b_count)))
-    groups = np.concatenate(([0], found.groups))
     steps = np.diff(place, prepend=0)
     first = np.searchsorted(row, np.arange(len(has)))
     first = first[(first < len(row)) & has]
     steps[first] = place[first]
     return {
         "block": uuid.uuid4().int >> 65, "doc_id": ids.to_pylist(), "n_a": np.diff(a_texts, prepend=0),
-        "n_b": np.diff(b_texts, prepend=0), "n_groups": np.diff(groups), "n_links": np.diff(links[groups]),
+        "n_b": np.diff(b_texts, prepend=0), "n_groups": np.concatenate(groups), "n_links": np.concatenate(links),
         "groups_sha256": digests, "pairs": pairs, "documents": documents.astype(np.int32),
         "ends": _packed(np.searchsorted(row, np.arange(len(has)), side="right")), "steps": _packed(steps), "times": _packed(times),
     }
