@@ -1,8 +1,9 @@
 """Value intervals to bins: coverage-weighted means over a chromosome grid or over each region.
 
-The range join "interval overlaps bin" is written as an equi-join key: every interval is exploded
-to the tiles it touches and then to the bins inside them, by integer division. Overlapping pairs are
-therefore produced directly, and the sums are combined map-side before the shuffle.
+The range join "interval overlaps bin" is written as an equi-join key: every interval is cut at the borders of the
+tiles it touches, by integer division. Within a tile, sums come from profiles (``operators/profiles.py``), combined
+map-side before the shuffle, so no row per (interval, bin) or (region, interval) is made. Only the policy that a later
+interval wins looks at such pairs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genotiles.operators.profiles import binned_tiles, dense_tiles, profiles, region_sums, tile_pieces
+from genotiles.session import cut_lineage
+
 # Bins per tile. A tile is the unit in which the grid is stored and joined.
 TILE_BINS = 1024
 
@@ -69,13 +73,38 @@ def covered_mean(value: str = "value", overlap: str = "overlap") -> Column:
     return F.sum(F.col(value) * F.col(overlap)) / F.sum(overlap)
 
 
+def _grid_profiles(signal: DataFrame, contigs: DataFrame, bin_size: int, tile_bins: int) -> DataFrame:
+    """Profiles of the signal on the grid; a contig's grid has ``len div bin_size`` bins."""
+    grid = contigs.select("chrom", (F.expr(f"len div {bin_size}") * bin_size).alias("__grid_end")).where("__grid_end > 0")
+    span = bin_size * tile_bins
+    pieces = tile_pieces(signal.join(grid, "chrom"), span, low=F.lit(0), high=F.col("__grid_end"))
+    return profiles(pieces, span)
+
+
+def grid_rows(signal: DataFrame, contigs: DataFrame, bin_size: int, tile_bins: int = TILE_BINS) -> DataFrame:
+    """Sparse grid, a row per (chrom, tile, track): arrays ``bins, means, covered``, counts ``negative, nonzero``."""
+    return binned_tiles(_grid_profiles(signal, contigs, bin_size, tile_bins), bin_size, tile_bins)
+
+
+def grid_tiles(
+    signal: DataFrame, contigs: DataFrame, n_tracks: Column, bin_size: int, tile_bins: int = TILE_BINS
+) -> DataFrame:
+    """Dense grid: a matrix ``vals [T][tile_bins]`` per (chrom, tile), with counts ``negative [T], nonzero [T]``.
+
+    ``signal.track`` is the dense track index. The signal is scanned and shuffled once, as profiles.
+    """
+    return dense_tiles(_grid_profiles(signal, contigs, bin_size, tile_bins), n_tracks, bin_size, tile_bins)
+
+
+def bins_of(rows: DataFrame, *more: str) -> DataFrame:
+    """Long bins ``(chrom, track, tile, bin, mean)`` of grid rows, with columns of ``more`` (such as covered)."""
+    cells = rows.select("chrom", "track", "tile", F.inline(F.arrays_zip("bins", "means", "covered")))
+    return cells.select("chrom", "track", "tile", F.col("bins").alias("bin"), F.col("means").alias("mean"), *more)
+
+
 def signal_bins(signal: DataFrame, contigs: DataFrame, bin_size: int, tile_bins: int = TILE_BINS) -> DataFrame:
     """Sparse grid: ``(chrom, track, tile, bin, mean)`` for every bin with covered bases."""
-    return (
-        grid_overlaps(signal, contigs, bin_size, tile_bins)
-        .groupBy("chrom", "track", "tile", "bin")
-        .agg(covered_mean().alias("mean"))
-    )
+    return bins_of(grid_rows(signal, contigs, bin_size, tile_bins))
 
 
 def last_wins_bins(
@@ -102,91 +131,80 @@ def last_wins_bins(
     return latest.withColumn("overlap", F.col("__to") - F.col("__at")).groupBy(*keys).agg(covered_mean().alias("mean"))
 
 
-def exact_overlaps(regions: DataFrame, signal: DataFrame, n_bins: int, bucket_bp: int) -> DataFrame:
-    """One row per (region, interval, bin) that overlap, bins counted from ``sig_start``.
+def exact_bins(regions: DataFrame, signal: DataFrame, n_bins: int, bucket_bp: int) -> DataFrame:
+    """``(index, track, bin, mean)`` with bins that start exactly at each region's ``sig_start``.
 
-    Both sides are keyed by the coarse buckets they touch. A pair that shares several buckets is
-    kept in the first one only, so no de-duplication is needed.
+    Sums of a bin that lies in two buckets come from both. Rows are placed by (index, track), so that what
+    looks at a region's bins together, such as the sign, finds them together.
     """
-    left = regions.select(
-        "index", "chrom", "sig_start", "sig_end",
-        F.floor(F.col("sig_start") / bucket_bp).alias("__region_first"),
-        F.floor((F.col("sig_end") - 1) / bucket_bp).alias("__region_last"),
-    ).withColumn("__bucket", F.explode(F.sequence("__region_first", "__region_last")))
-    right = (
-        signal.where(_overlapping(F.col("start_pos"), F.col("end_pos")))
-        .select(
-            "chrom", "track", "start_pos", "end_pos", F.col("value").cast("double").alias("value"),
-            F.floor(F.col("start_pos") / bucket_bp).alias("__interval_first"),
-            F.floor((F.col("end_pos") - 1) / bucket_bp).alias("__interval_last"),
-        )
-        .withColumn("__bucket", F.explode(F.sequence("__interval_first", "__interval_last")))
+    cells = region_sums(regions, signal, n_bins, bucket_bp).select(
+        "index", "track", F.inline(F.arrays_zip("bins", "totals", "covered"))
     )
-    pairs = (
-        left.join(right, ["chrom", "__bucket"])
-        .where(F.col("__bucket") == F.greatest("__region_first", "__interval_first"))
-        .withColumn("__lo", F.greatest("start_pos", "sig_start") - F.col("sig_start"))
-        .withColumn("__hi", F.least("end_pos", "sig_end") - F.col("sig_start"))
-        .where(F.col("__lo") < F.col("__hi"))
-        .withColumn("__width", F.col("sig_end") - F.col("sig_start"))
+    return (
+        cells.repartition("index", "track").groupBy("index", "track", F.col("bins").alias("bin"))
+        .agg((F.sum("totals") / F.sum("covered")).alias("mean"))
     )
-    return _region_bins(pairs, n_bins)
 
 
-def _region_bins(pairs: DataFrame, n_bins: int) -> DataFrame:
-    """Split the overlap ``[__lo, __hi)`` of a window of ``__width`` bases over its ``n_bins`` bins.
+def _mostly_negative(negative: Column, nonzero: Column) -> Column:
+    """At least 80 % of the non-zero bins are negative; this makes the median negative as well."""
+    return (nonzero > 0) & (5 * negative >= 4 * nonzero)
+
+
+def _is_one_of(tracks: DataFrame) -> Column:
+    """Whether the row's track is among tracks: metadata, as many values as tracks."""
+    return F.array_contains(tracks.agg(F.collect_set("track")).scalar(), F.col("track"))
 
-    Bin edges lie at whole bases: edge ``b`` is ``b * width / n_bins`` rounded down, the last edge is
-    the window end. An overlap whose fractional bounds fall into one bin goes there whole.
+
+def fix_minus_sign(bins: DataFrame, minus_tracks: DataFrame, scope: Sequence[str] = ("chrom", "track")) -> DataFrame:
+    """Negate a minus-strand track where at least 80 % of its non-zero long bins are negative.
+
+    ``scope`` says over which bins the share is taken: ``(index, track)`` per region, which looks at a region's bins
+    together; ``(chrom, track)`` or ``(track,)`` for long bins from elsewhere, which are aggregated and joined back. A
+    grid has its counts with its tiles: see :func:`fix_minus_rows`.
     """
-    step = F.col("__width") / F.lit(float(n_bins))
-    first = F.floor(F.col("__lo") / step)
-    last = F.least(F.ceil(F.col("__hi") / step), F.lit(n_bins)) - 1
-    spread = (
-        pairs.withColumn("__first", first)
-        .withColumn("__last", last)
-        .withColumn("bin", F.explode(F.sequence("__first", "__last")))
-    )
-    edge = F.floor(F.col("bin") * step)
-    next_edge = F.when(F.col("bin") + 1 >= n_bins, F.col("__width")).otherwise(
-        F.floor((F.col("bin") + 1) * step)
+    scope = list(scope)
+    negative, nonzero = F.col("mean") < 0, F.col("mean") != 0
+    if "index" in scope:
+        of_region = Window.partitionBy(*scope)
+        turned = _is_one_of(minus_tracks) & _mostly_negative(
+            F.count_if(negative).over(of_region), F.count_if(nonzero).over(of_region)
+        )
+        return bins.withColumn("__flip", turned).withColumn("mean", F.when(F.col("__flip"), -F.col("mean")).otherwise(F.col("mean"))).drop("__flip")
+    counted = bins.where(_is_one_of(minus_tracks)).groupBy(*scope).agg(
+        F.count_if(negative).alias("negative"), F.count_if(nonzero).alias("nonzero")
     )
-    overlap = F.when(
-        F.col("__first") == F.col("__last"), F.col("__hi") - F.col("__lo")
-    ).otherwise(F.least(F.col("__hi"), next_edge) - F.greatest(F.col("__lo"), edge))
     return (
-        spread.withColumn("overlap", overlap)
-        .where(F.col("overlap") > 0)
-        .select("index", "chrom", "track", "bin", "start_pos", "end_pos", "value", "overlap")
+        bins.join(_flips(counted, scope), scope, "left")
+        .withColumn("mean", F.when(F.col("__flip"), -F.col("mean")).otherwise(F.col("mean")))
+        .drop("__flip")
     )
 
 
-def exact_bins(regions: DataFrame, signal: DataFrame, n_bins: int, bucket_bp: int) -> DataFrame:
-    """``(index, track, bin, mean)`` with bins that start exactly at each region's ``sig_start``."""
-    return (
-        exact_overlaps(regions, signal, n_bins, bucket_bp)
-        .groupBy("index", "track", "bin")
-        .agg(covered_mean().alias("mean"))
-    )
+def _flips(counted: DataFrame, scope: list[str]) -> DataFrame:
+    return counted.where(_mostly_negative(F.col("negative"), F.col("nonzero"))).select(*scope, F.lit(True).alias("__flip"))
 
 
-def fix_minus_sign(bins: DataFrame, minus_tracks: DataFrame, scope: Sequence[str] = ("chrom", "track")) -> DataFrame:
-    """Negate a minus-strand track where at least 80 % of its non-zero bins are negative.
+def fix_minus_rows(rows: DataFrame, minus_tracks: DataFrame, scope: Sequence[str] = ("chrom", "track")) -> DataFrame:
+    """Grid rows with the means of mostly negative minus-strand tracks negated.
 
-    ``scope`` says over which bins the share is taken: ``(chrom, track)`` for the grid, ``(track,)``
-    for a whole track, ``(index, track)`` per region. A share of 80 % also makes the median negative.
+    The rows are written once; the counts beside them are summed per scope, a column or two of a small part of them,
+    and the few scopes to negate are joined to tiles, not to bins.
     """
     scope = list(scope)
-    counted = (
-        bins.join(minus_tracks.select("track").distinct(), "track", "left_semi")
-        .groupBy(*scope)
-        .agg(F.count_if(F.col("mean") < 0).alias("__neg"), F.count_if(F.col("mean") != 0).alias("__nz"))
+    rows = cut_lineage(rows)
+    counted = rows.where(_is_one_of(minus_tracks)).groupBy(*scope).agg(
+        F.sum("negative").alias("negative"), F.sum("nonzero").alias("nonzero")
     )
-    flipped = counted.where((F.col("__nz") > 0) & (5 * F.col("__neg") >= 4 * F.col("__nz"))).select(
-        *scope, F.lit(True).alias("__flip")
-    )
-    return (
-        bins.join(flipped, scope, "left")
-        .withColumn("mean", F.when(F.col("__flip"), -F.col("mean")).otherwise(F.col("mean")))
-        .drop("__flip")
+    means = F.when(F.col("__flip"), F.transform("means", lambda x: -x)).otherwise(F.col("means"))
+    return rows.join(_flips(counted, scope), scope, "left").withColumn("means", means).drop("__flip")
+
+
+def flipped_tracks(tiles: DataFrame, minus_tracks: DataFrame) -> DataFrame:
+    """``(chrom, flipped)``: dense tracks of each chromosome to negate, from the counts beside dense tiles."""
+    signs = tiles.select("chrom", F.posexplode(F.arrays_zip("negative", "nonzero")).alias("track", "of"))
+    counted = signs.where(_is_one_of(minus_tracks)).groupBy("chrom", "track").agg(
+        F.sum("of.negative").alias("negative"), F.sum("of.nonzero").alias("nonzero")
     )
+    # One row per chromosome with at most all tracks.
+    return _flips(counted, ["chrom", "track"]).groupBy("chrom").agg(F.collect_set("track").alias("flipped"))

@@ -56,9 +56,9 @@ def _dense(entries: str, size: Column | int, fill: Column) -> Column:
 
 
 def signal_tiles(bins: DataFrame, n_tracks: Column, tile_bins: int = TILE_BINS) -> DataFrame:
-    """Dense grid: one matrix ``vals [T][tile_bins]`` per (chrom, tile) that holds any value.
+    """One matrix ``vals [T][tile_bins]`` per (chrom, tile) from long bins, such as those of ``last_wins_bins``.
 
-    ``bins.track`` is the dense track index. Spark brings the cells of a tile together, sorted; a task
+    The grid's own matrices come from ``binning.grid_tiles``, without long bins. ``bins.track`` is the dense track index. Spark brings the cells of a tile together, sorted; a task
     then fills many matrices per Arrow batch. A tile is bounded by tracks x tile_bins, because its bins
     are distinct.
     """
@@ -142,9 +142,11 @@ def nested_labels(
     """``(index, labels)`` with labels ``[T][B]`` cut out of the tiles.
 
     A region is exploded to the few tiles it touches, never to bins or tracks; every joined row carries
-    one slice of the matrix. Tiles without any value are zero.
+    one slice of the matrix. Tiles without any value are zero. Tracks in an array column ``flipped`` of the
+    regions, if there is one, are negated.
     """
-    slices = _touched_tiles(regions.select("index", "chrom", "sig_start"), n_bins, bin_size, tile_bins)
+    flipped = ["flipped"] if "flipped" in regions.columns else []
+    slices = _touched_tiles(regions.select("index", "chrom", "sig_start", *flipped), n_bins, bin_size, tile_bins)
     tile_start = F.col("tile") * tile_bins
     low = F.greatest(F.col("__from"), tile_start)
     high = F.least(F.col("__from") + n_bins, tile_start + tile_bins)
@@ -154,11 +156,11 @@ def nested_labels(
     cut = F.transform("vals", lambda row: F.slice(row, F.col("__skip"), F.col("__n")))
     empty = F.array_repeat(F.array_repeat(F.lit(0.0).cast("float"), F.col("__n")), F.col("n_tracks"))
     pieces = slices.join(tiles, ["chrom", "tile"], "left").select(
-        "index", "n_tracks", "tile", F.coalesce(cut, empty).alias("piece")
+        "index", "n_tracks", *flipped, "tile", F.coalesce(cut, empty).alias("piece")
     )
     # A window touches at most n_bins / tile_bins + 2 tiles, so a group is the example itself.
     grouped = pieces.groupBy("index").agg(
-        F.first("n_tracks").alias("n_tracks"),
+        F.first("n_tracks").alias("n_tracks"), *(F.first(c).alias(c) for c in flipped),
         F.array_sort(F.collect_list(F.struct("tile", "piece")))["piece"].alias("pieces"),
     )
     joined = F.transform(
@@ -166,7 +168,13 @@ def nested_labels(
         lambda t: F.flatten(F.transform("pieces", lambda piece: F.get(piece, t))),
     )
     labels = F.when(F.size("pieces") == 1, F.get("pieces", F.lit(0))).otherwise(joined)
-    return grouped.select("index", labels.alias("labels"))
+    if not flipped:
+        return grouped.select("index", labels.alias("labels"))
+    negated = F.transform(
+        "labels", lambda row, t: F.when(F.array_contains("flipped", t), F.transform(row, lambda x: -x)).otherwise(row)
+    )
+    whole = grouped.select("index", "flipped", labels.alias("labels"))
+    return whole.select("index", F.when(F.size("flipped") > 0, negated).otherwise(F.col("labels")).alias("labels"))
 
 
 def assemble_tracks(regions: DataFrame, rows: DataFrame, n_tracks: Column, n_bins: int) -> DataFrame:

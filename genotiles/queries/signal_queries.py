@@ -34,10 +34,8 @@ def label_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    overlaps = binning.grid_overlaps(V.signal(spark, sf_dir), V.contigs(spark, sf_dir), V.BIN, V.TILE)
-    return overlaps.groupBy("chrom", "track", "bin").agg(
-        rounded(binning.covered_mean()).alias("mean"), F.sum("overlap").alias("covered")
-    )
+    rows = binning.grid_rows(V.signal(spark, sf_dir), V.contigs(spark, sf_dir), V.BIN, V.TILE)
+    return binning.bins_of(rows, "covered").select("chrom", "track", "bin", rounded("mean").alias("mean"), "covered")
 
 
 def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +58,8 @@ def exact(n_bins: int):
 
 
 def _fixed(spark: SparkSession, sf_dir: str, scope: list[str]) -> DataFrame:
-    bins = binning.signal_bins(V.stranded_signal(spark, sf_dir), V.contigs(spark, sf_dir), V.BIN, V.TILE)
-    fixed = binning.fix_minus_sign(bins, _minus(spark, sf_dir), scope)
+    rows = binning.grid_rows(V.stranded_signal(spark, sf_dir), V.contigs(spark, sf_dir), V.BIN, V.TILE)
+    fixed = binning.bins_of(binning.fix_minus_rows(rows, _minus(spark, sf_dir), scope))
     return fixed.select("chrom", "track", "bin", rounded("mean").alias("mean"))
 
 
@@ -77,8 +75,8 @@ def nested_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Dense track numbers in name order, as a count of smaller names (the dimension is a few names).
     ordered = names.agg(F.array_sort(F.collect_list("track"))).scalar()
     n_tracks = names.agg(F.count(F.lit(1)).cast("int")).scalar()
-    numbered = _grid(spark, sf_dir).withColumn("track", F.array_position(ordered, F.col("track")).cast("int") - 1)
-    tiles = examples.signal_tiles(numbered, n_tracks, V.TILE)
+    numbered = V.signal(spark, sf_dir).withColumn("track", F.array_position(ordered, F.col("track")).cast("int") - 1)
+    tiles = binning.grid_tiles(numbered, V.contigs(spark, sf_dir), n_tracks, V.BIN, V.TILE)
     labels = examples.nested_labels(windows(spark, sf_dir), tiles, n_tracks, STORED, V.BIN, V.TILE)
     rows = labels.select("index", F.posexplode("labels").alias("track", "vals"))
     total = F.aggregate("vals", F.lit(0.0), lambda a, v: a + v.cast("double"))
