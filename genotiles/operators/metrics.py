@@ -1,7 +1,7 @@
 """Evaluation metrics over long ``pairs(index, track, bin, pred, target)``.
 
 An undefined metric is NULL. Everything is built from sums that merge, so partial aggregation does
-most of the work before any shuffle; rank and quantile metrics go through ordered blocks.
+most of the work before any shuffle; ranks are parallel prefix sums, quantiles a selection.
 """
 
 from __future__ import annotations
@@ -32,11 +32,6 @@ def _finite(pairs: DataFrame, x: str = "pred", y: str = "target") -> DataFrame:
     return pairs.where(finite_pair(F.col(x), F.col(y)))
 
 
-def _all_groups(pairs: DataFrame, by: Sequence[str], found: DataFrame) -> DataFrame:
-    """Keep groups that have no finite pair at all; their metric is NULL."""
-    return pairs.select(*by).distinct().join(found, list(by), "left")
-
-
 def pearson(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "target") -> DataFrame:
     """Pearson per group; NULL with fewer than two finite pairs or a flat side."""
     both = finite_pair(F.col(x), F.col(y))
@@ -55,7 +50,7 @@ def spearman(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "tar
     """Spearman per group with average ranks for ties.
 
     Equal (x, y) pairs are counted first and written down: both rankings and the sums come from these
-    counts. Ranks come from ordered blocks and are centred before they are multiplied, so the sums stay
+    counts. Ranks are parallel prefix sums and are centred before they are multiplied, so the sums stay
     exact for very long tracks.
     """
     by = list(by)
@@ -82,8 +77,10 @@ def spearman(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "tar
         weighted("__rx", "__rx").alias("__xx"), weighted("__ry", "__ry").alias("__yy"),
     )
     defined = (F.col("__count") >= 2) & (F.col("__sx") >= MIN_STD) & (F.col("__sy") >= MIN_STD)
-    value = F.when(defined, F.col("__xy") / F.sqrt(F.col("__xx") * F.col("__yy")))
-    return spread.join(sums, by, "left").select(*by, value.alias("spearman"))
+    found = sums.select(*by, (F.col("__xy") / F.sqrt(F.col("__xx") * F.col("__yy"))).alias("__r"))
+    # Without groups both sides are one row.
+    both_sides = spread.join(found, by, "left") if by else spread.withColumn("__r", found.select("__r").scalar())
+    return both_sides.select(*by, F.when(defined, F.col("__r")).alias("spearman"))
 
 
 def amplitude_calibration(
@@ -93,11 +90,11 @@ def amplitude_calibration(
     by = list(by)
     sizes = _finite(pairs).select(*by, F.abs("pred").alias("__p"), F.abs("target").alias("__t"))
     high = quantiles_of(sizes, by, {"high_pred": ("__p", quantile), "high_target": ("__t", quantile)})
-    n = sizes.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    # Over all pairs, so that a group without a finite pair keeps its row.
+    n = pairs.groupBy(*by).agg(F.count_if(finite_pair(F.col("pred"), F.col("target"))).alias("__n"))
     defined = (F.col("__n") >= 2) & (F.col("high_target") > MIN_STD)
     value = F.when(defined, ratio(F.col("high_pred"), F.col("high_target")))
-    found = n.join(high, by).select(*by, value.alias("amplitude_calibration"))
-    return _all_groups(pairs, by, found)
+    return n.join(high, by, "left").select(*by, value.alias("amplitude_calibration"))
 
 
 def _six_sums(p: Column, t: Column, suffix: str) -> list[Column]:
@@ -236,24 +233,21 @@ def fold_change_report(changes: DataFrame) -> DataFrame:
     "Largest" is ``|meas| >=`` its 80th percentile; that part needs two rows and a prediction that is
     not flat there.
     """
-    # A group key that is zero in every row, yet no literal: joins on it stay equi-joins.
-    rows = _finite(changes, "pred_lfc", "meas_lfc").select(
-        F.pmod(F.xxhash64("meas_lfc"), F.lit(1)).alias("all"), "pred_lfc", "meas_lfc", F.abs("meas_lfc").alias("size")
-    )
-    threshold = quantiles(rows, ["all"], "size", {"threshold": FOLD_CHANGE_QUANTILE}).select("threshold").scalar()
+    rows = cut_lineage(_finite(changes, "pred_lfc", "meas_lfc").select("pred_lfc", "meas_lfc", F.abs("meas_lfc").alias("size")))
+    threshold = quantiles(rows, [], "size", {"threshold": FOLD_CHANGE_QUANTILE}).select("threshold").scalar()
     large = F.col("size") >= threshold
     top_pred, top_meas = F.when(large, F.col("pred_lfc")), F.when(large, F.col("meas_lfc"))
-    linear = rows.groupBy("all").agg(
+    linear = rows.agg(
         pearson_guard_std(F.col("pred_lfc"), F.col("meas_lfc")).alias("pearson"),
         F.when(
             (F.count(top_pred) >= 2) & (F.stddev_pop(top_pred) > MIN_STD),
             ratio(F.covar_pop(top_pred, top_meas), F.stddev_pop(top_pred) * F.stddev_pop(top_meas)),
         ).alias("top_variance_pearson"),
     )
-    ranked = spearman(rows, ["all"], "pred_lfc", "meas_lfc")
+    ranked = spearman(rows, [], "pred_lfc", "meas_lfc").select("spearman").scalar()
     defined = F.col("pearson").isNotNull()
-    return linear.join(ranked, "all").select(
-        "pearson", "spearman", F.when(defined, F.col("top_variance_pearson")).alias("top_variance_pearson")
+    return linear.select(
+        "pearson", ranked.alias("spearman"), F.when(defined, F.col("top_variance_pearson")).alias("top_variance_pearson")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from genotiles.operators.ordering import quantiles, quantiles_of
@@ -59,9 +59,10 @@ def pseudo_counts(region_means: DataFrame, libraries: DataFrame, region_length_k
 def reference_track(counts: DataFrame) -> DataFrame:
     """One row: the track whose upper quartile is closest to the mean upper quartile, first on ties."""
     quartiles = quantiles(counts, ["track_index"], "n", {"uq75": 0.75})
-    centre = quartiles.agg(F.avg("uq75").alias("centre")).scalar()
-    distance = F.abs(F.col("uq75") - centre)
-    return quartiles.agg(F.min_by("track_index", F.struct(distance, "track_index")).alias("track_index"))
+    # One row per track.
+    centre = F.avg("uq75").over(Window.partitionBy())
+    centred = quartiles.select("track_index", F.abs(F.col("uq75") - centre).alias("distance"))
+    return centred.agg(F.min_by("track_index", F.struct("distance", "track_index")).alias("track_index"))
 
 
 def tmm_factors(
@@ -86,7 +87,7 @@ def tmm_factors(
         raise ValueError("weights must be 'variance' or 'inverse'")
     # Read several times below: written once as narrow rows instead of being computed again.
     counts = cut_lineage(pseudo_counts(region_means, libraries, region_length_kb))
-    chosen = cut_lineage(reference_track(counts)).scalar()
+    chosen = reference_track(counts).scalar()
     reference = counts.where((F.col("track_index") == chosen) & (F.col("n") >= min_count)).select(
         "index", F.col("n").alias("n_ref"), F.col("lib").alias("lib_ref")
     )
@@ -119,9 +120,8 @@ def tmm_factors(
     raw = libraries.select("track_index").join(per_track, "track_index", "left").select(
         "track_index", F.when(enough, F.col("log_ratio")).otherwise(0.0).alias("log_factor")
     )
-    raw = cut_lineage(raw)
-    # Dividing by the geometric mean is subtracting the mean of the logs.
-    level = raw.agg(F.avg("log_factor")).scalar()
+    # Dividing by the geometric mean is subtracting the mean of the logs, over one row per track.
+    level = F.avg("log_factor").over(Window.partitionBy())
     return raw.select("track_index", F.pow(F.lit(2.0), F.col("log_factor") - level).alias("tmm_factor"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from genotiles.functions import names as N
 from genotiles.operators import scaling as S, tracks as T
-from genotiles.operators.ordering import null_safe_join, number_rows, ordered_counts, quantiles_of
+from genotiles.operators import ordering
+from genotiles.operators.ordering import null_safe_join, number_rows, ordered_counts, quantiles_of, sortable_code
 from genotiles.plans.scale import enrich_tracks, original_scaling, tmm_from_means
 from genotiles.plans.tracks import resolve_tracks
 
@@ -253,3 +254,70 @@ def test_hashes_in_chunks(spark, tmp_path, monkeypatch):
     (tmp_path / "f").write_bytes(data)
     found = source.content_hashes(spark.createDataFrame([(str(tmp_path / "f"),)], "path string")).first()
     assert found["content_hash"] == hashlib.sha256(data).hexdigest()
+
+
+def test_codes_ascend_with_values(spark):
+    rng = np.random.default_rng(5)
+    powers = 2.0 ** rng.integers(-1074, 1024, 3000).astype(float)
+    values = np.concatenate([
+        powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), rng.normal(size=2000), rng.normal(size=500) * 1e-300,
+        [0.0, -0.0, 5e-324, np.finfo(float).max, np.inf], np.arange(300.0),
+    ])
+    values = np.unique(np.concatenate([values, -values]))
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    found = sorted((r["v"], r["c"]) for r in frame.select("v", sortable_code(F.col("v")).alias("c")).collect())
+    codes = np.array([c for _, c in found], dtype=object)
+    steps = codes[1:] - codes[:-1]
+    v = np.array([x for x, _ in found])
+    assert (steps >= 0).all()
+    told_apart = np.abs(v) >= 2.0 ** -960
+    assert (steps[(told_apart[1:] & told_apart[:-1]).astype(bool)] > 0).all()
+
+
+@pytest.mark.parametrize("small", [1, 40, 1 << 18])
+def test_selection_refines_until_buckets_are_small(spark, monkeypatch, small):
+    monkeypatch.setattr(ordering, "SMALL_BUCKET", small)
+    rng = np.random.default_rng(6)
+    # Values that agree in their leading 16, 32 and 48 bits, and many equal ones.
+    close = 1.0 + rng.integers(0, 50, 500) * 2.0**-52
+    data = {"close": close, "mid": 1.0 + rng.random(500) * 2.0**-20, "equal": np.full(300, -7.5), "wide": np.exp(rng.normal(0, 40, 400)) * rng.choice([-1, 1], 400), "one": np.array([2.0])}
+    frame = spark.createDataFrame([(g, float(v)) for g, vs in data.items() for v in vs], "g string, v double")
+    wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    found = {r["g"]: r for r in ordering.quantiles(frame, ["g"], "v", wanted).collect()}
+    for g, vs in data.items():
+        assert found[g]["n_total"] == len(vs)
+        np.testing.assert_allclose([found[g][n] for n in wanted], np.quantile(vs, list(wanted.values())), rtol=1e-15, atol=0)
+    whole = ordering.quantiles(frame, [], "v", wanted).collect()
+    every = np.concatenate(list(data.values()))
+    assert len(whole) == 1 and np.allclose([whole[0][n] for n in wanted], np.quantile(every, list(wanted.values())), rtol=1e-14)
+    assert ordering.quantiles(frame.where("false"), [], "v", wanted).collect() == []
+
+
+def test_weighted_quantiles_of_very_many_groups(spark):
+    n = 100_000
+    frame = spark.range(n).select(F.col("id").alias("g"), F.inline(F.expr(
+        "transform(sequence(1, 3), i -> named_struct('v', cast(id * i as double), 'w', cast(i as bigint)))"
+    )))
+    found = ordering.quantiles(frame, ["g"], "v", {"mid": 0.5}, "w").where("n_total = 6 AND mid <> 2.5 * g").count()
+    assert found == 0
+    assert ordering.quantiles(frame, ["g"], "v", {"mid": 0.5}, "w").count() == n
+
+
+def test_prefix_ranks_in_many_ranges(spark):
+    rng = np.random.default_rng(8)
+    data = [("hot", float(v), int(w)) for v, w in zip(rng.permutation(900), rng.integers(1, 5, 900))]
+    data += [(f"g{i % 40}" if i % 40 else None, float(i), 1) for i in range(200)]
+    frame = spark.createDataFrame(data, "g string, v double, w bigint")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = ordered_counts(frame, ["g"], "v", "w").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(found) == len(data)
+    for g in {d[0] for d in data}:
+        own = sorted((r["v"], r["n_equal"], r["n_below"], r["n_total"]) for r in found if r["g"] == g)
+        weights = [w for _, w in sorted((v, w) for h, v, w in data if h == g)]
+        assert [r[1] for r in own] == weights
+        assert [r[2] for r in own] == [sum(weights[:i]) for i in range(len(weights))]
+        assert {r[3] for r in own} == {sum(weights)}
