@@ -250,6 +250,34 @@ def test_rewrite_copies_all_files_and_counts_empty_splits(spark, tmp_path):
     assert counts["none"] == 0 and counts["train"] > 0
 
 
+def test_document_of_a_build_is_one_file_and_holds_the_splits(spark, tmp_path):
+    regions, signal, tracks, contigs, chunks, *_ = inputs(spark, tmp_path)
+    root = tmp_path / "with_document"
+    counters = spark.createDataFrame([(5, 2)], "n_requested int, n_dropped int")
+    B.build_dataset(str(root), regions, signal, tracks, contigs, chunks, options(), counters=counters, inputs={"bed_file": "a.bed"})
+    document = json.loads((root / "dataset_metadata.json").read_text())
+    assert document["splits"] == {k: list(v) for k, v in options().splits.items()}
+    assert (document["bed_file"], document["n_requested"], document["build_strategy"]) == ("a.bed", 5, "grid")
+    assert [r["track_index"] for r in document["final_track_records"]] == list(range(tracks.count()))
+    read = TR.read_metadata(spark, str(root))
+    assert read.first()["bin_size"] == options().geometry.bin_size
+    assert TR.track_records(read).count() == tracks.count()
+
+
+def test_rewrite_of_many_files_reports_a_damaged_copy(spark, tmp_path, monkeypatch):
+    for i in range(30):
+        (tmp_path / "a" / f"d{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "a" / f"d{i % 3}" / f"f {i}%.bin").write_bytes(bytes([i]) * (i * 1000))
+    (tmp_path / "a" / "_SUCCESS").write_text("")
+    XS._copy_beside(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    old = {p.relative_to(tmp_path / "a"): p.read_bytes() for p in (tmp_path / "a").rglob("*") if p.is_file()}
+    assert {p.relative_to(tmp_path / "b"): p.read_bytes() for p in (tmp_path / "b").rglob("*") if p.is_file()} == old
+    broken = XS.copy_files
+    monkeypatch.setattr(XS, "copy_files", lambda pairs: broken(pairs).withColumn("written_hash", F.lit("other")))
+    with pytest.raises(RuntimeError, match="does not hold the files"):
+        XS._copy_beside(spark, str(tmp_path / "a"), str(tmp_path / "c"))
+
+
 def test_samples_choose_narrow_keys(spark):
     wide = spark.range(100).selectExpr("id AS index", "id AS local_index", "repeat('x', 10) AS labels")
     for sample in (random_sample(wide, 7, 1), first_rows(wide, 7), stride_sample(wide, 7)):
