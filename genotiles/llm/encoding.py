@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,31 +20,39 @@ _MARKS = ".,;:!?"
 
 
 class _Words(dict):
-    """Ids (little-endian unsigned 32-bit) of a word after a blank, from the tokenizer when first met.
+    """Ids (little-endian unsigned 32-bit) of a word after a blank (or after nothing), from the tokenizer when first met.
 
     Letters alone are one piece of the pattern, and a mark after them another, so such words go to the
-    tokenizer's model without its pattern, offsets and settings; all others take the whole way.
+    tokenizer's model without its pattern, offsets and settings. The pattern never joins a line end that stands alone to
+    what is beside it, so words with line ends between other characters are put together from their parts.
+    All others take the whole way.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, blank: str = " "):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.blank = tokenizer, blank
         spelling = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spelled = {c: spelling.pre_tokenize_str(chr(c))[0][0] for c in range(32, ord(_PLAIN))}
         self.marks = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in _MARKS}
+        self.line_end = array("I", tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
+        self.bare = _Words(tokenizer, "") if blank else self
 
     def __missing__(self, word: str) -> bytes:
+        if "\n" in word:
+            parts = word.split("\n")
+            if all(part and part.strip() == part for part in parts):
+                return self.line_end.join([self[parts[0]], *(self.bare[part] for part in parts[1:])])
         mark = word[-1] in self.marks
         letters = word[:-1] if mark else word
         if letters.isalpha() and max(letters) < _PLAIN:
-            found = [token.id for token in self.tokenizer.model.tokenize((" " + letters).translate(self.spelled))]
+            found = [token.id for token in self.tokenizer.model.tokenize((self.blank + letters).translate(self.spelled))]
             if mark:
                 found += self.marks[word[-1]]
         else:
-            found = self.tokenizer.encode(" " + word, add_special_tokens=False).ids
-        ids = np.array(found, "<u4").tobytes()
+            found = self.tokenizer.encode(self.blank + word, add_special_tokens=False).ids
+        ids = array("I", found).tobytes()
         if len(word) <= _LETTERS:
             if len(self) >= _ENTRIES:
                 self.clear()
@@ -57,20 +66,22 @@ class Encoder:
     The tokenizer's pattern never joins letters across a blank, and a single blank belongs to the word after
     it. So a text whose blanks (U+0020) all stand alone between other characters is the sequence of its words, each
     with its blank, and a word's ids do not depend on its neighbours. Other texts go to the tokenizer whole.
+
+    A special token's string in a text is that token, as the tokenizer's file has it; with ``special_as_text`` it is text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.path = path
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.path, self.special_as_text = path, special_as_text
         self.inner = _Words(self.tokenizer)
 
     def __reduce__(self):
         # A tokenizer that travels forgets its settings; the other side reads the file.
-        return Encoder, (self.path,)
+        return Encoder, (self.path, self.special_as_text)
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of one text, as the tokenizer gives them."""
@@ -107,11 +118,11 @@ class Encoder:
         return table[source], ends[start]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and path."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """One encoder per worker, path and reading of special tokens."""
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = Encoder(path, special_as_text)
+    return _encoders[path, special_as_text]

@@ -34,6 +34,10 @@ class PackingOptions:
     capacity: int = 2048
     end_id: int = 1
     unit: int = 8
+    #: Whether a special token's string in a text is plain text; the tokenizer's own way is to make it that token.
+    special_as_text: bool = False
+    #: Bytes of text whose words are looked up together, about.
+    piece_bytes: int = 8 << 20
     #: Rows ranked by one window, about.
     bucket_rows: int = 50_000
 
@@ -43,10 +47,10 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def _pieces(options: PackingOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(options.tokenizer)
+        encode = encoder(options.tokenizer, options.special_as_text)
         end, step = np.array([options.end_id], "<u4").tobytes(), 4 * options.capacity
         for batch in batches:
-            for low, high, _, _ in pieces(column_of(batch, "text")):
+            for low, high, _, _ in pieces(column_of(batch, "text"), options.piece_bytes):
                 docs = column_of(batch, "doc_id").slice(low, high - low)
                 ids, starts = encode.many(column_of(batch, "text").slice(low, high - low))
                 out: list[tuple] = []

@@ -18,23 +18,24 @@ from genotiles.llm.packing import PackingOptions, pack
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 OPTIONS = PackingOptions(PATH)
+PLAIN = {as_text: Tokenizer.from_file(PATH) for as_text in (False, True)}
+PLAIN[True].encode_special_tokens = True
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.sampled_from(list("ab's'll1é9.,!?Éÿªµʔ \n\t\r 　 \x1c\x85😀ß")), max_size=40), max_size=5))
+@given(st.lists(st.lists(
+    st.sampled_from([*"ab's'll1é9.,!?Éÿªµʔ \n\n\t\r 　 \x1c\x85😀ß", "<|endoftext|>", ".\n", "\nThe"]), max_size=40
+).map("".join), max_size=5))
 def test_ids_of_words_are_ids_of_texts(texts):
-    plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
-    ids, starts = encoder(PATH).many(pa.array([*texts, None], pa.string()))
-    got = [ids[i:j].tolist() for i, j in zip(starts, starts[1:])]
-    assert got == [plain.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
+    for as_text, plain in PLAIN.items():
+        ids, starts = encoder(PATH, as_text).many(pa.array([*texts, None], pa.string()))
+        got = [ids[i:j].tolist() for i, j in zip(starts, starts[1:])]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in [*texts, ""]]
 
 
 def check(rows, texts, tokenizer, capacity=2048):
@@ -89,3 +90,12 @@ def test_patterns_hold_the_demand(seed):
     assert (sum(c * b for c, b in found) == demand).all() if found else not demand.any()
     bins, least = sum(b for _, b in found), (demand * np.arange(1, 257)).sum() / 256
     assert bins <= max(least * 1.02, demand[128:].sum()) + 12
+
+
+def test_special_tokens_in_texts(documents):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>\nb <|endoftext|"]
+    plain = Tokenizer.from_file(PATH)
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [87, 220, 50256, 331]
+    check(pack(documents(texts), OPTIONS).collect(), texts, plain)
+    plain.encode_special_tokens = True
+    check(pack(documents(texts), PackingOptions(PATH, special_as_text=True)).collect(), texts, plain)
