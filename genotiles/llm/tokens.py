@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes worked on at once; a longer text is one piece of its own.
 PIECE_BYTES = 2 << 20
@@ -89,8 +90,24 @@ class Words:
         return np.searchsorted(self.row, np.arange(self.rows + 1))
 
 
+#: Longest run hashed by a polynomial. Modulo 2^64 any base has equal sums for built runs of some 2^10 bytes.
+_SHORT_RUN = 64
+
+
 def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of non-empty, disjoint, ascending byte ranges."""
+    """Hashes of non-empty, disjoint, ascending byte ranges: a polynomial for short ones, XXH3 for the others."""
+    long = np.flatnonzero(end - start > _SHORT_RUN)
+    if not len(long):
+        return _short_hashes(data, start, end)
+    short = np.flatnonzero(end - start <= _SHORT_RUN)
+    out = np.empty(len(start), np.uint64)
+    out[short] = _short_hashes(data, start[short], end[short])
+    view = memoryview(np.ascontiguousarray(data))
+    out[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
+def _short_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.uint64)
     size = end - start
