@@ -7,14 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genotiles.functions.arrays import (
-    crop_columns,
-    draw,
-    permute_rows,
-    reverse_bins,
-    reverse_both_axes,
-)
-from genotiles.functions.signal import transform_value
+from genotiles.functions.arrays import draw
+from genotiles.functions.tensors import label_kernel, sequence_kernel
 
 
 def track_vectors(tracks: DataFrame) -> DataFrame:
@@ -27,17 +21,6 @@ def track_vectors(tracks: DataFrame) -> DataFrame:
     return tracks.agg(ordered.alias("__t")).select(*[vector(c) for c in ("scale_factor", "clip_soft", "clip_hard")])
 
 
-def transform_labels(labels: Column, scale: Column, soft: Column, hard: Column, **steps: bool) -> Column:
-    """:func:`transform_value` over nested labels ``[T][B]`` with per-track vectors."""
-    return F.transform(
-        labels,
-        lambda row, t: F.transform(
-            row,
-            lambda v: transform_value(v, F.get(scale, t), F.get(soft, t), F.get(hard, t), **steps).cast("float"),
-        ),
-    )
-
-
 def make_transform(
     vectors: DataFrame,
     *,
@@ -58,41 +41,28 @@ def make_transform(
     """Function for ``DataFrame.transform``, the same on batch and streaming examples.
 
     ``vectors`` and ``rc_permutation`` are one-row tables (:func:`track_vectors`,
-    ``permutation_array``), read once. Random draws depend on (key, seed, epoch) only. The signal
+    ``permutation_array``), read once; they travel with the task, not in the plan. Crop, signal transform, flip and strand
+    swap are one pass over a batch's buffers (``functions/tensors.py``). Random draws depend on (key, seed, epoch) only. The signal
     transform works track by track, so it is applied before the strand swap with the tracks' own
     vectors; that equals swapping first and permuting the vectors along.
     """
     row = vectors.first()
-    as_array = lambda values: F.array(*[F.lit(float(v)) for v in values])
-    scale, soft, hard = (as_array(row[c]) for c in ("scale_factor", "clip_soft", "clip_hard"))
-    swap = None if rc_permutation is None else rc_permutation.first()["permutation"]
-    mates = None if swap is None else F.array(*[F.lit(int(m)) for m in swap])
+    swap = rc_permutation.first()["permutation"] if enable_rc_aug and rc_permutation is not None else None
+    crops = shift_max_bins > 0
+    on_labels = label_kernel(
+        *(row[c] for c in ("scale_factor", "clip_soft", "clip_hard")), length=n_pred_bins if crops else None, mates=swap,
+        apply_scale=apply_scale, apply_squash=apply_squash, apply_clip=apply_clip,
+    )
+    on_sequence = sequence_kernel(context_length if crops else None)
 
     def apply(examples: DataFrame) -> DataFrame:
-        sequence, labels = F.col("input_ids"), F.col("labels")
-        out = examples
-        if shift_max_bins > 0:
-            shift = (
-                F.lit(shift_max_bins) if center_crop
-                else F.pmod(draw(F.col(key), seed, epoch, "shift"), F.lit(2 * shift_max_bins + 1)).cast("int")
-            )
-            out = out.withColumn("__shift", shift)
-            sequence = crop_columns(sequence, F.col("__shift") * bin_size, context_length)
-            labels = crop_columns(labels, F.col("__shift"), n_pred_bins)
-        steps = {"apply_scale": apply_scale, "apply_squash": apply_squash, "apply_clip": apply_clip}
-        out = out.withColumns({
-            "input_ids": sequence.cast("array<array<float>>"),
-            "labels": transform_labels(labels, scale, soft, hard, **steps),
+        shift = F.lit(shift_max_bins if center_crop else 0)
+        if crops and not center_crop:
+            shift = F.pmod(draw(F.col(key), seed, epoch, "shift"), F.lit(2 * shift_max_bins + 1)).cast("int")
+        flip = F.pmod(draw(F.col(key), seed, epoch, "flip"), F.lit(2)) == 0 if enable_rc_aug else F.lit(False)
+        return examples.withColumns({
+            "input_ids": on_sequence(F.col("input_ids"), shift * bin_size, flip),
+            "labels": on_labels(F.col("labels"), shift, flip),
         })
-        if enable_rc_aug:
-            out = out.withColumn("__flip", F.pmod(draw(F.col(key), seed, epoch, "flip"), F.lit(2)) == 0)
-            turned = reverse_bins(F.col("labels"))
-            if mates is not None:
-                turned = permute_rows(turned, mates)
-            out = out.withColumns({
-                "input_ids": F.when(F.col("__flip"), reverse_both_axes(F.col("input_ids"))).otherwise(F.col("input_ids")),
-                "labels": F.when(F.col("__flip"), turned).otherwise(F.col("labels")),
-            })
-        return out.drop("__shift", "__flip")
 
     return apply

@@ -18,6 +18,7 @@ from genotiles.functions.stats import (
     pearson_guard_std,
     pearson_guard_terms,
 )
+from genotiles.functions.tensors import row_sums
 from genotiles.operators.ordering import ordered_counts, quantiles, quantiles_of, top_k
 from genotiles.session import cut_lineage
 
@@ -77,7 +78,7 @@ def spearman(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "tar
         weighted("__rx", "__rx").alias("__xx"), weighted("__ry", "__ry").alias("__yy"),
     )
     defined = (F.col("__count") >= 2) & (F.col("__sx") >= MIN_STD) & (F.col("__sy") >= MIN_STD)
-    found = sums.select(*by, (F.col("__xy") / F.sqrt(F.col("__xx") * F.col("__yy"))).alias("__r"))
+    found = sums.select(*by, ratio(F.col("__xy"), F.sqrt(F.col("__xx") * F.col("__yy"))).alias("__r"))
     # Without groups both sides are one row.
     both_sides = spread.join(found, by, "left") if by else spread.withColumn("__r", found.select("__r").scalar())
     return both_sides.select(*by, F.when(defined, F.col("__r")).alias("spearman"))
@@ -124,28 +125,12 @@ def example_statistics(pairs: DataFrame, topk_bins: int) -> DataFrame:
 def nested_statistics(examples: DataFrame, topk_bins: int) -> DataFrame:
     """The same 18 statistics from nested rows ``(index, track, pred, target)`` of equal-length arrays.
 
-    Everything happens inside the row, so it also runs on a stream without keyed state.
+    Everything happens inside the row, so it also runs on a stream without keyed state. Top bins are a partial selection,
+    and all sums one pass over a batch's buffers. A row with a NULL value has NULL sums.
     """
-    zipped = examples.withColumn(
-        "__bins",
-        F.transform(
-            "target",
-            lambda t, i: F.struct(
-                (-t.cast("double")).alias("order"), i.alias("bin"),
-                F.get(F.col("pred"), i).cast("double").alias("p"), t.cast("double").alias("t"),
-            ),
-        ),
-    ).withColumn("__top", F.slice(F.array_sort("__bins"), 1, topk_bins))
-    total = lambda column, f: F.aggregate(column, F.lit(0.0), lambda acc, b: acc + f(b))
-    columns = []
-    for column, suffix in (("__bins", "all"), ("__top", "top")):
-        forms = (
-            lambda b: b["p"], lambda b: b["t"], lambda b: b["p"] * b["t"],
-            lambda b: b["p"] * b["p"], lambda b: b["t"] * b["t"],
-        )
-        columns += [total(column, f).alias(f"{name}_{suffix}") for name, f in zip(SUMS, forms)]
-        columns.append(F.size(column).cast("bigint").alias(f"n_{suffix}"))
-    rows = zipped.select("index", "track", *columns)
+    rows = examples.select("index", "track", row_sums(topk_bins)(F.col("pred"), F.col("target")).alias("s"))
+    part = lambda suffix: [F.col(f"s.{name}_{suffix}").alias(f"{name}_{suffix}") for name in SUMS]
+    rows = rows.select("index", "track", *part("all"), *part("top"))
     sp, st = F.col("sum_p_all"), F.col("sum_t_all")
     totals = (sp, st, sp * st, sp * sp, st * st, F.lit(1).cast("bigint"))
     return rows.select("*", *[c.alias(f"{name}_total") for name, c in zip(SUMS, totals)])

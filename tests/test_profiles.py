@@ -112,8 +112,9 @@ def test_matrices_hold_the_same_means(patch, pieces, batch, rows, cells):
 @given(PIECES, st.lists(st.integers(0, SPAN), min_size=2, max_size=6))
 def test_region_sums_by_search(patch, pieces, edges):
     pieces = [("a", 0, 0, *p[3:]) for p in pieces]
-    index = P._Index(combined(pieces, 7, 9, patch), SPAN)
-    total, covered = index.sums(0, np.array([sorted(edges)]))
+    table = combined(pieces, 7, 9, patch)
+    index = P._Index(P._profile_entries(table, np.zeros(table.num_rows, np.int64), SPAN), SPAN)
+    total, covered = index.sums(np.zeros(1, np.int64), np.array([sorted(edges)]))
     want_total, want_covered = sums([p[3:] for p in pieces], sorted(edges))
     assert covered[0].tolist() == want_covered
     scale = max((abs(p[5]) for p in pieces if math.isfinite(p[5])), default=0) * SPAN * len(pieces)
@@ -156,6 +157,17 @@ def test_a_pile_of_intervals_and_regions_in_one_tile(spark):
                 assert np.isclose(got[i, track, b], total / covered, atol=1e-10)
 
 
+def test_regions_of_a_track_of_huge_values_and_one_of_tiny_ones(spark):
+    made = spark.createDataFrame([
+        (t, c, 4 * i, 4 * i + 4, size * (i + 1)) for t, size in enumerate((1e300, 1e-300, 0.0)) for c in "ab" for i in range(20)
+    ], SIGNAL)
+    regions = spark.createDataFrame([(0, "a", 4, 44), (1, "b", 4, 44)], "index bigint, chrom string, sig_start bigint, sig_end bigint")
+    got = {(r["index"], r["track"], r["bin"]): r["mean"] for r in binning.exact_bins(regions, made, 5, 25).collect()}
+    assert len(got) == 30
+    for (_, t, b), mean in got.items():
+        assert np.isclose(mean, (1e300, 1e-300, 0.0)[t] * (2 * b + 2.5), rtol=1e-12, atol=0)
+
+
 def test_signs_of_dense_and_sparse_grids_agree(spark):
     rng = np.random.default_rng(2)
     rows = [
