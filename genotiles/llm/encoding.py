@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries and length of words that a worker remembers.
-_ENTRIES = 400_000
+#: Words of a generation, and length of words, that a worker remembers. Two generations of words after a blank and two of
+#: words after a line end are some 50 MB.
+_ENTRIES = 100_000
 _LETTERS = 64
 
 
@@ -25,7 +26,7 @@ class _Words(dict):
     Letters alone are one piece of the pattern, and a mark after them another, so such words go to the
     tokenizer's model without its pattern, offsets and settings. The pattern never joins a line end that stands alone to
     what is beside it, so words with line ends between other characters are put together from their parts.
-    All others take the whole way.
+    All others take the whole way. When a generation of words is full, those of it that are met again move to the next.
     """
 
     def __init__(self, tokenizer, blank: str = " "):
@@ -38,8 +39,12 @@ class _Words(dict):
         self.marks = {m: tokenizer.encode(m, add_special_tokens=False).ids for m in _MARKS}
         self.line_end = array("I", tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
         self.bare = _Words(tokenizer, "") if blank else self
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        known = self.before.get(word)
+        if known is not None:
+            return self._keep(word, known)
         if "\n" in word:
             parts = word.split("\n")
             if all(part and part.strip() == part for part in parts):
@@ -53,10 +58,13 @@ class _Words(dict):
         else:
             found = self.tokenizer.encode(self.blank + word, add_special_tokens=False).ids
         ids = array("I", found).tobytes()
-        if len(word) <= _LETTERS:
-            if len(self) >= _ENTRIES:
-                self.clear()
-            self[word] = ids
+        return self._keep(word, ids) if len(word) <= _LETTERS else ids
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if len(self) >= _ENTRIES:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
 

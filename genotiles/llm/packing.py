@@ -37,7 +37,7 @@ class PackingOptions:
     #: Whether a special token's string in a text is plain text; the tokenizer's own way is to make it that token.
     special_as_text: bool = False
     #: Bytes of text whose words are looked up together, about.
-    piece_bytes: int = 8 << 20
+    piece_bytes: int = 4 << 20
     #: Rows ranked by one window, about.
     bucket_rows: int = 50_000
 
