@@ -33,30 +33,50 @@ def _finite(pairs: DataFrame, x: str = "pred", y: str = "target") -> DataFrame:
     return pairs.where(finite_pair(F.col(x), F.col(y)))
 
 
+def _pearson(x: str, y: str) -> Column:
+    """Aggregate: Pearson over finite pairs; NULL with fewer than two or a flat side."""
+    both = finite_pair(F.col(x), F.col(y))
+    return pearson_guard_std(F.when(both, F.col(x)), F.when(both, F.col(y)))
+
+
+def _errors() -> tuple[Column, Column]:
+    """Aggregates: mean squared and mean absolute error over finite pairs."""
+    error = F.when(finite_pair(F.col("pred"), F.col("target")), F.col("pred") - F.col("target"))
+    return F.avg(error * error), F.avg(F.abs(error))
+
+
+def _spread(x: str, y: str) -> list[Column]:
+    """Aggregates that say whether ranks and high quantiles of a group are defined: finite pairs, spread of both sides.
+
+    Over all pairs, so that a group without a finite pair keeps its row.
+    """
+    known = finite_pair(F.col(x), F.col(y))
+    sides = [F.stddev_pop(F.when(known, F.col(c))) for c in (x, y)]
+    return [F.count_if(known).alias("__count"), sides[0].alias("__sx"), sides[1].alias("__sy")]
+
+
 def pearson(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "target") -> DataFrame:
     """Pearson per group; NULL with fewer than two finite pairs or a flat side."""
-    both = finite_pair(F.col(x), F.col(y))
-    return pairs.groupBy(*by).agg(
-        pearson_guard_std(F.when(both, F.col(x)), F.when(both, F.col(y))).alias("pearson")
-    )
+    return pairs.groupBy(*by).agg(_pearson(x, y).alias("pearson"))
 
 
 def track_errors(pairs: DataFrame, by: Sequence[str] = ("track",)) -> DataFrame:
     """Mean squared and mean absolute error per group."""
-    error = F.when(finite_pair(F.col("pred"), F.col("target")), F.col("pred") - F.col("target"))
-    return pairs.groupBy(*by).agg(F.avg(error * error).alias("mse"), F.avg(F.abs(error)).alias("mae"))
+    mse, mae = _errors()
+    return pairs.groupBy(*by).agg(mse.alias("mse"), mae.alias("mae"))
 
 
-def spearman(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "target") -> DataFrame:
-    """Spearman per group with average ranks for ties.
+def joint_counts(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "target") -> DataFrame:
+    """``(by..., x, y, __n)``: equal finite pairs counted, written down. Ranks, quantiles and sums come from these."""
+    return cut_lineage(_finite(pairs, x, y).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__n")))
+
 
-    Equal (x, y) pairs are counted first and written down: both rankings and the sums come from these
-    counts. Ranks are parallel prefix sums and are centred before they are multiplied, so the sums stay
+def _rank_correlation(joint: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """``(by..., __r)`` with average ranks for ties, of every group with two different values on both sides.
+
+    Ranks are parallel prefix sums and are centred before they are multiplied, so the sums stay
     exact for very long tracks.
     """
-    by = list(by)
-    finite = _finite(pairs, x, y).select(*by, x, y)
-    joint = cut_lineage(finite.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__n")))
     centred = F.col("n_below") + (F.col("n_equal") - F.col("n_total")) / F.lit(2.0)
     both = ordered_counts(
         joint.unpivot([*by, "__n"], [x, y], "__column", "__value"), [*by, "__column"], "__value", weight="__n"
@@ -67,21 +87,38 @@ def spearman(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "tar
 
     placed = joint.join(ranks(x, "__rx"), [*by, x]).join(ranks(y, "__ry"), [*by, y])
     weighted = lambda a, b: F.sum(F.col("__n") * F.col(a) * F.col(b))
-    # Over all pairs, so that a group without a finite pair keeps its row.
-    known = finite_pair(F.col(x), F.col(y))
-    spread = pairs.groupBy(*by).agg(
-        F.count_if(known).alias("__count"),
-        F.stddev_pop(F.when(known, F.col(x))).alias("__sx"), F.stddev_pop(F.when(known, F.col(y))).alias("__sy"),
-    )
     sums = placed.groupBy(*by).agg(
         weighted("__rx", "__ry").alias("__xy"),
         weighted("__rx", "__rx").alias("__xx"), weighted("__ry", "__ry").alias("__yy"),
     )
+    return sums.select(*by, ratio(F.col("__xy"), F.sqrt(F.col("__xx") * F.col("__yy"))).alias("__r"))
+
+
+def _spearman() -> Column:
     defined = (F.col("__count") >= 2) & (F.col("__sx") >= MIN_STD) & (F.col("__sy") >= MIN_STD)
-    found = sums.select(*by, ratio(F.col("__xy"), F.sqrt(F.col("__xx") * F.col("__yy"))).alias("__r"))
+    return F.when(defined, F.col("__r")).alias("spearman")
+
+
+def spearman(pairs: DataFrame, by: Sequence[str], x: str = "pred", y: str = "target") -> DataFrame:
+    """Spearman per group with average ranks for ties; NULL with fewer than two finite pairs or a flat side."""
+    by = list(by)
+    found = _rank_correlation(joint_counts(pairs, by, x, y), by, x, y)
+    spread = pairs.groupBy(*by).agg(*_spread(x, y))
     # Without groups both sides are one row.
     both_sides = spread.join(found, by, "left") if by else spread.withColumn("__r", found.select("__r").scalar())
-    return both_sides.select(*by, F.when(defined, F.col("__r")).alias("spearman"))
+    return both_sides.select(*by, _spearman())
+
+
+def _high_values(rows: DataFrame, by: list[str], quantile: float, weight: str | None = None) -> DataFrame:
+    """``(by..., high_pred, high_target)``: a high quantile of the sizes on either side."""
+    carried = [weight] if weight else []
+    sizes = rows.select(*by, F.abs("pred").alias("__p"), F.abs("target").alias("__t"), *carried)
+    return quantiles_of(sizes, by, {"high_pred": ("__p", quantile), "high_target": ("__t", quantile)}, weight)
+
+
+def _amplitude() -> Column:
+    defined = (F.col("__count") >= 2) & (F.col("high_target") > MIN_STD)
+    return F.when(defined, ratio(F.col("high_pred"), F.col("high_target"))).alias("amplitude_calibration")
 
 
 def amplitude_calibration(
@@ -89,13 +126,23 @@ def amplitude_calibration(
 ) -> DataFrame:
     """Ratio of high quantiles of ``|pred|`` and ``|target|`` per group."""
     by = list(by)
-    sizes = _finite(pairs).select(*by, F.abs("pred").alias("__p"), F.abs("target").alias("__t"))
-    high = quantiles_of(sizes, by, {"high_pred": ("__p", quantile), "high_target": ("__t", quantile)})
-    # Over all pairs, so that a group without a finite pair keeps its row.
-    n = pairs.groupBy(*by).agg(F.count_if(finite_pair(F.col("pred"), F.col("target"))).alias("__n"))
-    defined = (F.col("__n") >= 2) & (F.col("high_target") > MIN_STD)
-    value = F.when(defined, ratio(F.col("high_pred"), F.col("high_target")))
-    return n.join(high, by, "left").select(*by, value.alias("amplitude_calibration"))
+    high = _high_values(_finite(pairs), by, quantile)
+    return pairs.groupBy(*by).agg(*_spread("pred", "target")).join(high, by, "left").select(*by, _amplitude())
+
+
+def group_report(pairs: DataFrame, by: Sequence[str], quantile: float = AMPLITUDE_QUANTILE) -> DataFrame:
+    """Pearson, Spearman, amplitude calibration and errors per group, from two passes over the pairs.
+
+    All plain sums are one aggregate; ranks and quantiles come from the counts of equal pairs, written by the other.
+    """
+    by = list(by)
+    mse, mae = _errors()
+    sums = pairs.groupBy(*by).agg(
+        _pearson("pred", "target").alias("pearson"), mse.alias("mse"), mae.alias("mae"), *_spread("pred", "target")
+    )
+    joint = joint_counts(pairs, by)
+    ranked, high = _rank_correlation(joint, by, "pred", "target"), _high_values(joint, by, quantile, "__n")
+    return sums.join(ranked, by, "left").join(high, by, "left").select(*by, "pearson", _spearman(), _amplitude(), "mse", "mae")
 
 
 def _six_sums(p: Column, t: Column, suffix: str) -> list[Column]:

@@ -15,11 +15,7 @@ from genotiles.operators.scores import mean_score, scorer
 
 def track_report(pairs: DataFrame) -> DataFrame:
     """All per-track metrics side by side."""
-    by = ["track"]
-    report = M.pearson(pairs, by)
-    for table in (M.spearman(pairs, by), M.amplitude_calibration(pairs, by), M.track_errors(pairs, by)):
-        report = report.join(table, by, "left")
-    return report
+    return M.group_report(pairs, ["track"])
 
 
 def evaluate(pairs: DataFrame, topk_bins: int, n_bins: int, losses: Sequence[Mapping[str, Any]]) -> DataFrame:
