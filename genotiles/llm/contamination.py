@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genotiles.llm.bits import bit_table, has, without_ids
-from genotiles.llm.tables import written
+from genotiles.llm.tables import lean, written
 from genotiles.llm.tokens import column_of, pieces, shingles, signed, windows, words
 
 #: 2^BITS bits of a bit table.
@@ -54,6 +54,7 @@ def _places(found, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, row, np.concatenate((at, found.first()[row[len(at) :]]))
 
 
+@lean
 def _item_shingles(options: ContaminationOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from genotiles.llm.bits import bit_table, has, without_ids
 from genotiles.llm.components import components
 from genotiles.llm.groups import complete_groups, group_starts
-from genotiles.llm.tables import written
+from genotiles.llm.tables import lean, written
 from genotiles.llm.tokens import column_of, distinct, mix, pieces, shingles, signed, words
 
 #: Coordinates of a point.
@@ -125,6 +125,7 @@ def _overlap_bound(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.where(bound == GROUPS * _MOST, np.iinfo(np.int64).max, bound)
 
 
+@lean
 def _set_batches(options: JaccardOptions, chosen: np.ndarray | None = None):
     """Per text its set's size and digest, and its point; or the sorted sets of rows whose bit is chosen."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +157,7 @@ def _digests(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     )
 
 
+@lean
 def _key_batches(options: JaccardOptions, shared: np.ndarray | None = None):
     """(key, d) of all texts; with a bit table, of keys whose bit is set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +222,7 @@ def _small_pairs(first: np.ndarray, size: np.ndarray, largest: int) -> tuple[np.
     return np.concatenate(left), np.concatenate(right)
 
 
+@lean
 def _tile_pairs(options: JaccardOptions):
     """Of rows sorted by (key, tile, other tile): pairs that the bound leaves, of different labels.
 
@@ -255,6 +258,7 @@ def _tile_pairs(options: JaccardOptions):
     return run
 
 
+@lean
 def _verify(options: JaccardOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,6 +322,7 @@ def _linked_matrix(
     return 100 * overlap >= percent * (sizes[:, None] + other_sizes[None, :] - overlap)
 
 
+@lean
 def _count_batches(options: JaccardOptions):
     """Of rows sorted by (group, tile, other tile): with how many sets of the other tile each set is linked."""
     keys = ("g", "low", "high")
@@ -505,6 +510,7 @@ def linked_documents(documents: DataFrame, options: JaccardOptions | None = None
     )
 
 
+@lean
 def _pivot_bound(options: JaccardOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from genotiles.llm.cutting_stock import patterns
 from genotiles.llm.encoding import encoder
-from genotiles.llm.tables import tasks_for, written
+from genotiles.llm.tables import lean, tasks_for, written
 from genotiles.llm.tokens import column_of, pieces
 
 
@@ -45,6 +45,7 @@ class PackingOptions:
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+@lean
 def _pieces(options: PackingOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(options.tokenizer, options.special_as_text)

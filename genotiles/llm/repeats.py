@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from genotiles.llm.groups import complete_groups
-from genotiles.llm.tables import written
+from genotiles.llm.tables import lean, written
 from genotiles.llm.tokens import BYTE, column_of, mix, signed, text_bytes
 
 _FACTOR = 0x9E3779B97F4A7C15
@@ -133,6 +133,7 @@ def _run_batches(options: RepeatOptions):
     return run
 
 
+@lean
 def _bring_bytes(options: RepeatOptions):
     """For each asked run of a text its bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +174,7 @@ def _ordered(table: pa.Table, options: RepeatOptions) -> pa.RecordBatch:
     )
 
 
+@lean
 def _order_groups(options: RepeatOptions):
     """Rows sorted by digit, many groups at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +183,7 @@ def _order_groups(options: RepeatOptions):
     return run
 
 
+@lean
 def _single_suffixes(options: RepeatOptions):
     """A row for each suffix of runs in groups too large for a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

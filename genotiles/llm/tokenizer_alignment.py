@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genotiles.llm.end_alignment import align, digit_table, linked_pairs, spelled_groups, within
-from genotiles.llm.tables import written
+from genotiles.llm.tables import lean, written
 from genotiles.llm.tokens import column_of, pieces
 
 
@@ -256,6 +256,7 @@ def _block(both: _Both, ids: pa.Array, texts: pa.Array) -> dict:
     }
 
 
+@lean
 def _blocks(options: AlignOptions, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _both(options)

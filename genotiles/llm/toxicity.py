@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genotiles.llm.labelled import held_out, training_rows
-from genotiles.llm.tables import with_field
+from genotiles.llm.tables import lean, with_field
 from genotiles.llm.tokens import LOWER, column_of, combine, distinct, pieces, run_hashes, windows, words
 
 
@@ -123,6 +123,7 @@ def learn(documents: DataFrame, labels: DataFrame, options: ToxicityOptions) ->
     return weights, float(weight[at < 0].sum())
 
 
+@lean
 def _scores(at: np.ndarray, value: np.ndarray, intercept: float, options: ToxicityOptions):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << options.bits, dtype=np.float32)
