@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from genotiles.operators import tracks as T
 from genotiles.operators.examples import example_means
-from genotiles.plans.build import build_dataset
+from genotiles.plans.build import build_dataset, build_from_paths
 from genotiles.plans.scale import enrich_tracks, original_scaling
 from genotiles.queries import views as V
 from genotiles.queries.base import Query, rounded, rounded_sql
@@ -128,6 +128,26 @@ def dataset_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def built_from_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region means of a dataset built from a folder of bedGraph files, one per track, named by strand.
+
+    One task writes a track's file, as the format has it; the files get their names by a copy in tasks.
+    """
+    parts, folder, root = (new_shared_path(spark, name) for name in ("track_parts", "track_files", "from_paths"))
+    name = F.when(F.col("track") == 1, "t1_minus").otherwise(F.concat(F.lit("t"), F.col("track").cast("string")))
+    rows = V.genome_signal(spark, sf_dir).select("chrom", "start_pos", "end_pos", "value", name.alias("name"))
+    rows.repartition("name").write.partitionBy("name").option("sep", "\t").csv(parts)
+    target = F.concat(F.lit(f"{folder}/"), F.regexp_extract("path", "name=([^/]+)/", 1), F.lit(".bedGraph"))
+    copied = TR.copy_files(TR.list_files(spark, f"{parts}/*", "*.csv").select(F.col("path").alias("source"), target.alias("target")))
+    if copied.where("read_hash <> written_hash").count():
+        raise AssertionError("a track file was not copied whole")
+    build_from_paths(
+        root, V.genome_regions(spark, sf_dir), _doc_contigs(spark, sf_dir), _chunks(spark, sf_dir), BUILD, folder=folder, rows_per_file=500
+    )
+    means = example_means(XR.read_examples(spark, root, columns=["index", "labels"]))
+    return means.select("index", F.col("track").cast("bigint").alias("track"), rounded("mean", 3).alias("mean"))
+
+
 def stored_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region means of the train split, from the labels column of a written dataset."""
     labels = XR.read_examples(spark, _dataset(spark, sf_dir), split="train", columns=["index", "labels"])
@@ -233,6 +253,11 @@ _BUILD_PRELUDE = _BUILD_SQL[:_BUILD_SQL.index("    wide AS")].replace(
     V.with_views("sequences", "genome_regions"), V.with_views("sequences", "genome_regions", "genome_signal")
 ).rstrip().rstrip(",")
 
+# Text files hold values that are read as 32-bit floats.
+_FLOAT_PRELUDE = _BUILD_PRELUDE.replace(
+    "SELECT s.chrom, track, value,", "SELECT s.chrom, track, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,"
+)
+
 QUERIES = [
     Query("labelled_bed", "SRC-1", labelled_bed, f"""{V.with_views('regions')}
         SELECT row_number() OVER (ORDER BY index) - 1 AS index, chrom, start_pos, end_pos,
@@ -259,6 +284,10 @@ QUERIES = [
         SELECT u.index, CAST(t.track AS BIGINT) AS track, {rounded_sql('coalesce(total, 0) / 18', 3)} AS mean
         FROM used u CROSS JOIN (SELECT unnest(range(3)) AS track) t
         LEFT JOIN sums s ON s.index = u.index AND s.track = t.track WHERE split = 'train'"""),
+    Query("built_from_paths", "PIPE-1 SRC-6 SRC-7 SET-2", built_from_paths, f"""{_FLOAT_PRELUDE}
+        SELECT u.index, CAST(t.track AS BIGINT) AS track, {rounded_sql('coalesce(total, 0) / 18', 3)} AS mean
+        FROM used u CROSS JOIN (SELECT unnest(range(3)) AS track) t
+        LEFT JOIN sums s ON s.index = u.index AND s.track = t.track"""),
     Query("stored_splits", "SNK-1 SNK-3 SNK-9", stored_splits,
           f"{_MEMBERS} SELECT split, count(*) AS n_rows FROM used GROUP BY split"),
     Query("rewritten_dataset", "SNK-4 PIPE-6", rewritten, f"""{_MEMBERS}

@@ -410,3 +410,13 @@ def test_build_from_paths_reads_back(spark, tmp_path):
     records = TR.track_records(TR.read_metadata(spark, root))
     assert rows(records, "track_index", "path") == list(enumerate(paths))
     assert spark.read.json(f"{root}/dropped_tracks").count() == spark.read.json(f"{root}/missing_tracks").count() == 1
+
+
+def test_another_reader_names_its_own_files(spark, tmp_path):
+    regions, signal, tracks, contigs, chunks, *_ = inputs(spark, tmp_path)
+    with pytest.raises(ValueError, match="glob"):
+        B.build_from_paths(
+            str(tmp_path / "none"), regions, contigs, chunks, options(), folder=str(tmp_path), read_signal=lambda s, p, t: signal
+        )
+    with pytest.raises(ValueError, match="no files"):
+        B.build_from_paths(str(tmp_path / "none"), regions, contigs, chunks, options(), folder=str(tmp_path / "."))
