@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from genotiles.operators import tracks as T
 from genotiles.session import cut_lineage
-from genotiles.sources.tracks import content_hashes, identify, list_paths, requested_tracks, tracks_in_folder
+from genotiles.sources.tracks import content_identities, identify, list_paths, requested_tracks, tracks_in_folder
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def resolve_tracks(
     """Requested files, or those of a folder, without missing ones and copies.
 
     A missing path is an error unless ``drop_missing``. Content is read only of files whose size another
-    surviving file has.
+    surviving file has, and beyond the first block only where that is equal too.
     """
     if (paths is None) == (folder is None):
         raise ValueError("give track paths or a folder")
@@ -50,7 +50,7 @@ def resolve_tracks(
     if dedupe == "content":
         survivors = T.dedupe_map(nothing, "identity").where("source_index = canonical")
         alike = survivors.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        hashes = cut_lineage(content_hashes(survivors.join(alike, "size").select("path")))
+        hashes = cut_lineage(content_identities(survivors.join(alike, "size").select("path", "size")))
         nothing = existing.join(hashes, "path", "left")
     mapped = cut_lineage(T.dedupe_map(nothing, dedupe))
     final = T.with_minus_flag(T.final_tracks(mapped, dedupe)).withColumn("track", F.col("track_index"))

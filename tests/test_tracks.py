@@ -256,6 +256,24 @@ def test_hashes_in_chunks(spark, tmp_path, monkeypatch):
     assert found["content_hash"] == hashlib.sha256(data).hexdigest()
 
 
+def test_blocks_of_files_are_read_by_tasks_where_heads_are_equal(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from genotiles.sources import tracks as source
+
+    head = bytes(range(100))
+    contents = {"a": head + b"x" * 250, "b": head + b"x" * 250, "c": head + b"x" * 249 + b"y", "d": b"z" + head[1:] + b"x" * 250, "e": b"short", "f": b"short"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    files = spark.createDataFrame([(str(tmp_path / n), len(d)) for n, d in contents.items()], "path string, size bigint")
+    found = {r["path"][-1]: r["content_hash"] for r in source.content_identities(files, 100).collect()}
+    assert found["a"] == found["b"] and len({found[n] for n in "acd"}) == 3
+    # Nothing but the head of d was read, and a file of one block has the hash of its bytes.
+    assert found["d"] == hashlib.sha256(contents["d"][:100]).hexdigest()
+    assert found["e"] == found["f"] == hashlib.sha256(b"short").hexdigest()
+    assert source.content_identities(files.where("false"), 100).collect() == []
+
+
 def test_codes_ascend_with_values(spark):
     rng = np.random.default_rng(5)
     powers = 2.0 ** rng.integers(-1074, 1024, 3000).astype(float)
