@@ -264,6 +264,26 @@ def test_document_of_a_build_is_one_file_and_holds_the_splits(spark, tmp_path):
     assert TR.track_records(read).count() == tracks.count()
 
 
+def test_records_of_the_document_stay_out_of_the_driver(spark, tmp_path, monkeypatch):
+    names = F.when(F.col("id") % 3 == 0, F.concat(F.lit("a, \n\u00e9\"]"), F.col("id"))).alias("name")
+    final = spark.range(0, 5000, 1, 7).select((4999 - F.col("id")).alias("track_index"), names)
+    size, collect = 200, type(final).collect
+    def bounded(df):
+        got = collect(df)
+        assert len(got) < size, "the driver got the records"
+        return got
+    monkeypatch.setattr("genotiles.sources.tracks.CHUNK_BYTES", 7)
+    for chosen in (final, final.limit(1), final.where("false")):
+        with monkeypatch.context() as watched:
+            watched.setattr(type(final), "collect", bounded)
+            TS.write_dataset_metadata(str(tmp_path), spark, {"bin_size": 8, "splits": {"all": []}}, chosen)
+        document = json.loads((tmp_path / "dataset_metadata.json").read_text(encoding="utf-8"))
+        assert (document["bin_size"], document["splits"]) == (8, {"all": []})
+        wanted = [r.asDict() for r in chosen.orderBy("track_index").collect()]
+        assert document["final_track_records"] == [{k: v for k, v in r.items() if v is not None} for r in wanted]
+        assert TR.read_metadata(spark, str(tmp_path)).count() == 1
+
+
 def test_rewrite_of_many_files_reports_a_damaged_copy(spark, tmp_path, monkeypatch):
     for i in range(30):
         (tmp_path / "a" / f"d{i % 3}").mkdir(parents=True, exist_ok=True)
