@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -78,3 +80,17 @@ def test_runs_of_lists_behind_nulls_and_slices(spark):
     both = frame.select("i", F.coalesce("a", F.slice("b", 2, 2)).alias("v"))
     found = {r["i"]: [(x["at"], x["n"], x["total"]) for x in r["runs"]] for r in both.select("i", collapse.runs(F.col("v"), 0.0).alias("runs")).collect()}
     assert found == {0: [(0, 1, 1.0), (1, 1, 2.0)], 1: [(0, 1, 3.0)]}
+
+
+def test_one_hot_holds_a_batch_about_once():
+    texts = pa.array(["ACGTn" * n for n in range(200, 1200)])
+    size = sum(map(len, texts.to_pylist()))
+    tracemalloc.start()
+    try:
+        made = one_hot_arrow.func(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(made) == 1000 and len(made.flatten().flatten()) == 4 * size
+    # Letters as text, joined and as codes, and four bytes of result for each.
+    assert peak < 9 * size
