@@ -82,6 +82,14 @@ def test_fasta_over_file_splits(spark, tmp_path, split_bytes):
     assert rows(lengths) == sorted((n, len(s)) for n, s in genome.items())
 
 
+def test_fasta_contigs_go_on_from_block_to_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK_LINES", 4)
+    genome = {"one": "ACGTN" * 41, "two": "", "three": "GGC", "four": "TTACG" * 30, "five": "A"}
+    lines = "".join(f">{n} x\n" + "".join(s[i:i + 10] + "\n" for i in range(0, len(s), 10)) for n, s in genome.items())
+    found = rows(Q.read_fasta(spark, text(tmp_path, "blocks.fa", lines), 32))
+    assert found == sorted((n, i // 32, s[i:i + 32]) for n, s in genome.items() for i in range(0, len(s), 32))
+
+
 def test_track_listing_and_metadata(spark, tmp_path):
     folder = tmp_path / "bw"
     folder.mkdir()
