@@ -167,3 +167,15 @@ def test_signal_window_near_the_start_keeps_its_width(spark):
     assert (row["sig_start"], row["sig_end"]) == (-20, 60)
     with pytest.raises(ValueError):
         R.with_signal_window(frame, 8, 10, shift_max_bp=15)
+
+
+def test_more_regions_make_more_tasks_of_exact_bins(spark, monkeypatch):
+    regions = spark.range(60).selectExpr("id AS index", "'c' AS chrom", "id * 7 AS sig_start", "id * 7 + 40 AS sig_end")
+    signal = spark.range(90).selectExpr(
+        "id % 2 AS track", "'c' AS chrom", "id * 5 AS start_pos", "id * 5 + 8 AS end_pos", "double(id) AS value"
+    )
+    found = lambda: binning.exact_bins(regions, signal, 4, 64)
+    wanted = sorted(found().collect())
+    monkeypatch.setattr(binning, "TASK_BINS", 8)
+    assert found().rdd.getNumPartitions() == 60 * 4 // 8
+    assert sorted(found().collect()) == wanted
