@@ -5,7 +5,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from genotiles.operators import binning, examples, regions as R
+from genotiles.functions import memory
+from genotiles.operators import binning, examples, profiles, regions as R
 
 SIGNAL = "track int, chrom string, start_pos bigint, end_pos bigint, value double"
 CONTIGS = "chrom string, len bigint"
@@ -179,3 +180,11 @@ def test_more_regions_make_more_tasks_of_exact_bins(spark, monkeypatch):
     monkeypatch.setattr(binning, "TASK_BINS", 8)
     assert found().rdd.getNumPartitions() == 60 * 4 // 8
     assert sorted(found().collect()) == wanted
+
+
+def test_workers_give_back_what_profiles_freed(monkeypatch):
+    given = []
+    monkeypatch.setattr(memory, "give_back", lambda: given.append(1))
+    for task in (profiles._combine(8), profiles._sparse(2, 4), profiles._dense(2, 4), profiles._region_sums(8, 2)):
+        assert list(task(iter(()))) == []
+    assert len(given) == 4
