@@ -94,3 +94,8 @@ def test_one_hot_holds_a_batch_about_once():
     assert len(made) == 1000 and len(made.flatten().flatten()) == 4 * size
     # Letters as text, joined and as codes, and four bytes of result for each.
     assert peak < 9 * size
+
+
+def test_one_hot_rows_hold_no_nulls(spark):
+    kind = spark.createDataFrame([("acGT",)], "s string").select(one_hot_arrow("s").alias("x")).schema["x"].dataType
+    assert not kind.containsNull and not kind.elementType.containsNull

@@ -200,3 +200,14 @@ def test_the_signal_is_scanned_and_shuffled_once(spark, tmp_path):
     plan = labels._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
     assert np.array(labels.first()["labels"]).tolist() == [[1.0] * 4]
+
+
+def test_profiles_without_infinities_have_no_null_lists(monkeypatch):
+    pieces = [("a", 0, 0, 0, 4, 1.0), ("a", 1, 0, 2, 6, -2.0), ("b", 0, 1, 0, 3, 0.0)]
+    found = combined(pieces, 2, 2, monkeypatch)
+    assert found["odd"].null_count == 0 and found["odd"].to_pylist() == [[], [], []]
+    mixed = pa.concat_tables([found, combined([("a", 0, 0, 1, 3, float("inf"))], 1, 1, monkeypatch)])
+    group, _ = P._groups(mixed, P.KEYS)
+    _, lo, hi, rate, _ = P._profile_entries(mixed, group, SPAN).stretches()
+    infinite = np.isinf(rate)
+    assert list(zip(lo[infinite], hi[infinite])) == [(1, 3)] and np.isfinite(rate[~infinite]).all()
