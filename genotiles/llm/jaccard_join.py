@@ -11,9 +11,9 @@ A text's set holds its distinct word shingles. Two sets are linked when 100 * |A
 3. Within a key, the sets' counts over 256 groups are points of an R-tree. The sum of coordinate minima
    bounds the overlap of two points and, with a box's upper corner, of a point and all points of a box. What
    the bound leaves is verified on the sets.
-4. A key's members are first compared with its first member only. Members linked to one pivot are connected, so
-   the second pass leaves out pairs of one pivot and compares all others. No group's pairs are written out: a
-   clique of thousands costs one link a member.
+4. A key's members are first compared with its first member only. What these links connect, over all keys, is one
+   component already, so the second pass leaves out pairs of one such component and compares all others. No group's
+   pairs are written out: a clique of thousands costs a few links a member, whatever pivots its keys have.
 5. Large keys are cut into tiles of bounded size; a task holds two tiles.
 6. All links are inside components, so n_links comes from a second pass: of each component of more than two sets
    every pair is compared on the sets, once, in the one task that holds the pair's tiles, and counted there.
@@ -430,7 +430,8 @@ def _linked_classes(texts: DataFrame, options: JaccardOptions) -> tuple[DataFram
     star = star.mapInArrow(_pivot_bound(options), "a long, b long")
     star_links = verified(star, "pivots")
 
-    label = star_links.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "d")
+    # Keys have different pivots, and a set linked to several of them connects these.
+    label = components(star_links).toDF("d", "label")
     labelled = members.select("key", "d").join(label, "d", "left").withColumn("label", F.coalesce("label", "d"))
     several = labelled.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h")

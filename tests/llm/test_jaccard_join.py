@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from genotiles.llm import jaccard_join
 from genotiles.llm.components import components
 from genotiles.llm.jaccard_join import GROUPS, JaccardOptions, _overlap_bound, _points, least_overlap, linked_documents, one_of_each_group
 
@@ -123,3 +124,20 @@ def test_equal_rows_of_one_document_count_their_links_once(spark, documents):
     near = " ".join(f"t{i}" for i in range(100))
     got = linked_documents(documents([near, near, near + " x"], [4, 4, 6])).select("doc_id", "component_id", "n_links").collect()
     assert sorted(tuple(r) for r in got) == [(4, 4, 1), (6, 4, 1)]
+
+
+def test_sets_that_links_to_pivots_connect_are_not_compared_again(spark, documents, monkeypatch):
+    """Each text differs from the one before in a word; texts are linked to those near them, by keys with many pivots."""
+    options, count = JaccardOptions(size=5, percent=80), {}
+    texts = [" ".join([f"n{k}" for k in range(i)] + [f"t{k}" for k in range(i, 300)]) for i in range(150)]
+    write = jaccard_join.written
+
+    def counted(df, name):
+        found = write(df, name)
+        count[name] = found.count()
+        return found
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    classes = jaccard_join._linked_classes(documents(texts).select("doc_id", "text"), options)
+    assert {r["root"] for r in classes[2].collect()} == {0} and classes[2].count() == len(texts)
+    assert count["pairs"] <= len(texts)
