@@ -14,6 +14,7 @@ A text's set holds its distinct word shingles. Two sets are linked when 100 * |A
 4. A key's members are first compared with its first member only. What these links connect, over all keys, is one
    component already, so the second pass leaves out pairs of one such component and compares all others. No group's
    pairs are written out: a clique of thousands costs a few links a member, whatever pivots its keys have.
+   Keys with the same members are compared once, and a pair that shares several keys comes from the smallest of them.
 5. Large keys are cut into tiles of bounded size; a task holds two tiles.
 6. All links are inside components, so n_links comes from a second pass: of each component of more than two sets
    every pair is compared on the sets, once, in the one task that holds the pair's tiles, and counted there.
@@ -47,6 +48,8 @@ _MOST = 65_535
 STEP = 1.5
 #: 2^BITS bits of a bit table.
 BITS = 25
+#: Smallest keys of a set that travel with its point.
+LEAST_KEYS = 32
 #: Points in a leaf of the tree.
 LEAF = 32
 #: Tokens of a tile whose sets are compared with all others of their component.
@@ -119,6 +122,21 @@ def _read_points(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, GROUPS)
 
 
+def _read_keys(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Sorted keys of each row, filled up with the largest number, which is below no key."""
+    keys = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    count = np.diff(keys.offsets.to_numpy())
+    out = np.full((len(keys), LEAST_KEYS), np.iinfo(np.int64).max)
+    out[np.arange(LEAST_KEYS) < count[:, None]] = keys.flatten().to_numpy()
+    return out
+
+
+def _met_before(left: np.ndarray, right: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the sorted keys of left and right share one below key."""
+    both = np.sort(np.concatenate([left, right], axis=1), axis=1)
+    return ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] < key[:, None])).any(axis=1)
+
+
 def _overlap_bound(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sums of coordinate minima, over the last axis; two points that bound nothing have no bound."""
     bound = np.minimum(left, right).sum(axis=-1, dtype=np.int64)
@@ -226,14 +244,15 @@ def _small_pairs(first: np.ndarray, size: np.ndarray, largest: int) -> tuple[np.
 def _tile_pairs(options: JaccardOptions):
     """Of rows sorted by (key, tile, other tile): pairs that the bound leaves, of different labels.
 
-    Groups of one or two leaves are compared at once for many keys; larger ones through their tree.
+    Groups of one or two leaves are compared at once for many keys; larger ones through their tree. A pair whose
+    least keys share a smaller one is left to that; one that shares only keys beyond those may come several times.
     """
     keys = ("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in complete_groups(batches, keys):
             ids, sizes, labels, side = (table[c].to_numpy() for c in ("d", "n", "label", "side"))
-            points = _read_points(table["point"])
+            points, key, least = _read_points(table["point"]), table["key"].to_numpy(), _read_keys(table["keys"])
             first = group_starts(table, keys)
             size = np.diff(np.append(first, len(ids)))
             x, y = _small_pairs(first, size, LEAF)
@@ -246,12 +265,16 @@ def _tile_pairs(options: JaccardOptions):
             for i in range(0, len(x), 4096):
                 a, b = x[i : i + 4096], y[i : i + 4096]
                 fits = _overlap_bound(points[a], points[b]) >= need[i : i + 4096]
-                found.append(np.stack([ids[a[fits]], ids[b[fits]]], axis=1))
+                a, b = a[fits], b[fits]
+                new = ~_met_before(least[a], least[b], key[a])
+                found.append(np.stack([ids[a[new]], ids[b[new]]], axis=1))
             for start, count in zip(first[size > LEAF], size[size > LEAF], strict=True):
                 own = np.arange(start, start + count)
                 a, b = own[side[own] <= 0], own[side[own] >= 0]
                 for i, j in near_points((points[a], sizes[a], labels[a]), (points[b], sizes[b], labels[b]), options.percent):
-                    found.append(np.stack([ids[a[i]], ids[b[j]]], axis=1))
+                    i, j = a[i], b[j]
+                    new = ~_met_before(least[i], least[j], key[i])
+                    found.append(np.stack([ids[i[new]], ids[j[new]]], axis=1))
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -434,13 +457,17 @@ def _linked_classes(texts: DataFrame, options: JaccardOptions) -> tuple[DataFram
     label = components(star_links).toDF("d", "label")
     labelled = members.select("key", "d").join(label, "d", "left").withColumn("label", F.coalesce("label", "d"))
     several = labelled.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h")
+        F.count(F.lit(1)).alias("size"), F.min("label").alias("l"), F.max("label").alias("h"),
+        F.bit_xor("d").alias("all"), F.bit_xor(F.xxhash64("d")).alias("mixed"),
     ).where("l <> h")
+    # Keys with the same members have the same pairs: one of them is compared.
+    several = several.groupBy("size", "all", "mixed").agg(F.min("key").alias("key"))
     tiles = F.ceil(F.col("size") / options.tile).cast("int")
-    tiled = _tiled(labelled.join(several.select("key", tiles.alias("tiles")), "key"), "key", "d", "label")
-    # Points are a row's bulk and join last: they are shuffled once.
+    compared = written(labelled.join(several.select("key", tiles.alias("tiles")), "key"), "compared")
+    least = compared.groupBy("d").agg(F.slice(F.sort_array(F.collect_list("key")), 1, LEAST_KEYS).alias("keys"))
+    # Points and least keys are a row's bulk and join last: they are shuffled once.
     pairs = (
-        tiled.join(points.select("d", "point", "n"), "d").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        _tiled(compared, "key", "d", "label").join(points.select("d", "point", "n").join(least, "d"), "d").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
         .mapInArrow(_tile_pairs(options), "a long, b long").distinct()
     )
     pair_links = verified(pairs, "pairs")

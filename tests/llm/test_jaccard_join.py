@@ -8,7 +8,7 @@ import pytest
 
 from genotiles.llm import jaccard_join
 from genotiles.llm.components import components
-from genotiles.llm.jaccard_join import GROUPS, JaccardOptions, _overlap_bound, _points, least_overlap, linked_documents, one_of_each_group
+from genotiles.llm.jaccard_join import GROUPS, JaccardOptions, _met_before, _overlap_bound, _points, least_overlap, linked_documents, one_of_each_group
 
 
 def brute(texts, ids, size=3, percent=90):
@@ -141,3 +141,44 @@ def test_sets_that_links_to_pivots_connect_are_not_compared_again(spark, documen
     classes = jaccard_join._linked_classes(documents(texts).select("doc_id", "text"), options)
     assert {r["root"] for r in classes[2].collect()} == {0} and classes[2].count() == len(texts)
     assert count["pairs"] <= len(texts)
+
+
+def test_a_pair_comes_from_one_of_the_keys_it_shares(spark, documents, monkeypatch, tmp_path):
+    """Texts of which many are nearly linked: they share many keys, and the bound leaves them."""
+    options, rng, distinct = JaccardOptions(size=5, percent=80), random.Random(3), {}
+    texts = []
+    for i in range(40):
+        w = [f"t{k}" for k in range(1200)]
+        for place in rng.sample(range(10, 1190), 16):
+            w[place] = f"new{i}-{place}"
+        texts.append(" ".join(w))
+    tile_pairs, write = jaccard_join._tile_pairs, jaccard_join.written
+
+    def counted(options):
+        run = tile_pairs(options)
+
+        def task(batches):
+            for k, batch in enumerate(run(batches)):
+                (tmp_path / f"{random.SystemRandom().random()}-{k}").write_text(str(batch.num_rows))
+                yield batch
+
+        return task
+
+    def kept(df, name):
+        found = write(df, name)
+        distinct[name] = found.count()
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_tile_pairs", counted)
+    monkeypatch.setattr(jaccard_join, "written", kept)
+    got = linked_documents(documents(texts), options)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == brute(texts, list(range(40)), 5, 80)
+    made = sum(int(path.read_text()) for path in tmp_path.iterdir())
+    assert distinct["pairs"] > 100 and made <= 1.5 * distinct["pairs"]
+
+
+def test_pairs_that_share_a_smaller_key():
+    top = np.iinfo(np.int64).max
+    left = np.array([[-5, 2, 9, top], [-5, 2, 9, top], [1, 3, top, top]])
+    right = np.array([[2, 7, 9, 11], [2, 7, 9, 11], [2, 4, top, top]])
+    assert _met_before(left, right, np.array([9, 2, top])).tolist() == [True, False, False]
