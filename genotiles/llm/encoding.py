@@ -9,10 +9,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from genotiles.llm.tokens import run_hashes, text_bytes
+
 #: Words of a generation, and length of words, that a worker remembers. Two generations of words after a blank and two of
 #: words after a line end are some 50 MB.
 _ENTRIES = 100_000
 _LETTERS = 64
+#: Words that a worker remembers as hashes and ids in arrays: some 40 MB.
+_REMEMBERED = 1 << 20
 
 
 #: Letters and marks of words that need no look at the tokenizer's pattern.
@@ -68,6 +72,54 @@ class _Words(dict):
         return ids
 
 
+class _Memory:
+    """Ids of words met before, found by the words' 64-bit hashes; when it is full only the words of the last call stay."""
+
+    def __init__(self, words: _Words):
+        self.words = words
+        self.hash, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, "<u4")
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: a table of ids, where each word's start in it, and how many they are."""
+        data, starts = text_bytes(words)
+        full = np.flatnonzero(np.diff(starts))
+        h = run_hashes(data, starts[:-1][full], starts[1:][full])
+        at = np.searchsorted(self.hash, h)
+        known = np.append(self.hash, np.uint64(0))[at] == h
+        known &= at < len(self.hash)
+        old, new = at[known], full[~known]
+        found = [self.words[word] for word in words.take(pa.array(new)).to_pylist()]
+        size = np.zeros(len(words), np.int64)
+        size[full[known]] = self.size[old]
+        size[new] = [len(ids) // 4 for ids in found]
+        order = np.concatenate([full[known], new])
+        first = np.zeros(len(words), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        table = np.concatenate([self._of(old), np.frombuffer(b"".join(found), "<u4")])
+        if len(self.hash) + len(new) > _REMEMBERED:
+            old = np.sort(old)
+            self.hash, self.size, self.ids = self.hash[old], self.size[old], self._of(old)
+            self.first = np.cumsum(self.size, dtype=np.int64) - self.size
+        short = np.diff(starts)[new] <= _LETTERS
+        self._add(h[~known][short], [ids for ids, use in zip(found, short, strict=True) if use])
+        return table, first, size
+
+    def _of(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places, one after another."""
+        size = self.size[at].astype(np.int64)
+        return self.ids[np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+    def _add(self, h: np.ndarray, found: list[bytes]) -> None:
+        order = np.argsort(h, kind="stable")
+        size = np.array([len(ids) // 4 for ids in found], np.int32)
+        first = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        at = np.searchsorted(self.hash, h[order])
+        self.hash, self.size = np.insert(self.hash, at, h[order]), np.insert(self.size, at, size[order])
+        self.first = np.insert(self.first, at, first[order])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+
+
 class Encoder:
     """Ids of whole texts.
 
@@ -85,7 +137,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         self.path, self.special_as_text = path, special_as_text
-        self.inner = _Words(self.tokenizer)
+        self.memory = _Memory(_Words(self.tokenizer))
 
     def __reduce__(self):
         # A tokenizer that travels forgets its settings; the other side reads the file.
@@ -106,23 +158,23 @@ class Encoder:
         first, start = start[:-1] - start[0], start - start[0]
         words = split.flatten().dictionary_encode()
         place = words.indices.to_numpy().astype(np.int64)
-        known = words.dictionary.to_pylist()
-        found = [self.inner[w] if w else b"" for w in known]
+        table, at, size = self.memory.look_up(words.dictionary)
         # A first word has no blank before it, and a text with other blanks is one long word.
         odd = np.zeros(len(texts), dtype=bool)
-        if "" in known:
-            odd[np.searchsorted(start, np.flatnonzero(place == known.index("")), side="right") - 1] = True
-            inside = np.repeat(odd, np.diff(start))
-            place[inside] = known.index("")
-        for row in range(len(texts)):
-            text = texts[row].as_py() if odd[row] else known[place[first[row]]]
-            found.append(self.ids(text).tobytes())
-        place[first] = len(known) + np.arange(len(texts))
-        size = np.array([len(ids) // 4 for ids in found], np.int64)
-        table = np.frombuffer(b"".join(found), "<u4")
-        count = size[place]
+        blank = words.dictionary.index("").as_py()
+        if blank >= 0:
+            odd[np.searchsorted(start, np.flatnonzero(place == blank), side="right") - 1] = True
+            place[np.repeat(odd, np.diff(start))] = blank
+        alone = [
+            self.ids((texts[row] if odd[row] else words.dictionary[int(place[first[row]])]).as_py()) for row in range(len(texts))
+        ]
+        place[first] = len(size) + np.arange(len(texts))
+        own = np.array([len(ids) for ids in alone], np.int64)
+        at = np.concatenate([at, len(table) + np.cumsum(own) - own])
+        table = np.concatenate([table, *alone])
+        count = np.concatenate([size, own])[place]
         ends = np.concatenate(([0], np.cumsum(count)))
-        source = np.repeat((np.cumsum(size) - size)[place] - ends[:-1], count) + np.arange(ends[-1])
+        source = np.repeat(at[place] - ends[:-1], count) + np.arange(ends[-1])
         return table[source], ends[start]
 
 

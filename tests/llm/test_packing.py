@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from genotiles.llm import encoding
 from genotiles.llm.cutting_stock import patterns
 from genotiles.llm.encoding import encoder
 from genotiles.llm.packing import PackingOptions, pack
@@ -99,3 +100,28 @@ def test_special_tokens_in_texts(documents):
     check(pack(documents(texts), OPTIONS).collect(), texts, plain)
     plain.encode_special_tokens = True
     check(pack(documents(texts), PackingOptions(PATH, special_as_text=True)).collect(), texts, plain)
+
+
+def test_words_of_an_earlier_batch_are_not_tokenized_again(monkeypatch):
+    calls, missing = [], encoding._Words.__missing__
+    monkeypatch.setattr(encoding, "_ENTRIES", 10)
+    monkeypatch.setattr(encoding._Words, "__missing__", lambda self, word: calls.append(word) or missing(self, word))
+    texts = pa.array([" ".join(f"w{i}x{k}" for k in range(100)) for i in range(20)])
+    encode = encoding.Encoder(PATH)
+    first = encode.many(texts)
+    met = len(calls)
+    again = encode.many(texts)
+    assert met >= 1900 and len(calls) == met
+    assert all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
+@pytest.mark.parametrize("remembered", [0, 7, 1000])
+def test_ids_from_a_small_memory(monkeypatch, remembered):
+    monkeypatch.setattr(encoding, "_REMEMBERED", remembered)
+    rng, encode, plain = random.Random(remembered), encoding.Encoder(PATH), PLAIN[False]
+    words = ["", "é", "it's", "\n", "a\nb", "x" * 70, "日本", *(f"w{i}," for i in range(60))]
+    for _ in range(30):
+        texts = [" ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(rng.randrange(6))]
+        ids, starts = encode.many(pa.array(texts, pa.string()))
+        assert [ids[i:j].tolist() for i, j in zip(starts, starts[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert (np.diff(encode.memory.hash.astype(object)) > 0).all()
