@@ -10,6 +10,9 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from genotiles.functions.arrays import one_hot_numpy
+from genotiles.operators import examples as X
+from genotiles.plans import build as B
+from genotiles.session import spread_scan
 from genotiles.sinks import examples as XS, files as XF
 from genotiles.sources import examples as XR
 
@@ -107,3 +110,72 @@ def test_a_file_without_a_column_and_with_narrower_numbers(tmp_path):
     schema = pa.schema([("index", pa.int64()), ("labels", pa.list_(pa.list_(pa.float32())))])
     found = pa.concat_tables(XF._rows_of(str(tmp_path / "f.parquet"), schema))
     assert found.schema == schema and found.to_pylist() == [{"index": 1, "labels": None}, {"index": 2, "labels": None}]
+
+
+def test_rewriting_counts_the_rows_that_stand_in_the_files(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "d")
+    XS.write_examples(placed(spark), root, rows_per_file=4, n_ranges=3)
+    found = {r["path"]: r["n_rows"] for r in XS.counted_files(XS.list_files(spark, XR.examples_path(root))).collect()}
+    assert found == {str(p): pq.read_metadata(p).num_rows for p in files_of(tmp_path / "d")}
+    report = XS.rewrite_dataset(spark, root, str(tmp_path / "r")).collect()
+    for r in report:
+        for side, folder in (("bytes_before", "d"), ("bytes_after", "r")):
+            names = files_of(tmp_path / folder)
+            assert r[side] == sum(p.stat().st_size for p in names if p.parent.name == f"split={r['split']}")
+    whole = XF._rows_of
+    monkeypatch.setattr(XF, "_rows_of", lambda path, schema: list(whole(path, schema))[:-1])
+    with pytest.raises(RuntimeError, match="does not hold the rows"):
+        XS.rewrite_dataset(spark, root, str(tmp_path / "short"))
+
+
+def test_chunks_are_cut_by_characters_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(X, "CUT_BYTES", 50)
+    texts = {"a": "ACGT" * 30 + "A", "b": "é€😀x" * 25, "c": "ACG", "d": "ACGTACG", "e": ""}
+    frame = spark.createDataFrame([*texts.items(), ("n", None), (None, "ACGTACGT")], "chrom string, seq string")
+    bad = spark.range(1).select(F.lit("bad").alias("chrom"), F.expr("cast(X'41FF43474180' as string)").alias("seq"))
+    chunks = X.chunk_sequences(frame.union(bad), 7)
+    found = rows(chunks.where("chrom NOT IN ('bad')"))
+    assert found == sorted((k, i // 7, v[i:i + 7]) for k, v in texts.items() for i in range(0, len(v), 7))
+    assert rows(chunks.where("chrom IS NULL").select("chunk_no", "seq")) == [(0, "ACGTACG"), (1, "T")]
+    assert chunks.where("chrom = 'bad'").select(F.hex(F.col("seq").cast("binary"))).collect() == [("41FF43474180",)]
+    assert "substring" not in chunks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_few_row_groups_are_spread(spark, tmp_path):
+    width, old = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    table = pa.table({"index": np.random.default_rng(1).integers(0, 1 << 40, 100_000)})
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        for groups, spread in ((1, True), (50, False)):
+            pq.write_table(table, tmp_path / f"{groups}.parquet", row_group_size=100_000 // groups)
+            scan = spark.read.parquet(str(tmp_path / f"{groups}.parquet"))
+            assert scan.rdd.getNumPartitions() >= width
+            found = spread_scan(scan)
+            filled = found.groupBy(F.spark_partition_id()).count().count()
+            assert filled >= width // 2 and (found is not scan) == spread
+            assert found.agg(F.sum("index")).first() == scan.agg(F.sum("index")).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_build_asks_for_contigs_and_tracks_once(spark, tmp_path):
+    def counting(frame, seen):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        return frame.mapInArrow(count, frame.schema)
+
+    regions = spark.range(40).selectExpr("id AS index", "'c' || id % 5 AS chrom", "id * 3 AS start_pos", "id * 3 + 32 AS end_pos", "'fold' || id % 8 AS fold")
+    sequences = spark.range(5).selectExpr("'c' || id AS chrom", "id AS chrom_rank", "repeat('ACGT', 100) AS seq", "400L AS len")
+    signal = spark.range(100).selectExpr("cast(id % 2 AS int) AS track", "'c' || id % 5 AS chrom", "id * 3 AS start_pos", "id * 3 + 9 AS end_pos", "cast(id AS double) AS value")
+    tracks = spark.createDataFrame([(0, "a.bw", False), (1, "b_minus.bw", True)], "track int, path string, is_minus boolean")
+    of_contigs, of_tracks = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    options = B.BuildOptions(geometry=B.Geometry(context_length=64, n_pred_bins=4, bin_size=8), tile_bins=4, chunk_bases=50)
+    root = str(tmp_path / "d")
+    B.build_dataset(
+        root, regions, signal, counting(tracks, of_tracks), counting(sequences.drop("seq"), of_contigs),
+        X.chunk_sequences(sequences.select("chrom", "seq"), 50), options,
+    )
+    assert XR.read_examples(spark, root).count() == 40
+    assert (of_contigs.value, of_tracks.value) == (5, 2)
